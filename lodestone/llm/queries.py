@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from functools import partial
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, scratch, simhash
+from . import bpe, library_tokens, packed, quality_rules, scratch, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +41,32 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The id that ends each document in packed files.
+END_ID = 1
+
+
+def _id_sums(doc_ids: list, starts: np.ndarray, ids: np.ndarray, local: np.ndarray) -> pa.RecordBatch:
+    raw = memoryview(ids.astype("<u4")).cast("B")
+    at = (local * 4).tolist()
+    sums = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
+    columns = [pa.array(x, pa.int64()) for x in (doc_ids, starts, np.diff(local), sums)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = word_vocabulary()
+    size = len(bpe.Vocabulary(vocabulary).tokens)
+    docs = table(spark, sf_dir, "documents")
+    folder = scratch.new_path(spark, "ids")
+    manifest = packed.write(docs, partial(library_tokens.encoder, vocabulary), size, END_ID, folder)
+    return packed.read(manifest, spark, _id_sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
     "op6_simhash": op6_simhash,
+    "op8_packed_ids": op8_packed_ids,
 }
 
 ORACLES: dict[str, str | None] = {
