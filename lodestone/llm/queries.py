@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, library_tokens, packed, quality_rules, scratch, simhash
+from . import bpe, library_tokens, ngram, packed, quality_rules, scratch, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,19 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.read(manifest, spark, _id_sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = ngram.held_out(F.col("doc_id"), 7, 2)
+    scored = ngram.score(docs, ngram.train(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
     "op6_simhash": op6_simhash,
     "op8_packed_ids": op8_packed_ids,
+    "op10_ngram": op10_ngram,
 }
 
 ORACLES: dict[str, str | None] = {
