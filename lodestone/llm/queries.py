@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, library_tokens, ngram, packed, quality_rules, scratch, simhash
+from . import bpe, decontaminate, language, library_tokens, ngram, packed, quality_rules, scratch, simhash, site_quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +47,21 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = site_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "host", "path", "log_odds", "host_posterior", "path_posterior", "score", "kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 #: The id that ends each document in packed files.
 END_ID = 1
 
@@ -85,7 +95,9 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
+    "op5_site_quality": op5_site_quality,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_packed_ids": op8_packed_ids,
     "op10_ngram": op10_ngram,
 }

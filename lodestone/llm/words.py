@@ -20,16 +20,11 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out, x = np.empty(n, np.uint64), 1
-    chunk = min(n, 1024)
-    for i in range(chunk):
-        out[i] = x
-        x = x * base % 2**64
-    step, done = np.uint64(x), chunk
+    out, done = np.ones(n, np.uint64), 1
     while done < n:
         m = min(done, n - done)
-        out[done : done + m] = out[:m] * step
-        step, done = step * step, done + m
+        out[done : done + m] = out[:m] * np.uint64(pow(base, done, 2**64))
+        done += m
     return out
 
 
