@@ -36,18 +36,15 @@ from pyspark.sql import types as T
 
 from . import scratch
 from .lexicon import Lexicon, compile_words
+from .pieces import PieceMemo
+from .words import Block, blocks
 
 #: Words of the lexicon, at most.
 LEXICON_WORDS = 100_000
-#: Pieces that a worker keeps, at most.
-MEMO_PIECES = 500_000
 #: Texts are encoded in blocks of about so many bytes.
 BLOCK_BYTES = 4 << 20
 #: Ids of one block that is decoded at once, plus those of one row.
 DECODE_IDS = 1 << 20
-#: The pattern's white space is Unicode's White_Space, without the separators that str.split() takes too.
-_SPLIT_ODD = re.compile("[\x1c-\x1f]")
-_SPACES = regex.compile(r"[\s--[\x1c-\x1f]]+", flags=regex.V1)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -86,12 +83,23 @@ class Vocabulary:
             self.tokens[i] = token
 
     def words(self, piece: str) -> list[str]:
-        """The normalised words of a piece of text without white space."""
+        """The normalised words of a piece of text."""
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
         piece = piece.lower()
         return [piece] if piece.isalpha() else self.pattern.findall(piece)
 
+    def cut(self, piece: str) -> list[str | int]:
+        """The piece's words, and the ids of the special tokens in it."""
+        if "<|" not in piece:
+            return self.words(piece)
+        out: list[str | int] = []
+        at = 0
+        for m in self.special_pattern.finditer(piece):
+            out += [*self.words(piece[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return out + self.words(piece[at:])
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
         ids = [self.inner[b] for b in word[:-1]]
@@ -130,55 +138,27 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts to little-endian uint32 bytes; keeps the pieces met lately."""
+    """Encodes the pieces of blocks of texts; keeps those met lately."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if "<|" in text:
-            out, at = [], 0
-            for m in self.vocabulary.special_pattern.finditer(text):
-                out += self._cut(text[at : m.start()])
-                out.append("\0" + m[0])  # no white space, so no piece of a text begins with it but by chance
-                at = m.end()
-            if at:
-                return out + self._cut(text[at:])
-        return self._cut(text)
-
-    def _cut(self, text: str) -> list[str]:
-        if _SPLIT_ODD.search(text):
-            return [x for x in _SPACES.split(text) if x]
-        return text.split()
-
-    def learn(self, pieces: list[str]) -> None:
-        """Put the ids of new pieces into the memo."""
+        self.memo = PieceMemo(self.learn)
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, as little-endian uint32 bytes: from the lexicon, else merged."""
         v = self.vocabulary
-        cut = [[p] if p[1:] in v.special and p[0] == "\0" else v.words(p) for p in pieces]
-        words = list({w for c in cut for w in c})
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        ids: dict[str, bytes] = {}
+        cut = [v.cut(p) for p in pieces]
+        words = list({w for c in cut for w in c if type(w) is str})
+        raw = [w.encode() for w in words]
+        ids: dict[str | int, bytes] = {i: np.uint32(i).tobytes() for i in v.special.values()}
         ranks = self.lexicon.rank(raw) if self.lexicon else np.full(len(raw), -1)
         for word, b, rank in zip(words, raw, ranks.tolist()):
-            if word[0] == "\0" and word[1:] in v.special:
-                ids[word] = np.uint32(v.special[word[1:]]).tobytes()
-            elif rank >= 0:
-                ids[word] = self.lexicon.output(rank).tobytes()
-            else:
-                ids[word] = np.array(v.merge(b), np.uint32).tobytes()
-        for p, c in zip(pieces, cut):
-            self.memo[p] = ids[c[0]] if len(c) == 1 else b"".join([ids[w] for w in c])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        cut = [self.pieces(t) for t in texts]
-        new = set().union(*cut).difference(self.memo)
-        if new:
-            self.learn(list(new))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+            ids[word] = self.lexicon.output(rank).tobytes() if rank >= 0 else np.array(v.merge(b), np.uint32).tobytes()
+        return [ids[c[0]] if len(c) == 1 else b"".join([ids[w] for w in c]) for c in cut]
+
+    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows end to end, ids of each row)."""
+        return self.memo.encode(block)
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -192,27 +172,6 @@ def _encoder(vocabulary: str, lexicon: str | None) -> Encoder:
     return _encoders[key]
 
 
-def row_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[list[str]]:
-    """The column's texts in order, in lists of about so many characters."""
-    block, size = [], 0
-    for value in column:
-        text = value.as_py() or ""
-        block.append(text)
-        size += len(text)
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def id_lists(encoded: list[bytes]) -> pa.Array:
-    """A list<int32> column of what encoders return."""
-    size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
-
-
 def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, column: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``out``, the ids of ``column``; the column itself is dropped."""
     scratch.ship(docs.sparkSession)
@@ -222,12 +181,12 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, lexicon)
         for batch in batches:
-            at = 0
-            for block in row_blocks(batch.column(len(others))):
-                ids = id_lists(encoder.encode(block))
-                part = batch.slice(at, len(block))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], ids], [*others, out])
-                at += len(block)
+            for block in blocks(batch.column(len(others)), BLOCK_BYTES):
+                ids, size = encoder.encode(block)
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))
+                part = batch.slice(block.lo, block.rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], lists], [*others, out])
 
     return docs.select(*[F.col(f"`{c}`") for c in [*others, column]]).mapInArrow(run, schema)
 

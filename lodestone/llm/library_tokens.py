@@ -1,23 +1,20 @@
 """Encoding with the ``tokenizers`` library, piece by piece where that is exact.
 
 Some vocabularies drop all white space before they cut a text into words; then
-the ids of a text are those of its white-space-separated pieces end to end, and
-a worker has the library encode each distinct piece once and keeps the result.
-Texts with a special token's opening or with separators that Python and the
-library cut differently are encoded whole, as are all texts of other vocabularies.
+the ids of a text are those of its pieces between white space end to end, and a
+worker has the library encode each distinct piece once (``pieces``). With other
+vocabularies the library encodes each text whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 
-#: Pieces that a worker keeps, at most.
-MEMO_PIECES = 1_000_000
-_WHOLE = re.compile("[\x1c-\x1f]")
+from .pieces import PieceMemo
+from .words import Block
 
 
 def drops_space(path: str) -> bool:
@@ -27,12 +24,12 @@ def drops_space(path: str) -> bool:
     steps = (spec.get("normalizer") or {}).get("normalizers", [])
     cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     collapses = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in steps)
-    return collapses and bool(cuts) and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True and r"[^\s" in str(cuts[0])
+    words_only = bool(cuts) and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True
+    no_space_added = not any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+    return collapses and words_only and no_space_added and r"[^\s" in cuts[0].get("pattern", {}).get("Regex", "")
 
 
 class LibraryEncoder:
-    """Called with a list of texts, gives a list of little-endian uint32 bytes."""
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -40,26 +37,19 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_piece = drops_space(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.opening = re.compile("|".join(sorted({re.escape(t[:2]) for t in added})) or r"(?!)")
-        self.memo: dict[str, bytes] = {}
+        self.memo = PieceMemo(self.library) if drops_space(path) else None
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self._library(texts)
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        cut = [None if _WHOLE.search(t) or self.opening.search(t) else t.split() for t in texts]
-        new = list(set().union(*(c for c in cut if c is not None)).difference(self.memo))
-        for piece, ids in zip(new, self._library(new) if new else []):
-            self.memo[piece] = ids
-        get = self.memo.__getitem__
-        return [self._library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows end to end, ids of each row)."""
+        if self.memo is not None:
+            return self.memo.encode(block)
+        raw, at = block.data.tobytes(), block.offsets.tolist()
+        encoded = self.library([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])])
+        return np.frombuffer(b"".join(encoded), "<u4"), np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
 
 
 _encoders: dict[str, LibraryEncoder] = {}

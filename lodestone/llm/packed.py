@@ -33,9 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
+from .words import blocks
 
 MAGIC = b"LDSTPAK1"
 BLOCK = 1 << 16
+#: Bytes of text that are encoded at once.
+BLOCK_BYTES = 4 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -136,32 +139,29 @@ class Shard:
             a = b
 
 
-def write(docs: DataFrame, encode, vocabulary_size: int, end_id: int, folder: str, column: str = "text") -> DataFrame:
+def write(docs: DataFrame, encoder, vocabulary_size: int, end_id: int, folder: str, column: str = "text") -> DataFrame:
     """Write ``docs(doc_id, column)`` to shards in ``folder`` and return the manifest.
 
-    ``encode()`` makes, in each task, a function from a list of texts to a list
-    of little-endian uint32 bytes. The manifest has a row for each shard:
-    ``(shard, uri, n_docs, n_ids, start)``, ``start`` being the ids of all
-    shards before it. Documents are dealt by ranges of ``doc_id``, so no task
-    has more than its share of rows and the shards are in order.
+    ``encoder()`` gives, in each task, an object whose ``encode(block)`` returns
+    the ids of the block's rows end to end and their number in each row. The
+    manifest has a row for each shard: ``(shard, uri, n_docs, n_ids, start)``,
+    ``start`` being the ids of all shards before it. Documents are dealt by ranges
+    of ``doc_id``, so no task has more than its share of rows and the shards are
+    in order.
     """
-    from .bpe import row_blocks
-
     spark = scratch.ship(docs.sparkSession)
     width = width_for(vocabulary_size)
-    end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        uri, writer, coder = f"{folder}/shard-{shard:06d}.ids", None, encode()
+        uri, writer, coder = f"{folder}/shard-{shard:06d}.ids", None, encoder()
         for batch in batches:
-            doc_ids, at = batch.column(0).to_pylist(), 0
-            for block in row_blocks(batch.column(1)):
+            doc_ids = batch.column(0).to_pylist()
+            for block in blocks(batch.column(1), BLOCK_BYTES):
                 writer = writer or ShardWriter(uri, width)
-                coded = [c + end for c in coder(block)]
-                sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-                writer.add(doc_ids[at : at + len(block)], np.frombuffer(b"".join(coded), "<u4"), sizes)
-                at += len(block)
+                ids, sizes = coder.encode(block)
+                ends = np.cumsum(sizes)
+                writer.add(doc_ids[block.lo : block.lo + block.rows], np.insert(ids, ends, np.uint32(end_id)), sizes + 1)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": uri, "n_docs": len(writer.docs), "n_ids": writer.starts[-1]}])

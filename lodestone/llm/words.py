@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
-_P = np.uint64(0x9E3779B97F4A7C15)
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -29,17 +29,16 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class _Tables:
-    """Powers of the hash's base and of its inverse, grown on demand."""
+    """Powers of the hashes' bases and of their inverses, grown on demand."""
 
-    up = _powers(int(_P), 1024)
-    down = _powers(pow(int(_P), -1, 2**64), 1024)
+    known: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            n = 1 << (n - 1).bit_length()
-            cls.up, cls.down = _powers(int(_P), n), _powers(pow(int(_P), -1, 2**64), n)
-        return cls.up, cls.down
+    def get(cls, n: int, second: bool) -> tuple[np.ndarray, np.ndarray]:
+        if second not in cls.known or len(cls.known[second][0]) < n:
+            n = max(1024, 1 << (n - 1).bit_length())
+            cls.known[second] = tuple(_powers(pow(_BASES[second], sign, 2**64), n) for sign in (1, -1))
+        return cls.known[second]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,10 +122,10 @@ def words(block: Block, table: np.ndarray = NON_SPACE) -> Words:
     return Words(start, end, np.repeat(np.arange(block.rows), per_row), per_row)
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; equal bytes have equal hashes."""
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; equal bytes have equal hashes. There is a second, independent one."""
     n = len(data)
-    up, down = _Tables.get(n + 1)
+    up, down = _Tables.get(n + 1, second)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     return mix((total[end] - total[start]) * down[start])

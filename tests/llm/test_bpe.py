@@ -3,9 +3,11 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from lodestone.llm import bpe
 from lodestone.llm.lexicon import Lexicon, compile_words
+from lodestone.llm.words import blocks
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -27,12 +29,19 @@ def _texts():
     return ODD + ["".join(rng.choices(letters, k=rng.randint(0, 80))) for _ in range(400)]
 
 
+def split_rows(encoder, texts):
+    out = []
+    for block in blocks(pa.array(texts, pa.string()), 600):
+        ids, size = encoder.encode(block)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+    return out
+
+
 def test_encode_and_decode_equal_the_library(library):
     v = bpe.Vocabulary(PATH)
     texts = _texts()
-    for encoded, text in zip(bpe.Encoder(v, None).encode(texts), texts):
+    for text, got in zip(texts, split_rows(bpe.Encoder(v, None), texts)):
         want = library.encode(text, add_special_tokens=False).ids
-        got = np.frombuffer(encoded, np.uint32).tolist()
         assert got == want, text
         assert " ".join(v.tokens[i] for i in got) == library.decode(want, skip_special_tokens=False)
 
@@ -65,3 +74,13 @@ def test_queries_operator_on_odd_rows(spark, library):
     back = bpe.decode(bpe.encode(docs, PATH, name).drop("decoded"), PATH).collect()
     assert sorted(r.decoded for r in back) == sorted(library.decode(w, skip_special_tokens=False) for _, w in want)
     assert bpe.encode(docs.limit(0), PATH, bpe.ship_lexicon(docs.limit(0), PATH)).count() == 0
+
+
+def test_pieces_with_equal_hashes_are_told_apart(library, monkeypatch):
+    from lodestone.llm import pieces
+
+    real = pieces.hashes
+    monkeypatch.setattr(pieces, "hashes", lambda *a, second=False: real(*a, second=second) % np.uint64(1 << 40 if second else 7))
+    encoder = bpe.Encoder(bpe.Vocabulary(PATH), None)
+    for _ in range(2):
+        assert split_rows(encoder, _texts()) == [library.encode(t, add_special_tokens=False).ids for t in _texts()]
