@@ -230,25 +230,43 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> D
 
         return run
 
-    # The benchmark is the small side by nature; its rows pass the driver in blocks of bounded size.
-    out, ids, texts, size = None, [], [], 0
-    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator()
-    blocks_of_items = []
-    for r in rows:
+    out = None
+    for items in item_blocks(benchmark):
+        part = docs.select("doc_id", "text").mapInArrow(matcher(spark.sparkContext.broadcast(items)), schema)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def item_blocks(benchmark: DataFrame) -> list[Items]:
+    """The benchmark's windows, at most about ``MAX_WINDOWS`` in each; its rows pass the driver one partition at a time."""
+    out, ids, texts, size = [], [], [], 0
+    for r in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
         ids.append(r.item_id)
         texts.append(r.text)
         size += len(r.text) // 2 + 1
         if size >= MAX_WINDOWS:
-            blocks_of_items.append(Items(ids, texts))
+            out.append(Items(ids, texts))
             ids, texts, size = [], [], 0
-    blocks_of_items.append(Items(ids, texts))
-    for items in blocks_of_items:
-        part = docs.select("doc_id", "text").mapInArrow(matcher(spark.sparkContext.broadcast(items)), schema)
-        out = part if out is None else out.union(part)
-    return out
+    return [*out, Items(ids, texts)]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` isn't in a contaminated pair (rows without one stay)."""
-    found = find(docs, benchmark, coverage).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs(text, ...)`` that hold no item; rows are judged where they lie, without a shuffle."""
+    spark = scratch.ship(docs.sparkSession)
+    text = docs.columns.index("text")
+
+    def cleaner(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            for batch in batches:
+                stay = np.ones(batch.num_rows, bool)
+                for block in blocks(batch.column(text)):
+                    for row, *_ in judge(Canon(block), items, coverage):
+                        stay[block.lo + row] = False
+                yield batch.filter(pa.array(stay))
+
+        return run
+
+    for items in item_blocks(benchmark):
+        docs = docs.mapInArrow(cleaner(spark.sparkContext.broadcast(items)), docs.schema)
+    return docs

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,3 +214,28 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs(doc_id, text, lang, ...)`` that the model doesn't reject; a null ``lang`` becomes the prediction."""
+    spark = scratch.ship(docs.sparkSession)
+    if model is None:
+        return docs.limit(0)
+    shared = spark.sparkContext.broadcast(model)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        names = pa.array(model.languages)
+        for batch in batches:
+            column = binary_column(batch.column(text))
+            for block in blocks(column):
+                at, _, rejected = model.predict(block)
+                texts = (t.as_py() for t in column.slice(block.lo, block.rows))
+                none = np.array([t is None or not _LETTER.search(t.decode("utf-8", "replace")) for t in texts])
+                part = batch.slice(block.lo, block.rows)
+                filled = pc.coalesce(part.column(lang), names.take(pa.array(at)))
+                part = part.set_column(lang, batch.schema.field(lang), filled)
+                yield part.filter(pa.array(~(rejected | none)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch
 from .components import components
@@ -208,6 +209,15 @@ def links(distinct: DataFrame, radius: int, blocks: int | None = None, tile: int
     return few.union(many).distinct()
 
 
+def _named(prints: DataFrame, radius: int, blocks: int | None, tile: int) -> DataFrame:
+    """``(fp, component, component_id)`` of each distinct fingerprint."""
+    nodes = scratch.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    groups = components(links(nodes.select("fp"), radius, blocks, tile))
+    joined = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return scratch.materialise(joined.join(least, "component").select("fp", "component", "component_id"), "named")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text)``.
 
@@ -216,16 +226,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks:
     """
     scratch.ship(docs.sparkSession)
     prints = scratch.materialise(fingerprints(docs, shingle), "fingerprints")
-    nodes = scratch.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    groups = components(links(nodes.select("fp"), radius, blocks, tile))
-    joined = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = scratch.materialise(joined.join(least, "component").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_named(prints, radius, blocks, tile), "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names its component; of repeated rows of one id, one stays."""
-    found = near_duplicates(docs, shingle, radius)
-    drop = found.where("doc_id <> component_id").select("doc_id")
-    return docs.dropDuplicates(["doc_id"]).join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of ``docs(doc_id, text, ...)``: the one whose ``doc_id`` names it.
+
+    Rows that share their ``doc_id`` or lack one are told apart by their
+    fingerprints; of equal ones, and in a component without any ``doc_id``, any one stays.
+    """
+    scratch.ship(docs.sparkSession)
+    prints = scratch.materialise(fingerprints(docs, shingle), "fingerprints")
+    named = _named(prints, radius, None, TILE)
+    odd = scratch.materialise(prints.groupBy("doc_id").count().where("doc_id is null or count > 1").select("doc_id"), "odd")
+    drop = prints.join(named, "fp").where("doc_id <> component_id").select("doc_id")
+    alone = docs.where("doc_id is not null").join(drop.union(odd.where("doc_id is not null")).distinct(), "doc_id", "left_anti")
+    alone = alone.select(*[F.col(f"`{c}`") for c in docs.columns])
+    if odd.isEmpty():
+        return alone
+    some = docs.join(odd.withColumnRenamed("doc_id", "odd_id"), F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_semi")
+    text, columns = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t.as_py() or b"", shingle) for t in binary_column(batch.column(text))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*columns, "lodestone_fp"])
+
+    printed = some.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lodestone_fp", T.LongType())]))
+    names = named.select(F.col("fp").alias("lodestone_fp"), F.col("component").alias("lodestone_c"), F.col("component_id").alias("lodestone_id"))
+    ours = printed.join(names, "lodestone_fp").where("lodestone_id is null or doc_id = lodestone_id")
+    return alone.union(ours.dropDuplicates(["lodestone_c"]).select(*[F.col(f"`{c}`") for c in columns]))
