@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, library_tokens, ngram, packed, quality_rules, scratch, simhash, site_quality, toxicity
+from . import bpe, decontaminate, language, library_tokens, ngram, packed, quality_rules, scratch, simhash, site_quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,20 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.read(manifest, spark, _id_sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+URL_RULES = (
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(pages, URL_RULES))
+
+
 def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = ngram.held_out(F.col("doc_id"), 7, 2)
@@ -99,6 +113,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_packed_ids": op8_packed_ids,
+    "op9_url_filter": op9_url_filter,
     "op10_ngram": op10_ngram,
 }
 
