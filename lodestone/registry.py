@@ -1,15 +1,15 @@
-"""All registered queries and their SQL oracles, by subpackage."""
+"""All registered queries and their SQL oracles."""
 
 from __future__ import annotations
 
+from lodestone.plans import pattern_queries, table_queries
 
-def _modules() -> list:
-    return []
+MODULES = [table_queries, pattern_queries]
 
 
 def queries() -> dict:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in _modules() for k, v in m.ORACLES.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
