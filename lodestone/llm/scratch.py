@@ -17,6 +17,7 @@ import zipfile
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_root: str | None = None
 _shipped: set[str] = set()
@@ -71,8 +72,23 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Rows of one Arrow batch, at most: texts can be long, and both sides hold a batch whole.
+BATCH_ROWS = 1000
+#: Ids that an anti-join may broadcast, at most; beyond it the join is a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` isn't in ``ids(doc_id)``; rows with a null one stay."""
+    ids = materialise(ids.where("doc_id is not null").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    return docs.join(ids, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers on other machines."""
+    """Make this package importable in Python workers on other machines, and bound their batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

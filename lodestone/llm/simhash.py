@@ -240,8 +240,7 @@ def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     named = _named(prints, radius, None, TILE)
     odd = scratch.materialise(prints.groupBy("doc_id").count().where("doc_id is null or count > 1").select("doc_id"), "odd")
     drop = prints.join(named, "fp").where("doc_id <> component_id").select("doc_id")
-    alone = docs.where("doc_id is not null").join(drop.union(odd.where("doc_id is not null")).distinct(), "doc_id", "left_anti")
-    alone = alone.select(*[F.col(f"`{c}`") for c in docs.columns])
+    alone = scratch.without(docs.where("doc_id is not null"), drop.union(odd))
     if odd.isEmpty():
         return alone
     some = docs.join(odd.withColumnRenamed("doc_id", "odd_id"), F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_semi")

@@ -211,5 +211,4 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` isn't judged bad (rows without one stay)."""
-    bad = judge(docs, labels, host, path).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scratch.without(docs, judge(docs, labels, host, path).where("not kept").select("doc_id"))
