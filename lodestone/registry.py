@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import pattern_queries, table_queries
+from lodestone.plans import cluster_queries, pattern_queries, table_queries
 
-MODULES = [table_queries, pattern_queries]
+MODULES = [table_queries, pattern_queries, cluster_queries]
 
 
 def queries() -> dict:
