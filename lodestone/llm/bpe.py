@@ -42,7 +42,7 @@ from .words import Block, blocks
 #: Words of the lexicon, at most.
 LEXICON_WORDS = 100_000
 #: Texts are encoded in blocks of about so many bytes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Ids of one block that is decoded at once, plus those of one row.
 DECODE_IDS = 1 << 20
 

@@ -17,6 +17,10 @@ from .pieces import PieceMemo
 from .words import Block
 
 
+#: Pieces that a worker keeps, at most; the library is slower than the look-up in memory.
+MAX_PIECES = 1_500_000
+
+
 def drops_space(path: str) -> bool:
     """Whether the vocabulary's words never span white space and white space itself is removed."""
     with open(path, encoding="utf-8") as f:
@@ -37,7 +41,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = PieceMemo(self.library) if drops_space(path) else None
+        self.memo = PieceMemo(self.library, MAX_PIECES) if drops_space(path) else None
 
     def library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)

@@ -50,7 +50,7 @@ DISCOUNT = 0.75
 STEPS = 4096
 #: The end token's hash; a fixed value that no word's hash is likely to equal.
 END = 0x5851F42D4C957F2D
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 START_ID = 0  # ids of words follow
 
 

@@ -38,7 +38,7 @@ from .words import blocks
 MAGIC = b"LDSTPAK1"
 BLOCK = 1 << 16
 #: Bytes of text that are encoded at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 
 

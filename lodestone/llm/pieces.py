@@ -15,7 +15,7 @@ import pandas as pd
 from .words import Block, hashes, words
 
 #: Pieces that a worker keeps, at most.
-MAX_PIECES = 3_000_000
+MAX_PIECES = 800_000
 
 
 class PieceMemo:

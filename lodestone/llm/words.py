@@ -9,13 +9,16 @@ block by itself, always whole.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -29,15 +32,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class _Tables:
-    """Powers of the hashes' bases and of their inverses, grown on demand."""
+    """Powers of the hashes' bases, grown on demand."""
 
-    known: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+    known: dict[bool, np.ndarray] = {}
 
     @classmethod
-    def get(cls, n: int, second: bool) -> tuple[np.ndarray, np.ndarray]:
-        if second not in cls.known or len(cls.known[second][0]) < n:
-            n = max(1024, 1 << (n - 1).bit_length())
-            cls.known[second] = tuple(_powers(pow(_BASES[second], sign, 2**64), n) for sign in (1, -1))
+    def get(cls, n: int, second: bool) -> np.ndarray:
+        if second not in cls.known or len(cls.known[second]) < n:
+            cls.known[second] = _powers(_BASES[second], n + 65536)
         return cls.known[second]
 
 
@@ -61,6 +63,13 @@ LETTER[65:91] = LETTER[97:123] = True
 LETTER[128:] = True
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: several workers share an executor's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 class Block(NamedTuple):
     lo: int  # first row
     data: np.ndarray  # uint8, all rows' bytes end to end
@@ -93,6 +102,7 @@ def blocks(col: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + block_bytes, "right")) - 1)
         yield Block(lo, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         lo = hi
+    release()
 
 
 class Words(NamedTuple):
@@ -125,10 +135,11 @@ def words(block: Block, table: np.ndarray = NON_SPACE) -> Words:
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
     """A 64-bit hash of each data[start:end]; equal bytes have equal hashes. There is a second, independent one."""
     n = len(data)
-    up, down = _Tables.get(n + 1, second)
+    power = _Tables.get(n + 1, second)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    # Byte j has weight P**(n - j); the word's first byte then gets weight one by P**start and P**-n.
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[n:0:-1], out=total[1:])
+    return mix((total[end] - total[start]) * power[start] * np.uint64(pow(_BASES[second], -n, 2**64)))
 
 
 def hash_of(word: str) -> int:
