@@ -90,8 +90,7 @@ def birch_labels(spark, d):
 
 
 def cf_density(spark, d):
-    grid = _points(spark, d).where("id < 20")
-    return _r(C.kernel_density(_features(spark, d), grid, 0.05, D), "density")
+    return _r(C.kernel_density(_features(spark, d), _points(spark, d), 0.05, D), "density")
 
 
 def hop_neighbours(spark, d):
@@ -191,7 +190,7 @@ round(a.ss / a.n + b.ss / b.n - (pow(a.s0 + b.s0, 2) + pow(a.s1 + b.s1, 2) + pow
     "cf_merge": f"WITH {_PTS} SELECT label % 2 AS half, count(*) AS n, round(sum(x0), 6) AS s0, round(sum(x0 * x0 + x1 * x1 + x2 * x2), 6) AS sxx FROM p GROUP BY 1",
     "cf_density": f"""WITH {_CF}, v AS (SELECT *, greatest(sxx / n - ss / n / n, 0) / 3 + 0.05 * 0.05 AS v FROM g)
 SELECT id, round(sum(n * exp(-(pow(x0 - s0 / n, 2) + pow(x1 - s1 / n, 2) + pow(x2 - s2 / n, 2)) / (2 * v)) / pow(2 * pi() * v, 1.5)) / (SELECT sum(n) FROM f), 6) AS density
-FROM p CROSS JOIN v WHERE id < 20 GROUP BY id""",
+FROM p CROSS JOIN v GROUP BY id""",
     "hop_neighbours": f"WITH {_NEAR} SELECT id, other, round(d2, 6) AS d2, rank::INT AS rank FROM nn",
     "hop_radius_join": f"WITH {_PTS} SELECT a.id, count(*) AS n FROM p a JOIN p b ON {_XY} <= 0.05::DOUBLE * 0.05::DOUBLE GROUP BY a.id",
     "hop_knn_density": f"WITH {_DENS} SELECT * FROM dens",

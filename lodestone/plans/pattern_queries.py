@@ -62,7 +62,7 @@ def fim_vertical(spark, d):
 
 def fim_containment(spark, d):
     rows = brand_baskets(spark, d)
-    cands = rows.where("item in ('Brand#11', 'Brand#12')").groupBy().agg(F.sort_array(F.collect_set("item")).alias("items"))
+    cands = spark.createDataFrame([(["Brand#11", "Brand#12"],)], "items array<string>")
     return _named(P.contained(cands, rows, 2))
 
 
@@ -89,7 +89,7 @@ def utility_sets(spark, d):
 
 
 def _brand_triples(spark, d):
-    items = table(spark, d, "part").select(F.col("p_brand").alias("item")).distinct().where("item < 'Brand#24'")
+    items = table(spark, d, "part").select(F.col("p_brand").alias("item")).distinct()
     a, b, c = (items.select(F.col("item").alias(n)) for n in "abc")
     return a.join(b, F.col("a") < F.col("b")).join(c, F.col("b") < F.col("c")).select(F.array("a", "b", "c").alias("items"))
 
@@ -146,7 +146,7 @@ JOIN b z ON y.tid = z.tid AND y.item < z.item GROUP BY ALL HAVING count(*) >= {l
 
 
 _ALL = "SELECT i || ',' || j AS items, support FROM s2 UNION ALL SELECT i || ',' || j || ',' || k, support FROM s3"
-_TRIPLES = f"""b AS MATERIALIZED {BRANDS}, it AS (SELECT DISTINCT p_brand AS item FROM part WHERE p_brand < 'Brand#24'),
+_TRIPLES = f"""b AS MATERIALIZED {BRANDS}, it AS (SELECT DISTINCT p_brand AS item FROM part),
 t AS (SELECT a.item || ',' || b2.item || ',' || c.item AS items, a.item AS x, b2.item AS y, c.item AS z FROM it a, it b2, it c WHERE a.item < b2.item AND b2.item < c.item),
 o AS (SELECT items, tid, count(*) AS overlap FROM t JOIN b ON b.item IN (x, y, z) GROUP BY ALL),
 h AS (SELECT items, overlap, count(*) AS n FROM o GROUP BY ALL),
