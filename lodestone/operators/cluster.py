@@ -49,20 +49,24 @@ def kmeans(points: DataFrame, centres: Sequence[Sequence[float]], threshold: flo
     the clusters of the last assignment.
     """
     centres = [list(map(float, c)) for c in centres]
-    n, before = points.count(), None
+    dims, before = len(centres[0]), None
     for _ in range(max_loops + 1):
-        now = level(assign(points, centres))
-        if before is None:
-            changed = n
-        else:
-            old = before.select("id", F.col("cluster").alias("_old"))
-            changed = now.join(old, "id").where("cluster <> _old").count()
-        for c, (_, mean) in means(now, len(centres[0]), len(centres)).items():
-            centres[c] = mean
-        before = now
-        if changed <= threshold * n:
+        # One job: both assignments are expressions over the points, so nothing is joined or kept between rounds.
+        now = assign(points, centres)
+        moved = F.lit(1) if before is None else (F.col("cluster") != F.col("_old")).cast("int")
+        if before is not None:
+            now = assign(points, before).select("id", "x", F.col("cluster").alias("_old"))
+            now = assign(now, centres)
+        sums = now.groupBy("cluster").agg(
+            F.count("*").alias("n"), F.sum(moved).alias("moved"), *[F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(dims)]
+        )
+        rows = sums.limit(len(centres)).collect()
+        before, centres = centres, [list(c) for c in centres]
+        for r in rows:
+            centres[r.cluster] = [r[f"x{i}"] for i in range(dims)]
+        if sum(r.moved for r in rows) <= threshold * sum(r.n for r in rows):
             break
-    return centres, before
+    return centres, assign(points, before)
 
 
 def zscore(points: DataFrame, dims: int) -> DataFrame:
