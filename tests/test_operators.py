@@ -218,3 +218,25 @@ def test_sequence_functions(spark):
         S.reverse_complement(F.col("s")), S.translate(F.col("s")), S.identity(F.col("a"), F.col("b")), S.to_rna(F.col("s")), S.dealign(F.col("a"))
     )
     assert tuple(row.first()) == ("NGCCAT", "MX", pytest.approx(3 / 4), "AUGGCN", "ACGT")
+
+
+def test_matrices(spark):
+    from lodestone.functions import matrix as M
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(4, 4)), rng.normal(size=(4, 4))
+    x, y = M.from_dense(spark, a), M.from_dense(spark, b)
+    assert np.allclose(M.to_dense(M.multiply(x, y), 4, 4), a @ b)
+    assert np.allclose(M.to_dense(M.add(x, M.transpose(y), -2.0), 4, 4), a - 2 * b.T)
+    assert np.allclose(M.to_dense(M.swap_rows(x, 0, 2), 4, 4), a[[2, 1, 0, 3]])
+    order, low, up = M.lu(a)
+    assert np.allclose(low @ up, a[order]) and np.allclose(M.solve(a, a @ b), b) and np.allclose(M.invert(a) @ a, np.eye(4))
+    rows = spark.createDataFrame([(float(i), float(i * i), 2.0 + 3 * i - 0.5 * i * i) for i in range(9)], "p double, q double, t double")
+    assert np.allclose(M.regression(rows, ["p", "q"], "t"), [2, 3, -0.5])
+
+
+def test_histogram_and_significance(spark):
+    hits = spark.createDataFrame([(50, 10.5), (50, 3.2), (40, 10.7)], "gc int, score double")
+    assert {r.bin: r.n for r in align.score_histogram(hits).collect()} == {10: 2, 3: 1}
+    fits = spark.createDataFrame([(50, 2.0, 0.7), (40, 30.0, 0.7)], "gc int, mu double, lam double")
+    assert [r.score for r in align.significant(hits, fits, 0.1).collect()] == [10.5]
