@@ -26,11 +26,35 @@ class PieceMemo:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # Each level: ascending keys, second hashes, first id, number of ids. New pieces go to the
+        # small level, which is merged into the large one now and then.
+        self.levels = [self._empty(), self._empty()]
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _insert(self, keys: np.ndarray, checks: np.ndarray, encoded: list[bytes]) -> None:
+    @staticmethod
+    def _empty() -> tuple[np.ndarray, ...]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return sum(len(level[0]) for level in self.levels)
+
+    @staticmethod
+    def _merge(level: tuple[np.ndarray, ...], more: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        at = np.searchsorted(level[0], more[0])
+        return tuple(np.insert(a, at, b) for a, b in zip(level, more))
+
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, first id, number of ids) of pieces with ascending keys."""
+        known, start, size = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for level in self.levels:
+            if len(level[0]):
+                at = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
+                hit = np.flatnonzero((level[0][at] == keys) & (level[1][at] == checks) & ~known)
+                known[hit], start[hit], size[hit] = True, level[2][at[hit]], level[3][at[hit]]
+        return known, start, size
+
+    def _add(self, keys: np.ndarray, checks: np.ndarray, encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keep new pieces; (first id, number of ids) of each."""
         new = np.frombuffer(b"".join(encoded), "<u4")
         while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
@@ -38,18 +62,17 @@ class PieceMemo:
         size = np.fromiter(map(len, encoded), np.int32, len(encoded)) // 4
         start = self.used + np.cumsum(size, dtype=np.int64) - size
         self.used += len(new)
-        # Of equal keys, the newer piece replaces the older one.
-        stay = ~np.isin(self.keys, keys, assume_unique=True) if len(self.keys) and np.isin(keys, self.keys, assume_unique=True).any() else slice(None)
-        parts = [(self.keys[stay], keys), (self.checks[stay], checks), (self.start[stay], start), (self.size[stay], size)]
-        at = np.searchsorted(parts[0][0], keys)
-        self.keys, self.checks, self.start, self.size = (np.insert(a, at, b) for a, b in parts)
+        self.levels[1] = self._merge(self.levels[1], (keys, checks, start, size))
+        if len(self.levels[1][0]) > max(1 << 16, len(self.levels[0][0]) // 8):
+            self.levels = [self._merge(*self.levels), self._empty()]
+        return start, size
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows end to end, ids of each row)."""
         w = words(block)
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(block.rows, np.int64)
-        if len(self.keys) > self.max_pieces:
+        if len(self) > self.max_pieces:
             self.clear()
         key, check = hashes(block.data, w.start, w.end), hashes(block.data, w.start, w.end, second=True)
         codes, distinct = pd.factorize(key)
@@ -61,18 +84,16 @@ class PieceMemo:
         one[codes] = np.arange(len(codes))
         if not (check[one][codes] == check).all():
             return self._plain(block, w)
-        at = np.searchsorted(self.keys, distinct)
-        inside = np.minimum(at, max(len(self.keys) - 1, 0))
-        known = (self.keys[inside] == distinct) & (self.checks[inside] == check[one]) if len(self.keys) else np.zeros(len(one), bool)
+        known, start, size = self._find(distinct, check[one])
         new = np.flatnonzero(~known)
         if len(new):
             raw = block.data.tobytes()
             ends = zip(w.start[one[new]].tolist(), w.end[one[new]].tolist())
-            self._insert(distinct[new], check[one[new]], self.learn([raw[a:b].decode("utf-8", "replace") for a, b in ends]))
-            at = np.searchsorted(self.keys, distinct)
-        size = self.size[at][codes].astype(np.int64)
+            learned = self.learn([raw[a:b].decode("utf-8", "replace") for a, b in ends])
+            start[new], size[new] = self._add(distinct[new], check[one[new]], learned)
+        size = size[codes]
         total = np.cumsum(size)
-        place = np.repeat(self.start[at][codes] - (total - size), size)
+        place = np.repeat(start[codes] - (total - size), size)
         place += np.arange(len(place))
         per_row = np.diff(np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(w.per_row)])])
         return self.ids[place], per_row
