@@ -9,6 +9,7 @@ cases are DataFrame aggregates.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Sequence
 
@@ -307,6 +308,18 @@ class BayesNet:
             self.tables[name] = np.where(total > 0, table / np.where(total > 0, total, 1), 1 / table.shape[-1])
         return self
 
+    def save(self) -> str:
+        """The model as JSON."""
+        return json.dumps({"values": self.values, "parents": self.parents, "tables": {k: t.tolist() for k, t in self.tables.items()}})
+
+    @classmethod
+    def load(cls, text: str) -> BayesNet:
+        net, data = cls(), json.loads(text)
+        net.values, net.parents = data["values"], data["parents"]
+        for name, t in data["tables"].items():
+            net.set_table(name, t)
+        return net
+
     def order(self) -> list[str]:
         out: list[str] = []
         while len(out) < len(self.parents):

@@ -263,3 +263,124 @@ def path_distances(tree: Node) -> dict[tuple[str, str], float]:
 
     below(tree)
     return out
+
+
+def hierarchy(names: Sequence[str], distances: np.ndarray, mode: str = "mean") -> Node:
+    """Agglomerative tree of a distance matrix by ``mean`` (UPGMA), ``min`` or ``max`` linkage; ties to the first pair."""
+    d = np.array(distances, float)
+    np.fill_diagonal(d, np.inf)
+    nodes, sizes, heights = [Node(n) for n in names], np.ones(len(names)), np.zeros(len(names))
+    while len(nodes) > 1:
+        upper = np.where(np.triu(np.ones_like(d), 1) > 0, d, np.inf)
+        i, j = np.unravel_index(int(np.argmin(upper)), d.shape)
+        height = d[i, j] / 2
+        nodes[i].length, nodes[j].length = max(height - heights[i], 0.0), max(height - heights[j], 0.0)
+        joined = {"mean": (sizes[i] * d[i] + sizes[j] * d[j]) / (sizes[i] + sizes[j]), "min": np.minimum(d[i], d[j]), "max": np.maximum(d[i], d[j])}[mode]
+        keep = [k for k in range(len(nodes)) if k not in (i, j)]
+        nodes = [nodes[k] for k in keep] + [Node("", 0.0, [nodes[i], nodes[j]])]
+        sizes, heights = np.append(sizes[keep], sizes[i] + sizes[j]), np.append(heights[keep], height)
+        d = np.block([[d[np.ix_(keep, keep)], joined[keep][:, None]], [joined[keep][None, :], np.full((1, 1), np.inf)]])
+    return nodes[0]
+
+
+def gamma_distance(p: float, alpha: float, states: int = 4) -> float:
+    """The equal-rates distance with gamma-distributed rates over sites."""
+    b = (states - 1) / states
+    return 5.0 if p >= b * 0.999 else b * alpha * ((1 - p / b) ** (-1 / alpha) - 1)
+
+
+def likelihood_distance(counts: np.ndarray, rates: Sequence[float] = (1.0,), longest: float = 5.0) -> float:
+    """The branch length that maximises the likelihood of a pair's symbol counts."""
+    from lodestone.functions.special import golden_minimum
+
+    def cost(t: float) -> float:
+        p = sum(transition(t * r, len(counts)) for r in rates) / len(rates)
+        return -float((counts * np.log(np.maximum(p, 1e-300))).sum())
+
+    return golden_minimum(cost, 1e-9, longest)
+
+
+def same_topology(a: Node, b: Node) -> bool:
+    return sorted(a.leaves()) == sorted(b.leaves()) and splits(a) == splits(b)
+
+
+def satisfies(tree: Node, constraint: Node) -> bool:
+    """Whether the tree has every split of the constraint, on the constraint's leaves."""
+    names = set(constraint.leaves())
+
+    def prune(n: Node) -> Node | None:
+        if not n.children:
+            return n if n.name in names else None
+        left = [c for c in map(prune, n.children) if c]
+        return None if not left else left[0] if len(left) == 1 else Node(n.name, n.length, left)
+
+    rest = prune(tree)
+    return rest is not None and splits(constraint) <= splits(rest)
+
+
+def neighbour_interchanges(tree: Node) -> list[Node]:
+    """The trees that differ by one exchange of subtrees across an inner branch."""
+    import copy
+
+    out = []
+
+    def places(n: Node, path: tuple[int, ...]):
+        for k, c in enumerate(n.children):
+            if c.children:
+                yield (*path, k)
+            yield from places(c, (*path, k))
+
+    for path in places(tree, ()):
+        for inner in range(2):
+            new = copy.deepcopy(tree)
+            parent = new
+            for k in path[:-1]:
+                parent = parent.children[k]
+            child = parent.children[path[-1]]
+            other = next(k for k in range(len(parent.children)) if k != path[-1])
+            parent.children[other], child.children[inner] = child.children[inner], parent.children[other]
+            out.append(new)
+    return out
+
+
+def simulate(spark, newick: str, sites: int, seed: int, alphabet: str = "ACGT") -> DataFrame:
+    """``(id, seq)`` of the leaves: every site evolves on its own from a uniform root; seeded by blocks of sites."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        tree = parse_newick(newick)
+        rng = np.random.default_rng([seed, int(part["block"].iloc[0])])
+        n, out = len(part), []
+
+        def down(node: Node, state: np.ndarray) -> None:
+            if not node.children:
+                out.append((node.name, state))
+            for c in node.children:
+                total = np.cumsum(transition(c.length, len(alphabet))[state], axis=1)
+                down(c, np.minimum((rng.random(n)[:, None] > total).sum(axis=1), len(alphabet) - 1))
+
+        down(tree, rng.integers(len(alphabet), size=n))
+        sites_here = sorted(part["id"])
+        return pd.DataFrame([(name, s, alphabet[v]) for name, x in out for s, v in zip(sites_here, x)], columns=["id", "site", "sym"])
+
+    rows = spark.range(sites).withColumn("block", F.floor(F.col("id") / 1000)).groupBy("block").applyInPandas(run, "id string, site long, sym string")
+    return rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", "sym"))), lambda s: s["sym"]), "").alias("seq"))
+
+
+def site_rates(aligned: DataFrame, newick: str, grid: Sequence[float] = (0.05, 0.1, 0.2, 0.4, 0.7, 1.0, 1.5, 2.5, 4.0, 8.0), prior: Sequence[float] | None = None, alphabet: str = "ACGT") -> DataFrame:
+    """``(pos, ml_rate, eb_rate)``: the likeliest rate of the grid and the posterior mean under the prior; columns are independent."""
+    from .align import columns
+
+    rows = columns(aligned).groupBy("pos").agg(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), "sym")).alias("column"))
+
+    def run(batches):
+        tree, weights = parse_newick(newick), np.ones(len(grid)) if prior is None else np.asarray(prior, float)
+        for batch in batches:
+            out = []
+            for pos, column in zip(batch["pos"], batch["column"]):
+                values = {c["id"]: c["sym"] for c in column}
+                like = np.array([site_likelihoods(tree, values, alphabet, (r,)) for r in grid])
+                post = like * weights / (like * weights).sum()
+                out.append((pos, float(grid[int(np.argmax(like))]), float((post * np.asarray(grid)).sum())))
+            yield pd.DataFrame(out, columns=["pos", "ml_rate", "eb_rate"])
+
+    return rows.mapInPandas(run, "pos int, ml_rate double, eb_rate double")

@@ -240,3 +240,39 @@ def test_histogram_and_significance(spark):
     assert {r.bin: r.n for r in align.score_histogram(hits).collect()} == {10: 2, 3: 1}
     fits = spark.createDataFrame([(50, 2.0, 0.7), (40, 30.0, 0.7)], "gc int, mu double, lam double")
     assert [r.score for r in align.significant(hits, fits, 0.1).collect()] == [10.5]
+
+
+def test_more_trees(spark):
+    text = "((a:1,b:1):1,(c:0.5,d:0.5):1.5);"
+    tree = phylogeny.parse_newick(text)
+    names = ["a", "b", "c", "d"]
+    d = np.zeros((4, 4))
+    for (x, y), v in phylogeny.path_distances(tree).items():
+        d[names.index(x), names.index(y)] = d[names.index(y), names.index(x)] = v
+    for mode in ("mean", "min", "max"):
+        again = phylogeny.hierarchy(names, d, mode)
+        assert phylogeny.same_topology(again, tree)
+        assert {k: round(v, 9) for k, v in phylogeny.path_distances(again).items()} == phylogeny.path_distances(tree)
+    counts = 1000 * phylogeny.transition(0.3) / 4
+    assert phylogeny.likelihood_distance(counts) == pytest.approx(0.3, abs=1e-4)
+    assert phylogeny.gamma_distance(0.2, 1e6) == pytest.approx(phylogeny.jukes_cantor(0.2), abs=1e-5)
+    five = phylogeny.parse_newick("((a,b),(c,d),e);")
+    assert phylogeny.satisfies(five, phylogeny.parse_newick("((a,b),c,d);")) and not phylogeny.satisfies(five, phylogeny.parse_newick("((a,c),b,d);"))
+    moved = phylogeny.neighbour_interchanges(five)
+    assert len({frozenset(phylogeny.splits(t)) for t in moved} - {frozenset(phylogeny.splits(five))}) >= 3
+    seqs = {r.id: r.seq for r in phylogeny.simulate(spark, "(a:0.1,b:0.1,c:3);", 3000, 1).collect()}
+    assert {len(s) for s in seqs.values()} == {3000}
+    p = np.mean([x != y for x, y in zip(seqs["a"], seqs["b"])])
+    assert phylogeny.jukes_cantor(p) == pytest.approx(0.2, abs=0.04)
+    aligned = spark.createDataFrame([("a", "AAC"), ("b", "AAG"), ("c", "ACT")], "id string, seq string")
+    rates = {r.pos: r for r in phylogeny.site_rates(aligned, "(a:0.3,b:0.3,c:0.3);").collect()}
+    assert rates[0].ml_rate < rates[1].ml_rate <= rates[2].ml_rate and rates[0].eb_rate < rates[2].eb_rate
+    weights = {r.id: r.weight for r in align.cluster_weights(aligned, 0.6).collect()}
+    assert weights == {"a": 0.75, "b": 0.75, "c": 1.5}
+
+
+def test_saved_net():
+    net = graph.BayesNet()
+    net.add_node("a", ["x", "y"])
+    net.set_table("a", [0.25, 0.75])
+    assert graph.BayesNet.load(net.save()).query(["a"], {}).tolist() == [0.25, 0.75]
