@@ -50,7 +50,8 @@ DISCOUNT = 0.75
 STEPS = 4096
 #: The end token's hash; a fixed value that no word's hash is likely to equal.
 END = 0x5851F42D4C957F2D
-BLOCK_BYTES = 1 << 20
+#: Bytes of text that are looked up at once: each block asks every shard, so small ones cost more.
+BLOCK_BYTES = 4 << 20
 START_ID = 0  # ids of words follow
 
 
@@ -100,6 +101,9 @@ _open: dict[str, object] = {}
 
 def _mapped(uri: str, kind):
     if uri not in _open:
+        folder = os.path.dirname(uri)
+        for old in [u for u in _open if os.path.dirname(u) != folder]:
+            del _open[old]  # another model's
         _open[uri] = kind(_load(uri))
     return _open[uri]
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 _own_root: str | None = None
 _shipped: set[str] = set()
+_folders: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
@@ -36,8 +37,17 @@ def root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one table or folder of files."""
-    return f"{root(spark)}/lodestone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path for one table or folder of files; this application's are deleted when its driver ends."""
+    folder = f"{root(spark)}/lodestone-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # the session may be stopped by then; what it left stays
+        hadoop_delete(spark, folder)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
