@@ -120,7 +120,7 @@ def afi_pruning_support(spark, d):
 
 
 def afi_exact(spark, d):
-    return _named(P.approximate_itemsets(brand_baskets(spark, d), BRAND_SHARE, 0.0, 0.0, max_size=4))
+    return _named(P.approximate_itemsets(brand_baskets(spark, d), BRAND_SHARE, 0.0, 0.0, max_size=12))
 
 
 def afi_noisy(spark, d):
@@ -137,15 +137,14 @@ _LEAST = "greatest(2, floor({share} * (SELECT count(DISTINCT tid) FROM b) + 0.5)
 
 
 def _sets(share, rows=BRANDS):
-    least = _LEAST.format(share=share)
-    return f"""b AS MATERIALIZED {rows},
-s1 AS (SELECT item, count(*) AS support FROM b GROUP BY item HAVING count(*) >= {least}),
-s2 AS (SELECT x.item AS i, y.item AS j, count(*) AS support FROM b x JOIN b y ON x.tid = y.tid AND x.item < y.item GROUP BY ALL HAVING count(*) >= {least}),
-s3 AS (SELECT x.item AS i, y.item AS j, z.item AS k, count(*) AS support FROM b x JOIN b y ON x.tid = y.tid AND x.item < y.item
-JOIN b z ON y.tid = z.tid AND y.item < z.item GROUP BY ALL HAVING count(*) >= {least})"""
+    """All frequent sets of two or more items, by extending each basket's subsets upwards."""
+    return f"""RECURSIVE b AS MATERIALIZED {rows}, least AS MATERIALIZED (SELECT {_LEAST.format(share=share)} AS least),
+g AS MATERIALIZED (SELECT tid, item FROM b WHERE item IN (SELECT item FROM b GROUP BY item HAVING count(*) >= (SELECT least FROM least))),
+r(tid, items, last) AS (SELECT tid, [item], item FROM g UNION ALL SELECT r.tid, list_append(r.items, g.item), g.item FROM r JOIN g ON g.tid = r.tid AND g.item > r.last),
+f AS MATERIALIZED (SELECT items, count(*) AS support FROM r WHERE len(items) > 1 GROUP BY items HAVING count(*) >= (SELECT least FROM least))"""
 
 
-_ALL = "SELECT i || ',' || j AS items, support FROM s2 UNION ALL SELECT i || ',' || j || ',' || k, support FROM s3"
+_ALL = "SELECT array_to_string(items, ',') AS items, support FROM f"
 _TRIPLES = f"""b AS MATERIALIZED {BRANDS}, it AS (SELECT DISTINCT p_brand AS item FROM part),
 t AS (SELECT a.item || ',' || b2.item || ',' || c.item AS items, a.item AS x, b2.item AS y, c.item AS z FROM it a, it b2, it c WHERE a.item < b2.item AND b2.item < c.item),
 o AS (SELECT items, tid, count(*) AS overlap FROM t JOIN b ON b.item IN (x, y, z) GROUP BY ALL),
@@ -157,13 +156,11 @@ ORACLES = {
     "fim_pairs": f"""WITH b AS MATERIALIZED {BASKETS} SELECT x.item || ',' || y.item AS items, count(*) AS support FROM b x JOIN b y
 ON x.tid = y.tid AND x.item < y.item GROUP BY ALL HAVING count(*) >= {_LEAST.format(share=PAIR_SHARE)}""",
     "fim_apriori": f"WITH {_sets(BRAND_SHARE)} {_ALL}",
-    "fim_triples": f"WITH {_sets(BRAND_SHARE)} SELECT i || ',' || j || ',' || k AS items, support FROM s3",
+    "fim_triples": f"WITH {_sets(BRAND_SHARE)} {_ALL} WHERE len(items) = 3",
     "fim_eclat": f"WITH {_sets(BRAND_SHARE)} {_ALL}",
     "fim_declat": f"WITH {_sets(BRAND_SHARE)} {_ALL}",
-    "fim_maximal": f"""WITH {_sets(BRAND_SHARE)} SELECT i || ',' || j AS items, support FROM s2 WHERE NOT EXISTS (SELECT 1 FROM s3
-WHERE (s3.i, s3.j) = (s2.i, s2.j) OR (s3.i, s3.k) = (s2.i, s2.j) OR (s3.j, s3.k) = (s2.i, s2.j)) UNION ALL SELECT i || ',' || j || ',' || k, support FROM s3""",
-    "fim_levels": f"""WITH {_sets(BRAND_SHARE)} SELECT 2 AS size, count(*) AS n, round(avg(support), 6) AS mean_support FROM s2
-UNION ALL SELECT 3, count(*), round(avg(support), 6) FROM s3 HAVING count(*) > 0""",
+    "fim_maximal": f"WITH {_sets(BRAND_SHARE)} {_ALL} WHERE NOT EXISTS (SELECT 1 FROM f h WHERE len(h.items) = len(f.items) + 1 AND list_has_all(h.items, f.items))",
+    "fim_levels": f"WITH {_sets(BRAND_SHARE)} SELECT len(items)::INT AS size, count(*) AS n, round(avg(support), 6) AS mean_support FROM f GROUP BY 1",
     "fim_vertical": f"SELECT item, count(*) AS support, min(tid) AS first_tid, max(tid) AS last_tid FROM {BRANDS} GROUP BY item",
     "fim_containment": f"""SELECT 'Brand#11,Brand#12' AS items, tid FROM {BRANDS} WHERE item IN ('Brand#11', 'Brand#12') GROUP BY tid HAVING count(*) = 2""",
     "stat_basket_conf": f"""WITH b AS {BASKETS}, s AS (SELECT tid, count(*) AS n FROM b GROUP BY tid)
