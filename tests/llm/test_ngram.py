@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lodestone.llm import eliasfano, ngram, queries
+from lodestone.llm import eliasfano, queries
 from lodestone.llm.eliasfano import EliasFano
 
 TEXTS = [
