@@ -16,10 +16,6 @@ def _named(df):
     return df.withColumn("items", F.array_join("items", ","))
 
 
-def _n(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").count()
-
-
 def fim_l1(spark, d):
     rows = baskets(spark, d)
     least = P.minimum_count(rows.select("tid").distinct().count(), 0.01)
