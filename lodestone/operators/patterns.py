@@ -203,10 +203,30 @@ def two_sequences(events: DataFrame) -> DataFrame:
 
 
 def overlap_histogram(cands: DataFrame, baskets: DataFrame) -> DataFrame:
-    """``(items, overlap, n)``: baskets with exactly 1, 2, ... of a candidate's items."""
-    exploded = cands.select("items", F.explode("items").alias("item"))
-    per_basket = baskets.join(exploded, "item").groupBy("items", "tid").agg(F.count("*").alias("overlap"))
-    return per_basket.groupBy("items", "overlap").agg(F.count("*").alias("n"))
+    """``(items, overlap, n)``: baskets with exactly 1, 2, ... of a candidate's items.
+
+    Baskets that share two items or more are found by pairs: m shared items are
+    m (m - 1) / 2 shared pairs. Those that share one follow from the items'
+    supports, so the many single matches are never listed.
+    """
+    a, b = baskets.alias("a"), baskets.alias("b")
+    held = a.join(b, (F.col("a.tid") == F.col("b.tid")) & (F.col("a.item") < F.col("b.item"))).select("a.tid", F.col("a.item").alias("x"), F.col("b.item").alias("y"))
+    heads = F.when(F.size("items") > 1, F.sequence(F.lit(1), F.size("items") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    inner = F.flatten(
+        F.transform(
+            heads,
+            lambda i: F.transform(F.slice("items", i + 1, F.size("items")), lambda y: F.struct(F.element_at("items", i).alias("x"), y.alias("y"))),
+        )
+    )
+    pairs = cands.select("items", F.inline(inner))
+    shared = held.join(pairs, ["x", "y"]).groupBy("items", "tid").agg(F.count("*").alias("c"))
+    overlap = ((1 + F.sqrt(1 + 8 * F.col("c"))) / 2 + 0.25).cast("long")
+    more = shared.groupBy("items", overlap.alias("overlap")).agg(F.count("*").alias("n"))
+    single = cands.select("items", F.explode("items").alias("item")).join(item_counts(baskets), "item")
+    single = single.groupBy("items").agg(F.sum("support").alias("s"))
+    taken = more.groupBy("items").agg(F.sum(F.col("overlap") * F.col("n")).alias("t"))
+    ones = single.join(taken, "items", "left").select("items", F.lit(1).cast("long").alias("overlap"), (F.col("s") - F.coalesce("t", F.lit(0))).alias("n"))
+    return more.union(ones.where("n > 0"))
 
 
 def _by_overlap(histogram: DataFrame, n_baskets: int) -> DataFrame:
