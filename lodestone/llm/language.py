@@ -7,10 +7,10 @@ all training rows. The rows of each language in a sample of about ``FIT_ROWS``
 (the documented bound of the fit) are clustered by spherical k-means into
 ``CLUSTERS`` centroids; a text gets the language of the centroid with the
 largest cosine. It is rejected if its cosine distance from that centroid is
-beyond the language's radius for texts of its length: the farthest that sample
-texts of that many n-grams (by powers of two) lie, with half their least cosine
-as slack, so that short texts, which lie far from everything, aren't rejected
-for being short.
+beyond the language's radius for texts of its length: its cosine is less than
+``SLACK`` times the least one of sample texts with about as many n-grams (the same
+power of two or a neighbouring one), so that short texts, which lie far from
+everything, aren't rejected for being short.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 is rejected; with nothing to learn from every text is; rows with a null
@@ -40,7 +40,9 @@ CLUSTERS = 4
 FIT_ROWS = 400
 #: Languages that one model may have.
 MAX_LANGUAGES = 5000
-SLACK = 0.5
+SLACK = 0.3
+#: Below so many n-grams the least cosine shrinks with the square root of their number, as few samples are that short.
+SHORT = 512
 #: Rows whose vectors are held at once.
 ROWS = 256
 _BITS = DIMENSIONS.bit_length() - 1
@@ -182,8 +184,9 @@ def fit(docs: DataFrame, training: Column, fit_rows: int = FIT_ROWS, clusters: i
         own, kind = (x @ centres.T).max(axis=1), _length_class(found)
         least = np.zeros(64)
         for c in range(64):
-            here = own[kind == c]
-            least[c] = SLACK * here.min() if len(here) else (least[c - 1] if c else 0.0)
+            here = own[np.abs(kind - c) <= 1]
+            short = min(1.0, (2.0**c / SHORT) ** 0.5)
+            least[c] = SLACK * short * here.min() if len(here) else (least[c - 1] if c else 0.0)
         lang = part["lang"].iloc[0]
         return pd.DataFrame({"lang": lang, "cluster": range(len(centres)), "centroid": list(centres), "least": [least] * len(centres)})
 
