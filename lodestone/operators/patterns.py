@@ -106,44 +106,51 @@ def eclat(baskets: DataFrame, share: float, n_baskets: int | None = None, max_si
     n = baskets.select("tid").distinct().count() if n_baskets is None else n_baskets
     least = minimum_count(n, share)
     rows = level(prune_items(baskets, least))
-    large = level(frequent_pairs(rows, least))
+    # Sets get numbers, so that the long lists hold two numbers a row instead of arrays of items.
+    below = _numbered_sets(item_counts(rows).select(F.array("item").alias("items"), "support"))
+    lists = rows.join(below.select(F.col("items")[0].alias("item"), "sid"), "item").select("sid", "tid")
+    large, k = _numbered_sets(frequent_pairs(rows, least)), 2
     out = large
-    tids = level(rows.select(F.array("item").alias("items"), "tid"))  # lists of the level below
-    lists, k = None, 2
-    while True:
-        cands = large.select("items", F.slice("items", 1, k - 1).alias("px"), F.concat(F.slice("items", 1, k - 2), F.array(F.element_at("items", -1))).alias("py"))
-        if differences:
-            side = lists if lists is not None else None
-            if side is None:  # first level: t(X) - t(Y)
-                left = cands.join(tids.withColumnRenamed("items", "px"), "px")
-                new = left.join(tids.select(F.col("items").alias("py"), "tid"), ["py", "tid"], "left_anti").select("items", "tid")
-            else:
-                left = cands.join(side.withColumnRenamed("items", "py"), "py")
-                new = left.join(side.select(F.col("items").alias("px"), "tid"), ["px", "tid"], "left_anti").select("items", "tid")
-        else:
-            base = lists if lists is not None else tids
-            left = cands.join(base.withColumnRenamed("items", "px"), "px")
-            new = left.join(base.select(F.col("items").alias("py"), "tid"), ["py", "tid"]).select("items", "tid")
-        lists = level(new)
-        if large.count() <= 1 or (max_size is not None and k >= max_size):
-            return out
+    while large.count() > 1 and (max_size is None or k < max_size):
+        cands = _numbered_sets(candidates(large, k + 1))
+        if cands.isEmpty():
+            break
+        # Only the sets that some candidate is made of need lists.
+        needed = _halves(cands, k + 1, large)
+        used = needed.select(F.col("px").alias("sid")).union(needed.select(F.col("py").alias("sid"))).distinct()
+        halves = _halves(large.join(used, "sid", "left_semi"), k, below)
+        lists = level(_combine(lists, halves, differences, first=k == 2))
         k += 1
-        nxt = level(candidates(large, k))
-        if nxt.isEmpty():
-            return out
-        px = F.slice("items", 1, k - 1)
-        py = F.concat(F.slice("items", 1, k - 2), F.array(F.element_at("items", -1)))
-        pair = nxt.select("items", px.alias("px"), py.alias("py"))
+        found = _combine(lists, needed, differences, first=False).groupBy("sid").agg(F.count("*").alias("c"))
+        joined = needed.join(found, "sid", "left").select("items", "px", F.coalesce("c", F.lit(0)).alias("c"))
         if differences:
-            own = pair.join(lists.withColumnRenamed("items", "py"), "py")
-            own = own.join(lists.select(F.col("items").alias("px"), "tid"), ["px", "tid"], "left_anti").groupBy("items").agg(F.count("*").alias("d"))
-            support = pair.join(large.select(F.col("items").alias("px"), "support"), "px").join(own, "items", "left")
-            counts = support.select("items", (F.col("support") - F.coalesce("d", F.lit(0))).alias("support"))
+            joined = joined.join(large.select(F.col("sid").alias("px"), "support"), "px").select("items", (F.col("support") - F.col("c")).alias("support"))
         else:
-            own = pair.join(lists.withColumnRenamed("items", "px"), "px").join(lists.select(F.col("items").alias("py"), "tid"), ["py", "tid"])
-            counts = own.groupBy("items").agg(F.count("*").alias("support"))
-        large = level(counts.where(F.col("support") >= least))
+            joined = joined.select("items", F.col("c").alias("support"))
+        below, large = large, _numbered_sets(joined.where(F.col("support") >= least))
         out = out.union(large)
+    return out.select("items", "support")
+
+
+def _numbered_sets(sets: DataFrame) -> DataFrame:
+    return level(level(sets).withColumn("sid", F.monotonically_increasing_id()))
+
+
+def _halves(sets: DataFrame, k: int, below: DataFrame) -> DataFrame:
+    """``sets`` of size k with the numbers of the two sets that differ in their last item: without the last, without the last but one."""
+    px = F.slice("items", 1, k - 1)
+    py = F.concat(F.slice("items", 1, k - 2), F.array(F.element_at("items", -1)))
+    named = sets.withColumns({"_x": px, "_y": py})
+    named = named.join(below.select(F.col("items").alias("_x"), F.col("sid").alias("px")), "_x")
+    return named.join(below.select(F.col("items").alias("_y"), F.col("sid").alias("py")), "_y").drop("_x", "_y")
+
+
+def _combine(lists: DataFrame, halves: DataFrame, differences: bool, first: bool) -> DataFrame:
+    """The lists of sets from those of their halves: intersections, or differences (of basket lists at first, then of difference sets)."""
+    one, other = ("px", "py") if first or not differences else ("py", "px")
+    own = halves.select(F.col("sid").alias("_set"), F.col(one).alias("sid"), F.col(other).alias("_o")).join(lists, "sid").select("_set", F.col("_o").alias("sid"), "tid")
+    kind = "left_anti" if differences else "left_semi"
+    return own.join(lists, ["sid", "tid"], kind).select(F.col("_set").alias("sid"), "tid")
 
 
 def maximal(frequent: DataFrame) -> DataFrame:
