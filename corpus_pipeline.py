@@ -2,7 +2,7 @@
 
 1. language: documents that the language model rejects go;
 2. quality: documents that the site-quality classifier judges bad go;
-3. near_duplicates: one document of each SimHash component stays;
+3. near_duplicates: one document of each group of near copies (five words, similarity 0.8) stays;
 4. decontaminate: documents that hold a benchmark item go;
 5. encode: the rest becomes token ids.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, language, ngram, scratch, simhash, site_quality
+from lodestone.llm import bpe, decontaminate, language, ngram, scratch, similar, site_quality
 from lodestone.llm.queries import table, word_vocabulary
 
 
@@ -30,7 +30,7 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs, shingle=3, radius=2)
+    return similar.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

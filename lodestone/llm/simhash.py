@@ -18,7 +18,8 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -209,10 +210,10 @@ def links(distinct: DataFrame, radius: int, blocks: int | None = None, tile: int
     return few.union(many).distinct()
 
 
-def _named(prints: DataFrame, radius: int, blocks: int | None, tile: int) -> DataFrame:
-    """``(fp, component, component_id)`` of each distinct fingerprint."""
+def named(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(fp, component, component_id)`` of each distinct fingerprint, by the links ``(u, v)`` between them."""
     nodes = scratch.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    groups = components(links(nodes.select("fp"), radius, blocks, tile))
+    groups = components(linked(nodes.select("fp")))
     joined = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return scratch.materialise(joined.join(least, "component").select("fp", "component", "component_id"), "named")
@@ -226,7 +227,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks:
     """
     scratch.ship(docs.sparkSession)
     prints = scratch.materialise(fingerprints(docs, shingle), "fingerprints")
-    return prints.join(_named(prints, radius, blocks, tile), "fp").select("doc_id", "fp", "component_id")
+    found = named(prints, lambda distinct: links(distinct, radius, blocks, tile))
+    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -237,7 +239,11 @@ def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     """
     scratch.ship(docs.sparkSession)
     prints = scratch.materialise(fingerprints(docs, shingle), "fingerprints")
-    named = _named(prints, radius, None, TILE)
+    return one_of_each(docs, prints, named(prints, lambda distinct: links(distinct, radius)), partial(fingerprint, shingle=shingle))
+
+
+def one_of_each(docs: DataFrame, prints: DataFrame, named: DataFrame, fingerprint: Callable[[bytes], int]) -> DataFrame:
+    """The rows of ``docs`` that ``representatives`` keeps, given each row's print and each print's component."""
     odd = scratch.materialise(prints.groupBy("doc_id").count().where("doc_id is null or count > 1").select("doc_id"), "odd")
     drop = prints.join(named, "fp").where("doc_id <> component_id").select("doc_id")
     alone = scratch.without(docs.where("doc_id is not null"), drop.union(odd))
@@ -248,7 +254,7 @@ def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py() or b"", shingle) for t in binary_column(batch.column(text))], np.uint64)
+            found = np.array([fingerprint(t.as_py() or b"") for t in binary_column(batch.column(text))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*columns, "lodestone_fp"])
 
     printed = some.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lodestone_fp", T.LongType())]))
