@@ -8,9 +8,10 @@ all training rows. The rows of each language in a sample of about ``FIT_ROWS``
 ``CLUSTERS`` centroids; a text gets the language of the centroid with the
 largest cosine. It is rejected if its cosine distance from that centroid is
 beyond the language's radius for texts of its length: its cosine is less than
-``SLACK`` times the least one of sample texts with about as many n-grams (the same
-power of two or a neighbouring one), so that short texts, which lie far from
-everything, aren't rejected for being short.
+``SLACK`` times the ``QUANTILE`` of those of sample texts with about as many
+distinct n-grams (the same power of two). Each sample text is compared with centroids of
+the half of the sample it isn't in, whole and cut to every lesser length, so that
+short texts, which lie far from everything, aren't rejected for being short.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 is rejected; with nothing to learn from every text is; rows with a null
@@ -40,9 +41,8 @@ CLUSTERS = 4
 FIT_ROWS = 400
 #: Languages that one model may have.
 MAX_LANGUAGES = 5000
-SLACK = 0.3
-#: Below so many n-grams the least cosine shrinks with the square root of their number, as few samples are that short.
-SHORT = 512
+QUANTILE = 0.1
+SLACK = 0.8
 #: Rows whose vectors are held at once.
 ROWS = 256
 _BITS = DIMENSIONS.bit_length() - 1
@@ -109,7 +109,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _length_class(found: np.ndarray) -> np.ndarray:
-    return np.log2(found.sum(axis=1) + 1).astype(np.int64)
+    """By distinct n-grams: a text that repeats itself is no nearer to its language than what it repeats."""
+    return np.log2((found > 0).sum(axis=1) + 1).astype(np.int64)
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -133,6 +134,32 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _radii(texts: list[str], idf: np.ndarray, clusters: int) -> np.ndarray:
+    """The least cosine that is kept, by class of length."""
+    halves = [texts[::2], texts[1::2] or texts]
+    own: list[list[np.ndarray]] = [[] for _ in range(64)]
+    for mine, other in (halves, halves[::-1]):
+        found = np.concatenate([f for b in blocks(pa.array(other, pa.string())) for _, f in counts(b)])
+        found = found[found.sum(axis=1) > 0]
+        if not len(found):
+            continue
+        centres = cluster(vectors(found, idf), clusters)
+        longest = max(map(len, mine), default=0)
+        # A letter begins about three n-grams.
+        for size in [None, *(2**c // 2 for c in range(2, longest.bit_length() + 1))]:
+            cut = [t[:size] for t in mine if size is None or len(t) > size]
+            for block in blocks(pa.array(cut, pa.string())):
+                for _, f in counts(block):
+                    f = f[f.sum(axis=1) > 0]
+                    cosine, kind = (vectors(f, idf) @ centres.T).max(axis=1), _length_class(f)
+                    for c in np.unique(kind):
+                        own[c].append(cosine[kind == c])
+    least = np.zeros(64)
+    for c in range(64):
+        least[c] = SLACK * np.quantile(np.concatenate(own[c]), QUANTILE) if own[c] else (least[c - 1] if c else 0.0)
+    return least
+
+
 class Model:
     def __init__(self, idf: np.ndarray, rows: pd.DataFrame) -> None:
         rows = rows.sort_values(["lang", "cluster"]).reset_index(drop=True)
@@ -179,14 +206,8 @@ def fit(docs: DataFrame, training: Column, fit_rows: int = FIT_ROWS, clusters: i
         found = found[found.sum(axis=1) > 0]
         if not len(found):
             return pd.DataFrame({"lang": [], "cluster": [], "centroid": [], "least": []})
-        x = vectors(found, idf)
-        centres = cluster(x, clusters)
-        own, kind = (x @ centres.T).max(axis=1), _length_class(found)
-        least = np.zeros(64)
-        for c in range(64):
-            here = own[np.abs(kind - c) <= 1]
-            short = min(1.0, (2.0**c / SHORT) ** 0.5)
-            least[c] = SLACK * short * here.min() if len(here) else (least[c - 1] if c else 0.0)
+        centres = cluster(vectors(found, idf), clusters)
+        least = _radii(part["text"].tolist(), idf, clusters)
         lang = part["lang"].iloc[0]
         return pd.DataFrame({"lang": lang, "cluster": range(len(centres)), "centroid": list(centres), "least": [least] * len(centres)})
 

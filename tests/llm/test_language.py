@@ -1,3 +1,6 @@
+import base64
+import random
+
 import numpy as np
 import pyarrow as pa
 from lodestone.llm import language, queries
@@ -41,3 +44,20 @@ def test_odd_rows(spark):
     assert language.fit(docs.limit(0), docs.doc_id < 100) is None
     assert language.predict(docs.limit(0), model).count() == 0
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
+
+
+def test_what_is_no_text_of_the_languages_goes(spark):
+    rng = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs, docs.doc_id >= 0)
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem".split()
+    russian = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью".split()
+    clean = [r.text for r in docs.where("lang = 'fr' and length(text) > 3000").limit(5).collect()]
+    bad, good = [], [t[:n] for t in clean for n in (20, 60, 200, 800, 3000)]
+    for n in (40, 200, 1000):
+        bad.append(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)))
+        bad.append(base64.b64encode(rng.randbytes(5 * n)).decode())
+        bad += [" ".join((words * n)[:n]) for words in (polish, russian)]
+    rejected = lambda texts: [bool(x) for b in blocks(pa.array(texts)) for x in model.predict(b)[2]]
+    assert all(rejected(bad))
+    assert not any(rejected(good))
