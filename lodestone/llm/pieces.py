@@ -1,8 +1,9 @@
 """Encoding by distinct pieces: each piece of text between white space is encoded once by a worker.
 
 For vocabularies that drop white space, the ids of a text are those of its
-pieces end to end. Pieces are recognised by two 64-bit hashes; the ids of known
-ones lie in one array, and a block of texts is put together by one gather.
+pieces end to end. Known pieces are found by a 64-bit hash and then compared byte
+by byte; their ids lie in one array, and a block of texts is put together by one
+gather. A block in which two pieces share a hash is encoded by their texts.
 """
 
 from __future__ import annotations
@@ -12,10 +13,37 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 
-from .words import Block, hashes, words
+from .words import Block, Words, hashes, words
 
-#: Pieces that a worker keeps, at most.
+#: Pieces that a worker keeps, at most, and their bytes.
 MAX_PIECES = 800_000
+MAX_BYTES = 64 << 20
+#: Bytes that are compared at once, plus those of one piece.
+STEP = 1 << 20
+
+
+def _equal(left: np.ndarray, left_start: np.ndarray, right: np.ndarray, right_start: np.ndarray, size: np.ndarray) -> bool:
+    """Whether the pieces of ``size`` bytes at both starts are equal, all of them."""
+    ends = np.cumsum(size)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(STEP, ends[-1], STEP)), [len(size)]])) if len(size) else []
+    for a, b in zip(cuts, cuts[1:]):
+        n = size[a:b]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not np.array_equal(left[np.repeat(left_start[a:b], n) + within], right[np.repeat(right_start[a:b], n) + within]):
+            return False
+    return True
+
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return data[np.repeat(start, size) + within]
+
+
+def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, longer if ``more`` values don't fit behind those in use."""
+    while used + more > len(array):
+        array = np.concatenate([array, np.zeros(len(array), array.dtype)])
+    return array
 
 
 class PieceMemo:
@@ -26,14 +54,15 @@ class PieceMemo:
         self.clear()
 
     def clear(self) -> None:
-        # Each level: ascending keys, second hashes, first id, number of ids. New pieces go to the
+        # Each level: ascending keys, first byte, bytes, first id, ids. New pieces go to the
         # small level, which is merged into the large one now and then.
         self.levels = [self._empty(), self._empty()]
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
 
     @staticmethod
     def _empty() -> tuple[np.ndarray, ...]:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __len__(self) -> int:
         return sum(len(level[0]) for level in self.levels)
@@ -43,26 +72,31 @@ class PieceMemo:
         at = np.searchsorted(level[0], more[0])
         return tuple(np.insert(a, at, b) for a, b in zip(level, more))
 
-    def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known, first id, number of ids) of pieces with ascending keys."""
+    def _find(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(known, first id, ids) of the pieces of ``data`` with ascending keys; None if a known key has other bytes."""
         known, start, size = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for level in self.levels:
             if len(level[0]):
                 at = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
-                hit = np.flatnonzero((level[0][at] == keys) & (level[1][at] == checks) & ~known)
-                known[hit], start[hit], size[hit] = True, level[2][at[hit]], level[3][at[hit]]
+                hit = np.flatnonzero((level[0][at] == keys) & ~known)
+                of = at[hit]
+                if (level[2][of] != length[hit]).any() or not _equal(self.raw, level[1][of], data, begin[hit], length[hit]):
+                    return None
+                known[hit], start[hit], size[hit] = True, level[3][of], level[4][of]
         return known, start, size
 
-    def _add(self, keys: np.ndarray, checks: np.ndarray, encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Keep new pieces; (first id, number of ids) of each."""
+    def _add(self, keys: np.ndarray, raw: np.ndarray, length: np.ndarray, encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keep new pieces, whose bytes lie end to end; (first id, ids) of each."""
         new = np.frombuffer(b"".join(encoded), "<u4")
-        while self.used + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids, self.raw = _room(self.ids, self.used, len(new)), _room(self.raw, self.raw_used, len(raw))
         self.ids[self.used : self.used + len(new)] = new
+        self.raw[self.raw_used : self.raw_used + len(raw)] = raw
         size = np.fromiter(map(len, encoded), np.int32, len(encoded)) // 4
         start = self.used + np.cumsum(size, dtype=np.int64) - size
+        begin = self.raw_used + np.cumsum(length, dtype=np.int64) - length
         self.used += len(new)
-        self.levels[1] = self._merge(self.levels[1], (keys, checks, start, size))
+        self.raw_used += len(raw)
+        self.levels[1] = self._merge(self.levels[1], (keys, begin, length.astype(np.int32), start, size))
         if len(self.levels[1][0]) > max(1 << 16, len(self.levels[0][0]) // 8):
             self.levels = [self._merge(*self.levels), self._empty()]
         return start, size
@@ -72,25 +106,29 @@ class PieceMemo:
         w = words(block)
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(block.rows, np.int64)
-        if len(self) > self.max_pieces:
+        if len(self) > self.max_pieces or self.raw_used > MAX_BYTES:
             self.clear()
-        key, check = hashes(block.data, w.start, w.end), hashes(block.data, w.start, w.end, second=True)
-        codes, distinct = pd.factorize(key)
+        codes, distinct = pd.factorize(hashes(block.data, w.start, w.end))
         by = np.argsort(distinct)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
         codes, distinct = rank[codes], distinct[by]
         one = np.empty(len(distinct), np.int64)  # a word of each distinct key
         one[codes] = np.arange(len(codes))
-        if not (check[one][codes] == check).all():
+        length = w.end - w.start
+        like = one[codes]
+        if (length[like] != length).any() or not _equal(block.data, w.start, block.data, w.start[like], length):
+            return self._plain(block, w)
+        found = self._find(distinct, block.data, w.start[one], length[one])
+        if found is None:
             return self._plain(block, w)
-        known, start, size = self._find(distinct, check[one])
+        known, start, size = found
         new = np.flatnonzero(~known)
         if len(new):
-            raw = block.data.tobytes()
-            ends = zip(w.start[one[new]].tolist(), w.end[one[new]].tolist())
-            learned = self.learn([raw[a:b].decode("utf-8", "replace") for a, b in ends])
-            start[new], size[new] = self._add(distinct[new], check[one[new]], learned)
+            flat, sizes = _gather(block.data, w.start[one[new]], length[one[new]]), length[one[new]]
+            raw, ends = flat.tobytes(), np.cumsum(sizes).tolist()
+            learned = self.learn([raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends)])
+            start[new], size[new] = self._add(distinct[new], flat, sizes, learned)
         size = size[codes]
         total = np.cumsum(size)
         place = np.repeat(start[codes] - (total - size), size)
@@ -98,8 +136,8 @@ class PieceMemo:
         per_row = np.diff(np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(w.per_row)])])
         return self.ids[place], per_row
 
-    def _plain(self, block: Block, w) -> tuple[np.ndarray, np.ndarray]:
-        """Two pieces of the block share a hash: encode its pieces by their text."""
+    def _plain(self, block: Block, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Two pieces share a hash: encode the block's pieces by their text."""
         raw = block.data.tobytes()
         pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start.tolist(), w.end.tolist())]
         distinct = list(dict.fromkeys(pieces))

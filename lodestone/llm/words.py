@@ -2,7 +2,8 @@
 
 A column is read as one UTF-8 buffer with row offsets. Words are the runs of
 bytes that a 256-entry table marks; a word's hash is a polynomial over its
-bytes modulo 2**64 (from one running sum over the buffer), then mixed. Rows are
+bytes modulo 2**64 (from one running sum over the buffer), then mixed, or XXH64
+if it is longer than ``LONG``. Rows are
 taken in blocks of a bounded number of bytes; a text longer than that is a
 block by itself, always whole.
 """
@@ -16,31 +17,34 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
+#: Polynomials modulo a power of two collide by design on some long words, so words of more bytes have an XXH64.
+LONG = 64
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _powers(n: int) -> np.ndarray:
     out, done = np.ones(n, np.uint64), 1
     while done < n:
         m = min(done, n - done)
-        out[done : done + m] = out[:m] * np.uint64(pow(base, done, 2**64))
+        out[done : done + m] = out[:m] * np.uint64(pow(_BASE, done, 2**64))
         done += m
     return out
 
 
 class _Tables:
-    """Powers of the hashes' bases, grown on demand."""
+    """Powers of the hash's base, grown on demand."""
 
-    known: dict[bool, np.ndarray] = {}
+    known = np.zeros(0, np.uint64)
 
     @classmethod
-    def get(cls, n: int, second: bool) -> np.ndarray:
-        if second not in cls.known or len(cls.known[second]) < n:
-            cls.known[second] = _powers(_BASES[second], n + 65536)
-        return cls.known[second]
+    def get(cls, n: int) -> np.ndarray:
+        if len(cls.known) < n:
+            cls.known = _powers(n + 65536)
+        return cls.known
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,14 +136,19 @@ def words(block: Block, table: np.ndarray = NON_SPACE) -> Words:
     return Words(start, end, np.repeat(np.arange(block.rows), per_row), per_row)
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; equal bytes have equal hashes. There is a second, independent one."""
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; equal bytes have equal hashes."""
     n = len(data)
-    power = _Tables.get(n + 1, second)
+    power = _Tables.get(n + 1)
     total = np.zeros(n + 1, np.uint64)
     # Byte j has weight P**(n - j); the word's first byte then gets weight one by P**start and P**-n.
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[n:0:-1], out=total[1:])
-    return mix((total[end] - total[start]) * power[start] * np.uint64(pow(_BASES[second], -n, 2**64)))
+    out = mix((total[end] - total[start]) * power[start] * np.uint64(pow(_BASE, -n, 2**64)))
+    long = np.flatnonzero(end - start > LONG)
+    if len(long):
+        ends = zip(start[long].tolist(), end[long].tolist())
+        out[long] = np.fromiter((xxhash.xxh64_intdigest(data[a:b].tobytes()) for a, b in ends), np.uint64, len(long))
+    return out
 
 
 def hash_of(word: str) -> int:
