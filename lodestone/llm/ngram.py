@@ -1,30 +1,33 @@
-"""An n-gram language model in compact memory-mapped levels, trained on all training rows.
+"""A Kneser-Ney n-gram language model in compact memory-mapped levels, trained on all training rows.
 
 Level one holds every word of the training texts: its 64-bit hash in Elias-Fano
-form, its exact count, and its quantised back-off weight. Words that occur twice
-or more have ids (their rank by hash). Level two holds the pairs of words that
-occur ``MIN_PAIR`` times or more: in each shard the contexts' ids, monotone
-pointers to their successors, the successors' ids made monotone by adding the
-last value of the context before (all Elias-Fano), and the quantised discounted
-counts. A pair is found by its context, the context's pointers, and a search for
-the successor relative to the context's base.
-
-    p(w | v) = (c(v, w) - D) / c(v) + b(v) p(w),   p(w) = (c(w) + 1) / (N + V + 1)
-
-with b(v) what the kept pairs of v leave; texts begin with a start symbol and
-end with an end token, which is counted as a token.
-
-Words are sharded by ranges of their hash and pairs by the hash of both words,
-so a frequent word or context doesn't make a large shard. Counting sums inside
-tasks before each shuffle; nothing but one row for each shard reaches the
-driver. Shards are written to the shared folder by the tasks that sort them
-and are mapped by every worker (copied to local disk first where the folder is
-no file system); the model grows with the input, the workers' memory doesn't.
+form (its id is its rank by hash), its exact count, the number of different words
+before it, and its quantised back-off weight. Level two is the words' successors:
+in each shard the contexts' codes, monotone pointers to their successors, the
+successors' ids made monotone by adding the last value of the context before
+(all Elias-Fano), and the quantised discounted counts, as multiples of the least. A pair is found by its
+context, the context's pointers, and a search for the successor relative to the
+context's base. All words and all pairs are kept.
+
+    p(w | v) = (c(v, w) - D) / c(v) + D n(v, .) / c(v) p(w),   p(w) = (n(., w) + 1) / (n(., .) + V + 1)
+
+with n the number of different pairs; texts begin with a start symbol and end
+with an end token, which is counted as a token. A word that training lacks has
+n(., w) = 0, and behind such a word p(w) alone counts.
+
+Words are sharded by ranges of their hash; a context's successors lie in its
+word's shard, but those of a context with ``HOT`` occurrences or more are dealt to
+all shards. The number of shards grows with the text. Counting sums inside tasks
+before each shuffle; nothing but one row for each shard reaches the driver. Shards
+are written to the shared folder by the tasks that gather them and are mapped by
+the workers that ask for them (copied to a temporary folder of the worker, which
+goes with it, where the shared folder is no file system); the model grows with
+the input, the workers' memory doesn't.
 
 Defined cases: null and empty texts consist of the end token; a null ``doc_id``
 belongs to training and is no held-out row; repeated rows count each time; with
-no training rows every probability is 1 / (V + 1) with V = 0; an empty table
-gives an empty result; other columns are ignored.
+no training rows every probability is 1; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +47,6 @@ from . import eliasfano, scratch
 from .eliasfano import EliasFano
 from .words import LOWER, Block, blocks, hashes, mix, words
 
-MIN_PAIR = 2
 DISCOUNT = 0.75
 #: Steps of the quantised logarithms for a power of ten.
 STEPS = 4096
@@ -52,7 +54,15 @@ STEPS = 4096
 END = 0x5851F42D4C957F2D
 #: Bytes of text that are looked up at once: each block asks every shard, so small ones cost more.
 BLOCK_BYTES = 4 << 20
-START_ID = 0  # ids of words follow
+#: Characters of training text for each shard, about, where there are more shards than twice the shuffle partitions.
+SHARD_CHARS = 64 << 20
+#: Contexts with so many occurrences are dealt to all shards.
+HOT = 1 << 18
+#: A pair's key has its successor's id in the low bits and its context's code above them: the word's place in its
+#: shard, or from ``HOT_CODE`` on the place among the hot contexts, of which the start symbol is the first.
+ID_BITS = 40
+HOT_CODE = 1 << 23
+START = -1
 
 
 def held_out(doc_id: Column, buckets: int, bucket: int) -> Column:
@@ -77,11 +87,21 @@ def _save(uri: str, arrays: list[np.ndarray]) -> None:
     fs.move(temporary, final)
 
 
+_own: list[tempfile.TemporaryDirectory] = []
+
+
+def _own_folder() -> tempfile.TemporaryDirectory:
+    """This worker's folder for copies; it is removed when the worker ends or opens another model."""
+    if not _own:
+        _own.append(tempfile.TemporaryDirectory(prefix="lodestone-"))
+    return _own[0]
+
+
 def _load(uri: str) -> list[np.ndarray]:
     """The arrays of a file, memory-mapped."""
     fs, path = scratch.filesystem(uri)
     if fs.type_name != "local":
-        local = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "level")
+        local = os.path.join(_own_folder().name, uuid.uuid4().hex)
         with fs.open_input_stream(path) as src, open(local, "wb") as dst:
             while chunk := src.read(1 << 24):
                 dst.write(chunk)
@@ -102,18 +122,18 @@ _open: dict[str, object] = {}
 def _mapped(uri: str, kind):
     if uri not in _open:
         folder = os.path.dirname(uri)
-        for old in [u for u in _open if os.path.dirname(u) != folder]:
-            del _open[old]  # another model's
+        if any(os.path.dirname(u) != folder for u in _open):  # another model's
+            _open.clear()
+            _own.clear()
         _open[uri] = kind(_load(uri))
     return _open[uri]
 
 
 class WordShard:
-    """Words with hashes in one range: those with ids (count two or more), and those that occur once."""
+    """Words with hashes in one range, and their counts."""
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
-        self.many, self.once = EliasFano(*arrays[0:4]), EliasFano(*arrays[4:8])
-        self.counts = arrays[8]
+        self.words, self.counts = EliasFano(*arrays[0:4]), arrays[4]
 
 
 class PairShard:
@@ -122,7 +142,7 @@ class PairShard:
         self.values = arrays[12]
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The quantised value of each pair of ids, or -1; pairs sorted by ``left``."""
+        """The quantised value of each pair of context code and id, or -1; pairs sorted by ``left``."""
         out = np.full(len(left), -1, np.int64)
         if not self.contexts.n or not len(left):
             return out
@@ -155,58 +175,77 @@ def _low_end(shard: int, shards: int) -> int:
 
 
 class Model:
-    """What the driver knows of the levels: plain numbers and file names, one entry for each shard."""
+    """What the driver knows of the levels: plain numbers and file names, a few for each shard."""
 
-    def __init__(self, folder: str, shards: int, meta: list) -> None:
-        self.folder, self.shards = folder, shards
+    def __init__(self, folder: str, shards: int, meta: list, texts: int) -> None:
+        self.folder, self.shards, self.texts = folder, shards, texts
         by = {r.shard: r for r in meta}
-        many = [by[s].many if s in by else 0 for s in range(shards)]
+        count = [by[s].words if s in by else 0 for s in range(shards)]
+        if max(count, default=0) >= HOT_CODE:
+            raise ValueError("a shard has too many words: train with more shards")
         self.present = np.array([s in by for s in range(shards)])
-        self.base = 1 + np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+        self.base = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         self.tokens = sum(r.tokens for r in meta)
-        self.vocabulary = sum(r.many + r.once for r in meta)
-        self.start_count = 0
-        self.start_weight = 1.0
+        self.vocabulary = int(self.base[-1])
+        #: Ids of the hot contexts, ascending; the start symbol is one of them. At most tokens / HOT.
+        self.hot = np.array([START, *sorted(int(self.base[r.shard]) + i for r in meta for i in r.hot)], np.int64)
         self.pairs: set[int] = set()
         self.weights: set[int] = set()
-        if self.base[-1] >= 1 << 31:
-            raise ValueError("more than 2**31 words occur twice or more")
+        self.start_weight = 1.0
+        self.different = 0  # pairs
 
-    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id or -1, count, back-off weight) for ascending hashes."""
-        ids, counts, weight = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64), np.ones(len(h))
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(id or -1, count, back-off weight, different words before) for ascending hashes."""
+        ids, counts, weight, before = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64), np.ones(len(h)), np.zeros(len(h), np.int64)
         cuts = np.searchsorted(_shard_of(h, self.shards), np.arange(self.shards + 1))
         for s in np.flatnonzero((np.diff(cuts) > 0) & self.present).tolist():
             a, b = cuts[s], cuts[s + 1]
             level = _mapped(f"{self.folder}/words-{s:06d}.level", WordShard)
-            x = h[a:b] - np.uint64(_low_end(s, self.shards))
-            at, hit = level.many.find(x)
+            at, hit = level.words.find(h[a:b] - np.uint64(_low_end(s, self.shards)))
             k = np.flatnonzero(hit)
             ids[a + k] = self.base[s] + at[k]
             counts[a + k] = level.counts[at[k]]
             if s in self.weights:
-                (table,) = _mapped(f"{self.folder}/weights-{s:06d}.level", list)
+                table, different = _mapped(f"{self.folder}/weights-{s:06d}.level", list)
                 weight[a + k] = 10.0 ** (table[at[k]] / -STEPS)
-            k = np.flatnonzero(~hit)
-            counts[a + k] = level.once.find(x[k])[1]
-        return ids, counts, weight
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """The discounted counts of ascending pair keys, 0 if not kept."""
-        out = np.zeros(len(keys))
-        shard = _shard_of(mix(keys), self.shards)
-        by = np.argsort(shard.astype(np.uint16 if self.shards < 65536 else np.uint32), kind="stable")
+                before[a + k] = different[at[k]]
+        return ids, counts, weight, before
+
+    def keys(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shard, key) of pairs of ids; ``left`` may be the start symbol."""
+        home = np.searchsorted(self.base, left, "right") - 1
+        code = left - self.base[np.maximum(home, 0)]
+        at = np.minimum(np.searchsorted(self.hot, left), len(self.hot) - 1)
+        hot = np.flatnonzero(self.hot[at] == left)
+        code[hot] = HOT_CODE + at[hot]
+        home[hot] = _shard_of(mix(right[hot].astype(np.uint64) ^ mix(at[hot].astype(np.uint64))), self.shards)
+        return home, (code.astype(np.uint64) << np.uint64(ID_BITS)) | right.astype(np.uint64)
+
+    def context(self, shard: int, code: np.ndarray) -> np.ndarray:
+        """The ids of a shard's context codes."""
+        hot = code >= HOT_CODE
+        return np.where(hot, self.hot[np.where(hot, code - HOT_CODE, 0)], self.base[shard] + code)
+
+    def pair_counts(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The discounted counts of pairs of ids, 0 for those that training lacks."""
+        out = np.zeros(len(left))
+        shard, key = self.keys(left, right)
+        by = np.lexsort((key, shard))
         cuts = np.searchsorted(shard[by], np.arange(self.shards + 1))
         for s in self.pairs:
             mine = by[cuts[s] : cuts[s + 1]]
             if len(mine):
                 level = _mapped(f"{self.folder}/pairs-{s:06d}.level", PairShard)
-                k = keys[mine]
-                q = level.find((k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64))
-                out[mine] = np.where(q >= 0, 10.0 ** (q / STEPS), 0.0)
+                q = level.find(*_parts(key[mine]))
+                out[mine] = np.where(q >= 0, (1 - DISCOUNT) * 10.0 ** (q / STEPS), 0.0)
         return out
 
 
+def _parts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context code, successor's id) of pair keys."""
+    return (key >> np.uint64(ID_BITS)).astype(np.int64), (key & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
+
+
 # --- tokens --------------------------------------------------------------------------------------
 
 
@@ -230,164 +269,168 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank[codes], values[by]
 
 
-def _pairs(model: Model, block: Block) -> np.ndarray:
-    """The keys of the neighbouring pairs whose words both have ids."""
-    h, _, first = _tokens(block)
-    codes, distinct = _distinct(h)
-    ids = model.words(distinct)[0][codes]
-    left = np.empty(len(ids), np.int64)
-    left[1:] = ids[:-1]
-    left[first] = START_ID
-    ok = (left >= 0) & (ids >= 0)
-    return left[ok].astype(np.uint64) << np.uint64(32) | ids[ok].astype(np.uint64)
+def _pairs(codes: np.ndarray, first: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each token's pair, codes of the different pairs' contexts, of their successors); the start has code ``distinct``."""
+    left = np.empty(len(codes), np.int64)
+    left[1:] = codes[:-1]
+    left[first] = distinct
+    pair, found = pd.factorize(left * (distinct + 1) + codes)
+    return pair, found // (distinct + 1), found % (distinct + 1)
 
 
-def _counted(keys_of) -> object:
+# --- training ------------------------------------------------------------------------------------
+
+COUNTED = "shard int, k long, c long"
+
+
+def _batch(shard: np.ndarray, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(shard.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "k", "c"])
+
+
+def _count_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(0), BLOCK_BYTES):
-                codes, values = pd.factorize(keys_of(block))
-                counts = np.bincount(codes, minlength=len(values))
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["k", "c"])
+                codes, values = pd.factorize(_tokens(block)[0])
+                yield _batch(_shard_of(values, shards), values, np.bincount(codes, minlength=len(values)))
 
     return run
 
 
-# --- training ------------------------------------------------------------------------------------
+def _count_pairs(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(0), BLOCK_BYTES):
+                h, _, first = _tokens(block)
+                codes, distinct = _distinct(h)
+                pair, left, right = _pairs(codes, first, len(distinct))
+                ids = np.append(model.words(distinct)[0], START)
+                yield _batch(*model.keys(ids[left], ids[right]), np.bincount(pair, minlength=len(left)))
+
+    return run
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, keys, counts) from rows sorted by shard and key."""
-    now, ks, cs = None, [], []
-    for batch in batches:
-        shard, k, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if shard[a] != now:
-                if now is not None:
-                    yield now, np.concatenate(ks).view(np.uint64), np.concatenate(cs)
-                now, ks, cs = int(shard[a]), [], []
-            ks.append(k[a:b].copy())
-            cs.append(c[a:b].copy())
-    if now is not None:
-        yield now, np.concatenate(ks).view(np.uint64), np.concatenate(cs)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, ascending keys, their summed counts) of the shards of one partition."""
+    found = [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for batch in batches]
+    if not found:
+        return
+    shard, k, c = (np.concatenate(x) for x in zip(*found))
+    found.clear()
+    for s in np.unique(shard).tolist():
+        mine = np.flatnonzero(shard == s)
+        key = k[mine].view(np.uint64)
+        by = np.argsort(key)
+        key, count = key[by], c[mine][by]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        yield s, key[new], np.add.reduceat(count, new)
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x.astype(np.uint64)
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _write_words(folder: str, shards: int):
+def _write_words(folder: str, shards: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, h, c in _by_shard(batches):
-            by = np.argsort(h)
-            h, c = h[by], c[by]
+        for shard, h, c in _gathered(batches):
             low, high = _low_end(shard, shards), _low_end(shard + 1, shards)
-            x, many = h - np.uint64(low), c > 1
-            levels = [eliasfano.encode(x[m], high - low) for m in (many, ~many)]
-            _save(f"{folder}/words-{shard:06d}.level", [*levels[0], *levels[1], _narrow(c[many])])
-            row = {"shard": shard, "many": int(many.sum()), "once": int((~many).sum()), "tokens": int(c.sum())}
-            yield pa.RecordBatch.from_pylist([row])
+            _save(f"{folder}/words-{shard:06d}.level", [*eliasfano.encode(h - np.uint64(low), high - low), _narrow(c)])
+            row = {"shard": shard, "words": len(h), "tokens": int(c.sum()), "hot": np.flatnonzero((c >= hot) & (h != np.uint64(END))).tolist()}
+            yield pa.RecordBatch.from_pylist([row], WORDS_MADE)
 
     return run
 
 
-def _write_pairs(folder: str, ids: int):
+WORDS_MADE = pa.schema([("shard", pa.int32()), ("words", pa.int64()), ("tokens", pa.int64()), ("hot", pa.list_(pa.int64()))])
+
+
+def _write_pairs(model: Model):
+    """Writes the shards of pairs, and gives for each word of a shard ``(shard of the word, id, successors, words before)``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, k, c in _by_shard(batches):
-            by = np.argsort(k)
-            k, c = k[by], c[by]
-            left, right = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        for shard, k, c in _gathered(batches):
+            left, right = _parts(k)
             begin = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
             pointers = np.concatenate([begin, [len(left)]])
             # Each context's successors start after the last value of the context before.
             step = np.concatenate([[0], right[pointers[1:-1] - 1] + 1])
             values = right + np.repeat(np.cumsum(step), np.diff(pointers))
-            quantised = np.rint(np.log10(c - DISCOUNT) * STEPS).astype(np.uint16)
+            quantised = np.rint(np.log10((c - DISCOUNT) / (1 - DISCOUNT)) * STEPS).astype(np.uint16)
             parts = [
-                *eliasfano.encode(left[begin], ids),
+                *eliasfano.encode(left[begin], 2 * HOT_CODE),
                 *eliasfano.encode(pointers, len(left) + 1),
                 *eliasfano.encode(values, int(values[-1]) + 1),
             ]
-            _save(f"{folder}/pairs-{shard:06d}.level", [*parts, quantised])
-            yield pa.RecordBatch.from_pylist([{"shard": shard}])
+            _save(f"{model.folder}/pairs-{shard:06d}.level", [*parts, quantised])
+            contexts, words = model.context(shard, left[begin]), np.unique(right, return_counts=True)
+            ids = np.concatenate([contexts, words[0]])
+            after = np.concatenate([np.diff(pointers), np.zeros(len(words[0]), np.int64)])
+            before = np.concatenate([np.zeros(len(contexts), np.int64), words[1]])
+            home = (np.searchsorted(model.base, ids, "right") - 1).astype(np.int32)
+            columns = [pa.array(x) for x in (home, ids, after, before, np.full(len(ids), shard, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "id", "after", "before", "of"])
 
     return run
 
 
-def _place(base: np.ndarray):
-    """Adds the shard of each id."""
-
+def _write_weights(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        pairs, of, start = 0, set(), 0
         for batch in batches:
-            shard = np.searchsorted(base, batch.column(0).to_numpy(), "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), *batch.columns], ["shard", "k", "c"])
+            shard, ids, after, before, made = (batch.column(i).to_numpy() for i in range(5))
+            pairs += int(after.sum())
+            of.update(np.unique(made).tolist())
+            for s in np.unique(shard).tolist():
+                mine = np.flatnonzero(shard == s)
+                if s < 0:
+                    start += int(after[mine].sum())
+                    continue
+                if s not in tables:
+                    n = int(model.base[s + 1] - model.base[s])
+                    tables[s] = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                for table, x in zip(tables[s], (after, before)):
+                    np.add.at(table, ids[mine] - model.base[s], x[mine])
+        for s, (after, before) in tables.items():
+            counts = _mapped(f"{model.folder}/words-{s:06d}.level", WordShard).counts
+            weight = np.where(after > 0, after * DISCOUNT / counts, 1.0)
+            table = np.minimum(np.rint(-np.log10(weight) * STEPS), 65535).astype(np.uint16)
+            _save(f"{model.folder}/weights-{s:06d}.level", [table, _narrow(before)])
+        row = {"shards": sorted(tables), "of": sorted(of), "pairs": pairs, "start": start}
+        yield pa.RecordBatch.from_pylist([row], WEIGHTS_MADE)
 
     return run
 
 
-def _write_weights(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, ids, kept in _by_shard(batches):
-            counts = _mapped(f"{model.folder}/words-{shard:06d}.level", WordShard).counts
-            at = (ids.astype(np.int64) - model.base[shard]).astype(np.int64)
-            left = np.maximum(1 - kept / counts[at], 1e-15)
-            table = np.zeros(len(counts), np.uint16)
-            table[at] = np.minimum(np.rint(-np.log10(left) * STEPS), 65535)
-            _save(f"{model.folder}/weights-{shard:06d}.level", [table])
-            yield pa.RecordBatch.from_pylist([{"shard": shard}])
-
-    return run
+WEIGHTS_MADE = pa.schema([("shards", pa.list_(pa.int32())), ("of", pa.list_(pa.int32())), ("pairs", pa.int64()), ("start", pa.int64())])
 
 
-def train(texts: DataFrame, min_pair: int = MIN_PAIR) -> Model:
+def train(texts: DataFrame, shards: int | None = None, hot: int = HOT) -> Model:
     """The model of all rows of ``texts(text)``."""
     spark = scratch.ship(texts.sparkSession)
     folder = scratch.new_path(spark, "ngrams")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 2 * parts
     texts = texts.select("text")
-    place = lambda k: F.expr(f"shiftright(shiftrightunsigned({k}, 32) * {shards}L, 32)")
-
-    def sorted_shards(counts: DataFrame) -> DataFrame:
-        return counts.select("shard", "k", "c").repartition(parts, "shard").sortWithinPartitions("shard", "k")
-
-    counts = texts.mapInArrow(_counted(lambda b: _tokens(b)[0]), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    made = sorted_shards(counts.withColumn("shard", place("k"))).mapInArrow(
-        _write_words(folder, shards), "shard long, many long, once long, tokens long"
-    )
-    model = Model(folder, shards, scratch.materialise(made, "meta").collect())
-
-    pairs = texts.mapInArrow(_counted(lambda b: _pairs(model, b)), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    pairs = scratch.materialise(pairs.where(F.col("c") >= min_pair), "pairs")
-    mixed = pairs.mapInArrow(_mixed(shards), "shard long, k long, c long")
-    made = sorted_shards(mixed).mapInArrow(_write_pairs(folder, int(model.base[-1])), "shard long")
-    model.pairs = {r.shard for r in scratch.materialise(made, "meta").collect()}
-
-    kept = pairs.groupBy(F.expr("shiftrightunsigned(k, 32)").alias("k")).agg((F.sum("c") - DISCOUNT * F.count("*")).alias("c"))
-    kept = scratch.materialise(kept, "kept")
-    start = kept.where(F.col("k") == START_ID).select("c").collect()
-    model.start_count = texts.count()
-    model.start_weight = max(1 - start[0].c / model.start_count, 1e-15) if start else 1.0
-    placed = kept.where(F.col("k") != START_ID).mapInArrow(_place(model.base), "shard long, k long, c double")
-    made = sorted_shards(placed).mapInArrow(_write_weights(model), "shard long")
-    model.weights = {r.shard for r in scratch.materialise(made, "meta").collect()}
-    scratch.discard(pairs)
+    size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    shards = shards or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.chars // SHARD_CHARS))
+    parts = max(1, shards // 2)
+
+    counts = texts.mapInArrow(_count_words(shards), COUNTED).repartition(parts, "shard")
+    made = counts.mapInArrow(_write_words(folder, shards, hot), "shard int, words long, tokens long, hot array<long>")
+    model = Model(folder, shards, scratch.materialise(made, "meta").collect(), size.n)
+
+    pairs = texts.mapInArrow(_count_pairs(model), COUNTED).repartition(parts, "shard")
+    seen = pairs.mapInArrow(_write_pairs(model), "shard int, id long, after long, before long, of int").repartition(parts, "shard")
+    made = seen.mapInArrow(_write_weights(model), "shards array<int>, of array<int>, pairs long, start long")
+    for r in scratch.materialise(made, "meta").collect():
+        model.weights.update(r.shards)
+        model.pairs.update(r.of)
+        model.different += r.pairs
+        model.start_weight = r.start * DISCOUNT / size.n if r.start else model.start_weight
     return model
 
 
-def _mixed(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.column(0).to_numpy().view(np.uint64)
-            shard = _shard_of(mix(k), shards).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["shard", "k", "c"])
-
-    return run
-
-
 # --- scoring -------------------------------------------------------------------------------------
 
 
@@ -395,22 +438,19 @@ def score_block(model: Model, block: Block) -> list[np.ndarray]:
     """[tokens, known tokens, base score, score] of each row."""
     h, row, first = _tokens(block)
     codes, distinct = _distinct(h)
-    ids, counts, weights = model.words(distinct)
-    single = (counts + 1.0) / (model.tokens + model.vocabulary + 1.0)
-    ids, counts, weights, single = ids[codes], counts[codes], weights[codes], single[codes]
-    left = np.empty(len(ids), np.int64)
-    total, weight = np.ones(len(ids)), np.ones(len(ids))
-    left[1:], total[1:], weight[1:] = ids[:-1], np.maximum(counts[:-1], 1), weights[:-1]
-    left[first], total[first], weight[first] = START_ID, max(model.start_count, 1), model.start_weight
-    p = weight * single
-    at = np.flatnonzero((left >= 0) & (ids >= 0))
+    ids, counts, weights, before = model.words(distinct)
+    single = np.log10((counts + 1.0) / (model.tokens + model.vocabulary + 1.0))
+    lower = (before + 1.0) / (model.different + model.vocabulary + 1.0)
+    pair, left, right = _pairs(codes, first, len(distinct))
+    ids, total, weights = np.append(ids, START), np.append(counts, model.texts), np.append(weights, model.start_weight)
+    p = weights[left] * lower[right]
+    at = np.flatnonzero((total[left] > 0) & (ids[right] >= 0))
     if len(at) and model.pairs:
-        pair, keys = _distinct(left[at].astype(np.uint64) << np.uint64(32) | ids[at].astype(np.uint64))
-        p[at] += model.pair_counts(keys)[pair] / total[at]
+        p[at] += model.pair_counts(ids[left[at]], ids[right[at]]) / total[left[at]]
     n = block.rows
     tokens = np.bincount(row, minlength=n)
-    known = np.bincount(row, weights=counts > 0, minlength=n).astype(np.int64)
-    return [tokens, known, np.bincount(row, weights=np.log10(single), minlength=n), np.bincount(row, weights=np.log10(p), minlength=n)]
+    known = np.bincount(row, weights=(counts > 0)[codes], minlength=n).astype(np.int64)
+    return [tokens, known, np.bincount(row, weights=single[codes], minlength=n), np.bincount(row, weights=np.log10(p)[pair], minlength=n)]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

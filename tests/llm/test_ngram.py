@@ -4,11 +4,14 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lodestone.llm import eliasfano, queries
+from lodestone.llm import eliasfano, ngram, queries
 from lodestone.llm.eliasfano import EliasFano
+from lodestone.llm.words import blocks
+from pyspark.sql import functions as F
 
 TEXTS = [
     None, "", "  \n", "the cat sat on the mat", "The cat sat.", "a b a b a b", "\x0bone\x0ctwo\rthree  four", "é É ß",
@@ -40,19 +43,16 @@ def brute_force(rows):
     pairs = Counter((a, b) for t in train for a, b in zip(["<s>", *t], t))
     n, v = sum(c.values()), len(c)
     context = Counter({**{w: k for w, k in c.items() if w is not None}, "<s>": len(train)})
-    kept = {k: x for k, x in pairs.items() if x >= 2}
-    left = Counter()
-    for (a, _), x in kept.items():
-        left[a] += x - 0.75
+    after, before = Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
     for i, text in rows:
         t = tokens(text)
         base, score = 0.0, 0.0
         for a, b in zip(["<s>", *t], t):
-            p1 = (c[b] + 1) / (n + v + 1)
-            base += log10(p1)
-            own = (kept[a, b] - 0.75) / context[a] if (a, b) in kept else 0.0
-            weight = 1 - left[a] / context[a] if context[a] else 1.0
-            score += log10(own + weight * p1)
+            base += log10((c[b] + 1) / (n + v + 1))
+            lower = (before[b] + 1) / (len(pairs) + v + 1)
+            own = (pairs[a, b] - 0.75) / context[a] if (a, b) in pairs else 0.0
+            weight = 0.75 * after[a] / context[a] if context[a] else 1.0
+            score += log10(own + weight * lower)
         yield i, out(i), len(t), sum(c[w] > 0 for w in t), n, base, score
 
 
@@ -68,3 +68,33 @@ def test_query_equals_brute_force(spark, tmp_path, rows):
         assert g[:5] == w[:5]
         assert g[5] == pytest.approx(w[5], abs=1e-6)
         assert g[6] == pytest.approx(w[6], abs=2e-3 * w[2])
+
+
+@pytest.mark.parametrize(("shards", "hot"), [(1, 2), (5, 3), (40, 10**9)])
+def test_hot_contexts_and_any_number_of_shards_give_the_same(spark, shards, hot):
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(45)] + [(45 + i, "the " + "x" * i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = ngram.train(docs.where(~ngram.held_out(F.col("doc_id"), 7, 2)), shards=shards, hot=hot)
+    assert (len(model.hot) > 2) == (hot < 100)
+    got = {r.doc_id: r.score for r in ngram.score(docs, model).collect()}
+    for i, *_, score in brute_force(rows):
+        assert got[i] == pytest.approx(score, abs=2e-2)
+    total = sum(10 ** s for s in _next_word_scores(model, ["the", "cat", "zzz"]))
+    assert total == pytest.approx(3, abs=2e-2)
+
+
+def _next_word_scores(model, contexts):
+    """log10 p(w | v) of every known word, the end and one unknown word, behind each context."""
+    known = [t for text in TEXTS for t in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())] + ["x" * i for i in range(1, 30)]
+    for v in contexts:
+        for w in [None, "unknown word".replace(" ", "_"), *sorted(set(known))]:
+            joined = [f"{v} {w}" if w else v, v]
+            (block,) = blocks(pa.array(joined))
+            h, _, first = ngram._tokens(block)
+            ids, counts, weights, before = model.words(np.unique(h))
+            at = {int(x): k for k, x in enumerate(np.unique(h))}
+            a, b = at[int(h[0])], at[int(h[1])]
+            p = weights[a] * (before[b] + 1) / (model.different + model.vocabulary + 1)
+            if counts[a] and ids[b] >= 0:
+                p += model.pair_counts(ids[[a]], ids[[b]])[0] / counts[a]
+            yield log10(p)
