@@ -114,8 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier
     if len(weights) < 2:
         return None
     picked = scratch.materialise(picked, "picked")  # at most four times the bound, so it may be broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade").limit(4 * rows)
-    sample = found.mapInArrow(_rows, "grade int, features array<double>").toArrow()
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade")
+    # Texts become features where they lie; only those of bounded many rows are gathered.
+    sample = found.mapInArrow(_rows, "grade int, features array<double>").limit(4 * rows).toArrow()
     bad = np.array(sample["grade"].to_numpy(), float)
     if not 0 < bad.sum() < len(bad):
         return None

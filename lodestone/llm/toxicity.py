@@ -2,10 +2,8 @@
 
 The features of a text are its distinct words and their beginnings of four to
 six bytes, hashed; those are used whose frequency differs between toxic and
-other texts by ``MIN_Z`` standard errors or more. Labels say toxic or not only, so
-the grades of toxic texts are formed from the features: 1, 2 and 3 are the
-thirds of the toxic sample by the number of features that speak for toxicity; 0
-is not toxic. One weight for each feature is shared by all thresholds,
+other texts by ``MIN_Z`` standard errors or more. One weight for each feature is
+shared by all thresholds,
 
     P(grade <= k) = 1 / (1 + exp(w.x - theta_k)),   theta_0 < theta_1 < theta_2,
 
@@ -14,10 +12,18 @@ fitted by maximum likelihood with an L2 penalty on a sample of about
 to the shares of the labels. The output is the expected grade, the most likely
 one, and whether P(grade >= 1) is above a half.
 
+Labels say toxic or not only, so grades are formed by cross-fitting: the sample
+is halved by ``doc_id``, features that speak for toxicity are found in one half,
+the toxic texts of the other half are graded by how many of those they have (1,
+2 and 3 are thirds; 0 is not toxic), and the regression is fitted on that other
+half alone. So no text takes part in choosing what grades it. Both halves do
+this for each other, and the model is the mean of the two.
+
 Defined cases: a null or empty text has no features and gets the bare
 thresholds' severity; with no labels, or labels of one kind only, nothing is
-learned and every text has severity 0; repeated rows are scored one by one; an
-empty table gives an empty result; other columns are ignored.
+learned and every text has severity 0; if a half lacks one kind, the sample
+grades itself; repeated rows are scored one by one; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,7 +69,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, feature = features(block)
             offsets = np.searchsorted(row, np.arange(block.rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.lo, block.rows), lists], ["grade", "features"])
+            labels = [batch.column(i).slice(block.lo, block.rows) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*labels, lists], ["grade", "half", "features"])
 
 
 class Model:
@@ -105,6 +112,57 @@ def fit_ordinal(row: np.ndarray, column: np.ndarray, columns: int, grade: np.nda
     return x[:columns], x[columns] + np.concatenate([[0], np.cumsum(np.exp(x[columns + 1 :]))])
 
 
+class Sample:
+    """Labelled texts: ``label`` 0 or 1 and ``weight`` of each, and the (text, feature) pairs."""
+
+    def __init__(self, label: np.ndarray, weight: np.ndarray, row: np.ndarray, feature: np.ndarray) -> None:
+        self.label, self.weight, self.row, self.feature = label, weight, row, feature
+
+    def take(self, rows: np.ndarray) -> Sample:
+        number = np.full(len(self.label), -1)
+        number[rows] = np.arange(rows.sum())
+        mine = rows[self.row]
+        return Sample(self.label[rows], self.weight[rows], number[self.row[mine]], self.feature[mine])
+
+    @property
+    def both(self) -> bool:
+        return 0 < self.label.sum() < len(self.label)
+
+    def standard_errors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(texts that have each feature, by how many standard errors toxic ones have it more often)."""
+        toxic = self.label > 0
+        n1, n0 = int(toxic.sum()), int((~toxic).sum())
+        a = np.bincount(self.feature[toxic[self.row]], minlength=1 << BITS)
+        b = np.bincount(self.feature[~toxic[self.row]], minlength=1 << BITS)
+        p = (a + b + 1) / (n1 + n0 + 2)
+        return a + b, (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+
+
+def grades(sample: Sample, other: Sample) -> np.ndarray:
+    """0 for texts that aren't toxic, and the third by features that speak for toxicity in the other sample."""
+    texts, z = other.standard_errors()
+    speaks = (texts >= MIN_DOCUMENTS) & (z >= MIN_Z)
+    found = np.bincount(sample.row[speaks[sample.feature]], minlength=len(sample.label))
+    toxic = sample.label > 0
+    cuts = np.quantile(found[toxic], np.arange(1, GRADES) / GRADES)
+    return np.where(toxic, 1 + (found[:, None] > cuts).sum(axis=1), 0)
+
+
+def _half_model(sample: Sample, other: Sample) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of a sample with the grades that the other one gives it."""
+    texts, z = sample.standard_errors()
+    chosen = np.flatnonzero((texts >= MIN_DOCUMENTS) & (np.abs(z) >= MIN_Z))
+    number = np.full(1 << BITS, -1)
+    number[chosen] = np.arange(len(chosen))
+    use = number[sample.feature] >= 0
+    # A grade that no text has leaves no threshold of its own.
+    kinds, coded = np.unique(grades(sample, other), return_inverse=True)
+    w, theta = fit_ordinal(sample.row[use], number[sample.feature[use]], len(chosen), coded, sample.weight)
+    full = np.zeros(1 << BITS)
+    full[chosen] = w
+    return full, np.array([theta[np.searchsorted(kinds, k, "right") - 1] if k < kinds[-1] else 500.0 for k in range(GRADES)])
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """The model of a sample of the rows of ``docs(doc_id, text)`` that ``labels(doc_id, quality, toxic)`` has."""
     scratch.ship(docs.sparkSession)
@@ -113,32 +171,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     if len(weights) < 2:
         return none
     picked = scratch.materialise(picked, "picked")  # at most four times the bound, so it may be broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade").limit(4 * rows)
-    sample = found.mapInArrow(_rows, "grade int, features array<int>").toArrow()
-    label = np.array(sample["grade"].to_numpy(), np.int64)
-    toxic = label > 0
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    if not n1 or not n0:
-        return none
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade", half)
+    # Texts become features where they lie; only those of bounded many rows are gathered.
+    sample = found.mapInArrow(_rows, "grade int, half int, features array<int>").limit(4 * rows).toArrow()
+    label, half = (np.array(sample[c].to_numpy(), np.int64) for c in ("grade", "half"))
     lists = sample["features"].combine_chunks()
-    row, feature = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-    a = np.bincount(feature[toxic[row]], minlength=1 << BITS)
-    b = np.bincount(feature[~toxic[row]], minlength=1 << BITS)
-    p = (a + b + 1) / (n1 + n0 + 2)
-    z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((a + b >= MIN_DOCUMENTS) & (np.abs(z) >= MIN_Z))
-    number = np.full(1 << BITS, -1)
-    number[chosen] = np.arange(len(chosen))
-    use = number[feature] >= 0
-    speaks = np.bincount(row[use & (z[feature] > 0)], minlength=len(label))
-    cuts = np.quantile(speaks[toxic], np.arange(1, GRADES) / GRADES)
-    grade = np.where(toxic, 1 + (speaks[:, None] > cuts).sum(axis=1), 0)
-    # A grade that no text has leaves no threshold of its own.
-    kinds, coded = np.unique(grade, return_inverse=True)
-    w, theta = fit_ordinal(row[use], number[feature[use]], len(chosen), coded, np.array([weights[g] for g in label.tolist()]))
-    full = np.zeros(1 << BITS)
-    full[chosen] = w
-    return Model(full, np.array([theta[np.searchsorted(kinds, k, "right") - 1] if k < kinds[-1] else 500.0 for k in range(GRADES)]))
+    row = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
+    whole = Sample(label, np.array([weights[g] for g in label.tolist()]), row, lists.flatten().to_numpy())
+    a, b = (whole.take(half == h) for h in (0, 1))
+    if not whole.both:
+        return none
+    models = [_half_model(a, b), _half_model(b, a)] if a.both and b.both else [_half_model(whole, whole)]
+    return Model(np.mean([m[0] for m in models], axis=0), np.mean([m[1] for m in models], axis=0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from lodestone.llm import queries, site_quality, toxicity
-from lodestone.llm.words import blocks
+from lodestone.llm.words import blocks, hashes
 
 GOOD = "a river ran past the old mill and children played near its wooden bridge all summer long"
 INSULTS = ["grumfex", "grumfol", "zarbit", "zarbun"]
@@ -53,6 +54,43 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_severity_equals_plain_sums(spark):
+    """The expected grade is the sum of the sigmoids of z - theta over thresholds, z summed word by word."""
+    docs, labels, _ = _docs(spark)
+    model = toxicity.fit(docs, labels)
+    assert np.all(np.diff(model.thresholds) > 0) or (model.thresholds == 500).any()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    one = lambda x: int(hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0])
+    for r in toxicity.score(docs, model).collect():
+        found = set()
+        for w in re.findall(rb"[A-Za-z\x80-\xff]+", (texts[r.doc_id] or "").encode().lower()):
+            found.add(one(w) >> (64 - toxicity.BITS))
+            found |= {(one(w[:k]) ^ (0x9E3779B97F4A7C15 * k % 2**64)) >> (64 - toxicity.BITS) for k in toxicity.PREFIXES if len(w) > k}
+        z = sum(float(model.weights[f]) for f in found)
+        above = [1 / (1 + math.exp(min(500, max(-500, t - z)))) for t in model.thresholds]
+        assert r.expected_severity == pytest.approx(sum(above), abs=1e-5)
+        p = [a - b for a, b in zip([1, *above], [*above, 0])]
+        assert p[r.severity] == pytest.approx(max(p), abs=1e-5) and r.toxic == (above[0] > 0.5)
+
+
+def test_severity_rises_with_insults_on_texts_not_used(spark):
+    docs, labels, _ = _docs(spark)
+    model = toxicity.fit(docs, labels)
+    long = " ".join(GOOD.split() * 20)
+    texts = [GOOD, *[f"{GOOD} {' '.join(INSULTS[:k])}" for k in range(1, 5)], long]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.expected_severity for r in toxicity.score(frame, model).orderBy("doc_id").collect()]
+    assert got[0] < got[1] <= got[2] <= got[3] <= got[4] and got[4] > got[1]
+    assert got[5] == pytest.approx(got[0])  # the same words, so the same features
+
+
+def test_grades_come_from_the_other_half():
+    feature = lambda *texts: (np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.array([f for t in texts for f in t], np.int64))
+    other = toxicity.Sample(np.repeat([1, 0], 50), np.ones(100), *feature(*[[1, 2, 3]] * 50, *[[9]] * 50))
+    mine = toxicity.Sample(np.array([1, 1, 1, 0]), np.ones(4), *feature([1], [1, 2], [1, 2, 3, 7], [7, 1]))
+    assert toxicity.grades(mine, other).tolist() == [1, 2, 3, 0]
+
+
 def test_site_quality_equals_plain_posteriors(spark):
     docs, labels, truth = _docs(spark)
     got = site_quality.judge(docs, labels).collect()
