@@ -235,7 +235,7 @@ def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     """One row of each component of ``docs(doc_id, text, ...)``: the one whose ``doc_id`` names it.
 
     Rows that share their ``doc_id`` or lack one are told apart by their
-    fingerprints; of equal ones, and in a component without any ``doc_id``, any one stays.
+    fingerprints; of equal ones, and in a component without any ``doc_id``, the least by id, text and other columns stays.
     """
     scratch.ship(docs.sparkSession)
     prints = scratch.materialise(fingerprints(docs, shingle), "fingerprints")
@@ -260,4 +260,7 @@ def one_of_each(docs: DataFrame, prints: DataFrame, named: DataFrame, fingerprin
     printed = some.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lodestone_fp", T.LongType())]))
     names = named.select(F.col("fp").alias("lodestone_fp"), F.col("component").alias("lodestone_c"), F.col("component_id").alias("lodestone_id"))
     ours = printed.join(names, "lodestone_fp").where("lodestone_id is null or doc_id = lodestone_id")
-    return alone.union(ours.dropDuplicates(["lodestone_c"]).select(*[F.col(f"`{c}`") for c in columns]))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    # Of several rows the least one by id, text and all other columns stays, whatever the order of the rows.
+    one = ours.groupBy("lodestone_c").agg(F.min_by(row, F.struct("doc_id", "text", F.to_json(row))).alias("lodestone_row"))
+    return alone.union(one.select("lodestone_row.*"))

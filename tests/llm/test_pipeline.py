@@ -1,9 +1,11 @@
 import corpus_pipeline
 import public_tokenizers
-from lodestone.llm import decontaminate, language, ngram, simhash, site_quality
+from lodestone.llm import decontaminate, language, ngram, site_quality
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tests.llm.test_similar import least_of_group
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -23,7 +25,7 @@ def test_stages_on_the_table(spark):
             good = {r.doc_id for r in labels.where("quality = 1").collect()}
             assert gone and not gone & good
         elif name == "near_duplicates":
-            gone = {r.doc_id for r in simhash.near_duplicates(now).collect() if r.doc_id != r.component_id}
+            gone = {i for i, least in least_of_group([(r.doc_id, r.text) for r in now.collect()]).items() if i != least}
         else:
             gone = {r.doc_id for r in decontaminate.find(now, items).collect()}
         ids -= gone
