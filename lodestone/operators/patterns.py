@@ -191,6 +191,15 @@ def vertical(baskets: DataFrame, least: int) -> DataFrame:
     return lists.select("item", F.size("tids").cast("long").alias("support"), "tids")
 
 
+def vertical_parts(baskets: DataFrame, least: int, size: int = 100_000) -> DataFrame:
+    """``(item, part, tids)`` of items with ``least`` baskets or more: lists of about ``size`` ids, so that no item is one row."""
+    counts = item_counts(baskets).where(F.col("support") >= least)
+    parts = F.ceil(F.col("support") / F.lit(size)).cast("int")
+    dealt = baskets.join(counts.select("item", parts.alias("_parts")), "item")
+    part = F.expr("cast(pmod(xxhash64(tid), _parts) as int)")
+    return dealt.groupBy("item", part.alias("part")).agg(F.array_sort(F.collect_list("tid")).alias("tids"))
+
+
 def basket_statistics(baskets: DataFrame) -> DataFrame:
     """Number of baskets and items, sizes and ids, in one row."""
     sizes = baskets.groupBy("tid").agg(F.count("*").alias("n"))
