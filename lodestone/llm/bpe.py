@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from . import scratch
 from .lexicon import Lexicon, compile_words
 from .pieces import PieceMemo
-from .words import Block, blocks
+from .words import Block, blocks, release
 
 #: Words of the lexicon, at most.
 LEXICON_WORDS = 100_000
@@ -191,6 +191,17 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, column:
     return docs.select(*[F.col(f"`{c}`") for c in [*others, column]]).mapInArrow(run, schema)
 
 
+_tokens: dict[str, pa.Array] = {}
+
+
+def _token_array(vocabulary: str) -> pa.Array:
+    """This worker's array of the vocabulary's tokens; the merges aren't kept."""
+    if vocabulary not in _tokens:
+        _tokens.clear()
+        _tokens[vocabulary] = pa.array(Vocabulary(vocabulary).tokens, pa.string())
+    return _tokens[vocabulary]
+
+
 def _runs(block: np.ndarray) -> Iterator[tuple[int, int]]:
     """The (first, end) of each run of equal values."""
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
@@ -204,7 +215,7 @@ def decode(encoded: DataFrame, vocabulary: str, column: str = "ids", out: str =
     schema = T.StructType([encoded.schema[c] for c in others] + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pa.array(Vocabulary(vocabulary).tokens, pa.string())
+        tokens = _token_array(vocabulary)
         blank = pa.scalar(" ", pa.large_string())
         for whole in batches:
             size = pc.fill_null(pc.list_value_length(whole.column(len(others))), 0).to_numpy(zero_copy_only=False)
@@ -215,6 +226,7 @@ def decode(encoded: DataFrame, vocabulary: str, column: str = "ids", out: str =
                 offsets = np.concatenate([[0], np.cumsum(size[at:end], dtype=np.int64)])
                 joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), flat), blank).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*whole.slice(at, end - at).columns[: len(others)], joined], [*others, out])
+            release()
 
     return encoded.select(*[F.col(f"`{c}`") for c in [*others, column]]).mapInArrow(run, schema)
 
