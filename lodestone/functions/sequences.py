@@ -87,3 +87,27 @@ def gcg_checksum(seq: Column) -> Column:
     """Sum of symbol codes weighted 1 to 57 cyclically, modulo 10000."""
     codes = F.transform(F.split(F.upper(seq), ""), lambda c, i: (i % 57 + 1) * F.ascii(c))
     return F.aggregate(codes, F.lit(0), lambda s, v: s + v) % 10000
+
+
+def sequence_type(seq: Column) -> Column:
+    """``dna``, ``rna``, ``protein`` or ``other``: by the letters that only one of them has; a sequence of bases alone is DNA or, with U, RNA."""
+    letters = F.upper(dealign(seq))
+    bases = letters.rlike(r"^[ACGTUN]+$")
+    return (
+        F.when(bases & letters.contains("U") & ~letters.contains("T"), "rna").when(bases, "dna")
+        .when(letters.rlike(r"[EFIPQLJOZ*]") & letters.rlike(r"^[A-Z*]+$"), "protein").when(letters.rlike(f"^[{CODES}]+$"), "dna").otherwise("other")
+    )
+
+
+def digitise(seq: Column) -> Column:
+    """Each symbol's place among the nucleotide codes, -1 for others."""
+    return F.transform(F.filter(F.split(F.upper(seq), ""), lambda c: c != ""), lambda c: F.instr(F.lit(CODES), c) - 1)
+
+
+def degenerate_score(a: Column, b: Column, match: float = 1.0, mismatch: float = -1.0) -> Column:
+    """The mean score of the bases that two codes stand for."""
+    stands = F.create_map(*[F.lit(x) for k, v in STANDS_FOR.items() for x in (k, v)])
+    x, y = (F.filter(F.split(F.element_at(stands, F.upper(c)), ""), lambda s: s != "") for c in (a, b))
+    same = F.size(F.array_intersect(x, y))
+    pairs = F.size(x) * F.size(y)
+    return (same * match + (pairs - same) * mismatch) / pairs

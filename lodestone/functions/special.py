@@ -101,3 +101,81 @@ def golden_minimum(f, low: float, high: float, rounds: int = 100) -> float:
             b = low + ratio * (high - low)
             fb = f(b)
     return (low + high) / 2
+
+
+def subsets(items, k: int):
+    """All subsets of ``k`` elements of an array column, in the order of their places."""
+    if k == 0:
+        return F.array(F.array().cast("array<string>"))
+    if k == 1:
+        return F.transform(items, lambda x: F.array(x))
+    # Each place begins the subsets of what follows it.
+    rest = lambda i: subsets(F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0))), k - 1)
+    return F.flatten(F.transform(items, lambda x, i: F.transform(rest(i), lambda s: F.concat(F.array(x), s))))
+
+
+def next_subset(places: list[int], n: int) -> list[int] | None:
+    """The next subset of the places 0 to n - 1 in lexicographic order; None after the last."""
+    k, out = len(places), list(places)
+    for i in range(k - 1, -1, -1):
+        if out[i] < n - k + i:
+            out[i] += 1
+            for j in range(i + 1, k):
+                out[j] = out[j - 1] + 1
+            return out
+    return None
+
+
+def beta(a: float, b: float) -> float:
+    return math.exp(math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+
+
+def laguerre(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, weights) of the quadrature of f(x) exp(-x) from 0 on that is exact for polynomials below degree 2 n."""
+    return np.polynomial.laguerre.laggauss(n)
+
+
+def chebyshev(f, low: float, high: float, n: int) -> np.ndarray:
+    """Coefficients of a Chebyshev series of a function on a range, from its values at ``n`` nodes."""
+    x = np.cos(np.pi * (np.arange(n) + 0.5) / n)
+    y = np.array([f((low + high) / 2 + (high - low) / 2 * v) for v in x])
+    return np.array([(2 - (k == 0)) / n * (y * np.cos(k * np.pi * (np.arange(n) + 0.5) / n)).sum() for k in range(n)])
+
+
+def chebyshev_value(coefficients: np.ndarray, low: float, high: float, x: float) -> float:
+    return float(np.polynomial.chebyshev.chebval((2 * x - low - high) / (high - low), coefficients))
+
+
+def brent_root(f, low: float, high: float, tolerance: float = 1e-12, rounds: int = 200) -> float:
+    """A zero in a bracket with a change of sign: inverse interpolation where it helps, halving where it doesn't."""
+    a, b, fa, fb = low, high, f(low), f(high)
+    if fa * fb > 0:
+        raise ValueError("the function has the same sign at both ends")
+    for _ in range(rounds):
+        if abs(fa) < abs(fb):
+            a, b, fa, fb = b, a, fb, fa
+        if fb == 0 or abs(b - a) < tolerance:
+            break
+        middle = (a + b) / 2
+        secant = b - fb * (b - a) / (fb - fa) if fa != fb else middle
+        x = secant if min(middle, b) < secant < max(middle, b) else middle
+        fx = f(x)
+        # The bracket must shrink by half within two steps.
+        if abs(x - b) < tolerance:
+            x = middle
+            fx = f(x)
+        if fa * fx < 0:
+            b, fb = x, fx
+        else:
+            a, fa = x, fx
+    return b if abs(fb) < abs(fa) else a
+
+
+def line_fit(rows, x: str, y: str, weight: str | None = None):
+    """``(slope, intercept, correlation)`` of a weighted least-squares line, one aggregate."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    u, v = F.col(x).cast("double"), F.col(y).cast("double")
+    sums = rows.agg(F.sum(w).alias("n"), F.sum(w * u).alias("u"), F.sum(w * v).alias("v"), F.sum(w * u * u).alias("uu"), F.sum(w * v * v).alias("vv"), F.sum(w * u * v).alias("uv"))
+    c = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
+    slope = c("u", "v", "uv") / c("u", "u", "uu")
+    return sums.select(slope.alias("slope"), ((F.col("v") - slope * F.col("u")) / F.col("n")).alias("intercept"), (c("u", "v", "uv") / F.sqrt(c("u", "u", "uu") * c("v", "v", "vv"))).alias("correlation"))

@@ -319,3 +319,15 @@ def rank_features(cases: DataFrame, step: int = 1) -> DataFrame:
         return pd.DataFrame({"group": part["group"].iloc[0], "feature": order, "rank": range(len(order), 0, -1)})
 
     return cases.groupBy("group").applyInPandas(run, "group long, feature int, rank int")
+
+
+def normalise_long(long: DataFrame) -> DataFrame:
+    """``long(rid, feature, x)`` with each row, then each feature, to mean 0 and deviation 1 (n - 1), then the arc tangent; two windows, no gathering of rows by hand."""
+
+    def z(by: str):
+        w = Window.partitionBy(by)
+        spread = F.stddev_samp("x").over(w)
+        return (F.col("x") - F.avg("x").over(w)) / F.when(spread > 0, spread).otherwise(1.0)
+
+    out = long.select("rid", "feature", z("rid").alias("x"))
+    return out.select("rid", "feature", z("feature").alias("x")).withColumn("x", F.atan("x"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
+from lodestone.operators.table import numbered
 from lodestone.plans.levels import level
 
 SMOOTH = 1e-5
@@ -353,7 +354,7 @@ def follow(pointers: DataFrame) -> DataFrame:
 def group_sizes(groups: DataFrame, densities: DataFrame) -> DataFrame:
     """``(root, size, peak, rank)``: groups by size, largest first."""
     sizes = groups.join(densities, "id").groupBy("root").agg(F.count("*").alias("size"), F.max("density").alias("peak"))
-    return sizes.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "root")))
+    return numbered(sizes, [F.desc("size"), F.col("root")], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def boundaries(neighbours: DataFrame, groups: DataFrame, densities: DataFrame, depth: int) -> DataFrame:
@@ -394,3 +395,64 @@ def box_counts(points: DataFrame, dims: int, sizes: Sequence[float]) -> DataFram
     """``(size, boxes)``: occupied boxes for each box size, in one pass over the points."""
     boxes = [F.struct(F.lit(float(s)).alias("size"), F.array(*_cells(F.col("x"), dims, s)).alias("box")) for s in sizes]
     return points.select(F.inline(F.array(*boxes))).distinct().groupBy("size").agg(F.count("*").alias("boxes"))
+
+
+def density_cut(groups: DataFrame, densities: DataFrame, threshold: float) -> DataFrame:
+    """``(id, root)`` with null for points whose density is below the threshold."""
+    return groups.join(densities, "id").select("id", F.when(F.col("density") >= threshold, F.col("root")).alias("root"))
+
+
+def overlapping(cfs: DataFrame, dims: int) -> DataFrame:
+    """``(id, other)``: the pairs of ``cfs(id, n, sx, sxx)`` whose balls (centre and radius) overlap.
+
+    Pairs are found on grid cells as wide as two of the largest radii; cells need few dimensions.
+    """
+    r = F.sqrt(V.cf_radius2(F.col("n"), F.col("sx"), F.col("sxx")))
+    balls = cfs.select("id", V.scale(F.col("sx"), 1 / F.col("n")).alias("x"), r.alias("r"))
+    widest = balls.agg(F.max("r")).first()[0] or 0.0
+    near = within(balls.select("id", "x"), balls.select("id", "x"), dims, max(2 * widest, 1e-9)).where("id < other")
+    near = near.join(balls.select("id", F.col("r").alias("r1")), "id").join(balls.select(F.col("id").alias("other"), F.col("r").alias("r2")), "other")
+    return near.where(F.sqrt("d2") <= F.col("r1") + F.col("r2")).select("id", "other")
+
+
+def kd_leaves(points: DataFrame, depth: int, dims: int) -> DataFrame:
+    """``(id, leaf)``: the leaf, from 1 at the root by doubling, of a tree that halves each node at the median of one dimension.
+
+    The dimensions take turns; a point goes left if it isn't above the node's lower median. A level is one aggregate and a join
+    with the medians of its nodes, of which there are at most two to the power of the level.
+    """
+    now = points.select("id", "x", F.lit(1).cast("long").alias("leaf"))
+    for k in range(depth):
+        v = F.col("x")[k % dims]
+        cuts = now.groupBy("leaf").agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY x[{k % dims}])").alias("_cut"))
+        now = now.join(cuts, "leaf").select("id", "x", (F.col("leaf") * 2 + (v > F.col("_cut")).cast("long")).alias("leaf"))
+    return now.select("id", "leaf")
+
+
+def point_density(points: DataFrame, grid: DataFrame, width: float, dims: int) -> DataFrame:
+    """``grid(id, x)`` with the mean normal-kernel density of the points; the grid is a bounded list of places."""
+    term = F.exp(-V.square_distance(F.col("x"), F.col("_p")) / (2 * width * width)) / (2 * math.pi * width * width) ** (dims / 2)
+    return points.select(F.col("x").alias("_p")).crossJoin(F.broadcast(grid)).groupBy("id").agg(F.avg(term).alias("density"))
+
+
+def cluster_summary(assigned: DataFrame, dims: int) -> DataFrame:
+    """``(cluster, n, center, radius)`` of assigned points."""
+    cf = features(assigned, "cluster", dims)
+    n = F.col("n").cast("double")
+    return cf.select("cluster", "n", V.scale(F.col("sx"), 1 / n).alias("center"), F.sqrt(V.cf_radius2(n, F.col("sx"), F.col("sxx"))).alias("radius"))
+
+
+def next_threshold(history: Sequence[tuple[int, float]], points: int) -> float:
+    """The squared threshold at which ``points`` points should fit, from (points, squared threshold) seen so far.
+
+    A line is fitted to the logarithms by least squares; with fewer than two, or no growth, the last threshold is doubled.
+    """
+    known = [(math.log(n), math.log(t)) for n, t in history if n > 0 and t > 0]
+    last = history[-1][1] if history else 0.0
+    if len(known) < 2:
+        return 2 * last if last else 1e-12
+    mx, my = (sum(v) / len(known) for v in zip(*known))
+    spread = sum((x - mx) ** 2 for x, _ in known)
+    slope = sum((x - mx) * (y - my) for x, y in known) / spread if spread else 0.0
+    guess = math.exp(my + slope * (math.log(max(points, 1)) - mx)) if slope > 0 else 0.0
+    return max(guess, 2 * last if guess <= last else guess)

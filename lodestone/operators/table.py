@@ -312,3 +312,81 @@ def moments(df: DataFrame, columns: Sequence[str], maximum_likelihood: bool = Fa
         divisor = n if maximum_likelihood else n - 1
         rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), n.alias("n"), (cov / divisor).alias("covariance"), (cov / F.sqrt(vx * vy)).alias("correlation")))
     return df.agg(*sums).select(F.inline(F.array(*rows)))
+
+
+# --- columns, tuples and runs ----------------------------------------------------------------------
+
+
+def exchange_columns(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Columns ``a`` and ``b`` in each other's place."""
+    return df.select(*[b if c == a else a if c == b else c for c in df.columns])
+
+
+def move_column(df: DataFrame, name: str, place: int) -> DataFrame:
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest[:place], name, *rest[place:])
+
+
+def columns_where(df: DataFrame, keep) -> DataFrame:
+    """The columns whose field (name, type, nullability, metadata) ``keep`` accepts."""
+    return df.select(*[f"`{f.name}`" for f in df.schema.fields if keep(f)])
+
+
+def cut_columns(df: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """(columns from place ``first`` to before ``last``, the others)."""
+    return df.select(*df.columns[first:last]), df.select(*df.columns[:first], *df.columns[last:])
+
+
+def exchange_tuples(df: DataFrame, order: Sequence[str], first: int, second: int, count: int) -> DataFrame:
+    """``df`` with ``_row``: the ranges of ``count`` rows from ``first`` and from ``second`` in each other's place."""
+    row = F.col("_row")
+    moved = F.when(row.between(first, first + count - 1), row + (second - first)).when(row.between(second, second + count - 1), row - (second - first)).otherwise(row)
+    return numbered(df, [F.col(c) for c in order]).withColumn("_row", moved)
+
+
+def remove_tuples(df: DataFrame, order: Sequence[str], first: int, count: int) -> DataFrame:
+    """``df`` without a range of rows."""
+    return numbered(df, [F.col(c) for c in order]).where(~F.col("_row").between(first, first + count - 1)).drop("_row")
+
+
+def apply(df: DataFrame, change, schema=None) -> DataFrame:
+    """Every tuple through ``change(frame)``, which gets and gives frames of rows."""
+
+    def run(batches):
+        for batch in batches:
+            yield change(batch)
+
+    return df.mapInPandas(run, schema or df.schema)
+
+
+def project_vectors(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """A vector of doubles for each group of columns; text that is no number counts as its domain's place is unknown: null."""
+    return df.select("*", *[F.array(*[F.col(c).try_cast("double") for c in cs]).alias(name) for name, cs in groups.items()])
+
+
+def search(df: DataFrame, column: str, value) -> DataFrame:
+    """``(first, n)``: the first row of a value in the column's order, null if it's absent, and how many rows have it."""
+    below = F.count_if(F.col(column) < value)
+    n = F.count_if(F.col(column) == value)
+    return df.agg(F.when(n > 0, below).alias("first"), n.alias("n"))
+
+
+def merge_runs(runs: Sequence[DataFrame], order: Sequence[str]) -> DataFrame:
+    """Sorted runs as one table with exact row numbers ``_row``; the runs' own order isn't needed."""
+    merged = runs[0]
+    for r in runs[1:]:
+        merged = merged.unionByName(r)
+    return numbered(merged, [F.col(c) for c in order])
+
+
+def ranks(df: DataFrame, column: str, key: str) -> DataFrame:
+    """``(key, rank, index)``: each row's rank by the column (ties by key), and the key of the row whose rank is this row's place by key."""
+    by_value = numbered(df.select(F.col(key).alias("_k"), F.col(column).alias("_v")), [F.col("_v"), F.col("_k")], "rank")
+    by_key = numbered(df.select(F.col(key).alias("_k")), [F.col("_k")], "_place")
+    at = by_value.select(F.col("rank").alias("_place"), F.col("_k").alias("index"))
+    return by_value.select("_k", "rank").join(by_key, "_k").join(at, "_place").select(F.col("_k").alias(key), "rank", "index")
+
+
+def median(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """The middle value, or the mean of the two middle ones."""
+    return df.groupBy(*by).agg(F.percentile(column, F.lit(0.5)).alias("median"))

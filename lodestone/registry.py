@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import classify_queries, cluster_queries, graph_queries, pattern_queries, sequence_queries, source_queries, table_queries
+from lodestone.plans import classify_queries, cluster_queries, function_queries, graph_queries, pattern_queries, sequence_queries, source_queries, table_queries
 
-MODULES = [table_queries, pattern_queries, cluster_queries, classify_queries, graph_queries, sequence_queries, source_queries]
+MODULES = [table_queries, pattern_queries, cluster_queries, classify_queries, graph_queries, sequence_queries, source_queries, function_queries]
 
 
 def queries() -> dict:
