@@ -5,16 +5,18 @@ canonicalised: numbers, quantities (a number with letters), units and names (a
 capitalised word inside a sentence) become typed placeholders. All windows of
 ``WINDOW`` canonical words of the benchmark are hashed into a table, an item
 shorter than that as one window of its own length; the windows of every whole
-text are looked up in it, which is a hash join whose small side is the
-benchmark, in blocks of at most ``MAX_WINDOWS`` windows where it is large. A
-document and an item that share windows are then compared where the windows lie:
-the fillers of the placeholders must map one to one, so the same number or name
-of the item always stands for the same one of the document. Windows whose
-fillers break the mapping of the majority are dropped. The pair is reported if
-the windows left cover ``COVERAGE`` of the item's words or more: ``exact`` if
-all fillers are equal, ``reparameterised`` otherwise.
-
-A window of placeholders alone says nothing and is left out.
+text are joined with it by their hashes. A bitmap of the benchmark's hashes, of
+at most ``2 ** MAX_BITS`` bits whatever the benchmark's size, goes to all workers
+first, so that hardly any window without a partner is shuffled; it never decides
+a result. A document and an item that share windows are then compared where the
+windows lie: the fillers of the placeholders must map one to one, so the same
+number or name of the item always stands for the same one of the document.
+Windows whose fillers break the mapping of the majority are dropped. The pair is
+reported if the windows left cover ``COVERAGE`` of the item's words or more:
+``exact`` if all fillers are equal, ``reparameterised`` otherwise.
+
+A window of placeholders alone says nothing and is left out. Windows of one copy
+lie on a diagonal; each copy has a mapping of its own, and the best one counts.
 
 Defined cases: null and empty texts, and items without a word, match nothing;
 repeated rows are judged one by one; a null ``doc_id`` is reported as null;
@@ -29,16 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .words import LOWER, Block, blocks, hash_of, hashes, mix, words
+from .words import LOWER, Block, binary_column, blocks, hash_of, hashes, mix, words
 
 WINDOW = 5
 COVERAGE = 0.8
-#: Benchmark windows that one pass holds in memory and sends to the workers.
-MAX_WINDOWS = 2_000_000
+#: Bits of the bitmap of window hashes, as a power of two: 8 MB at most.
+MAX_BITS = 26
+#: Rows that the last anti-join may broadcast, at most; beyond it the join is a shuffle.
+MAX_BROADCAST = 1_000_000
 # The units that stand for a placeholder of their own.
 UNITS = (
     "mm cm m km in ft yd mi mile miles inch inches foot feet metre metres meter meters mg g kg lb lbs oz gram grams ton tons "
@@ -113,48 +118,89 @@ class Canon:
         return mix(total ^ np.uint64(length)), inside
 
 
-class Items:
-    """The benchmark's windows: sorted hashes, each with its places (item, first word)."""
+# --- windows ---------------------------------------------------------------------------------------
+
+_ITEM = "h long, item_no long, item_id long, first int, size int, mask int, own array<long>"
+_HIT = "row long, doc_id long, print long, h long, word int, own array<long>"
+
+
+def _fillers(own: np.ndarray, first: np.ndarray, length: int) -> pa.ListArray:
+    """The words' own hashes of windows, ``WINDOW`` numbers for each, 0 beyond their length."""
+    out = np.zeros((len(first), WINDOW), np.uint64)
+    for k in range(length):
+        out[:, k] = own[first + k]
+    offsets = np.arange(0, out.size + 1, WINDOW, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.reshape(-1).view(np.int64)))
 
-    def __init__(self, item_ids: list, texts: list[str]) -> None:
-        self.ids, self.size, self.own, self.slot = [], [], [], []
-        hs, items, firsts = [], [], []
-        for item_id, text in zip(item_ids, texts):
-            for block in blocks(pa.array([text], pa.string())):
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split(" ")[0] for x in _ITEM.split(", ")]
+    for batch in batches:
+        column = binary_column(batch.column(2))
+        for i in range(batch.num_rows):
+            for block in blocks(column.slice(i, 1)):
                 c = Canon(block)
-                length = min(WINDOW, len(c.template))
+                size = len(c.template)
+                length = min(WINDOW, size)
                 if not length:
                     continue
                 h, first = c.windows(length)
-                hs.append(h)
-                firsts.append(first)
-                items.append(np.full(len(h), len(self.ids)))
-                self.ids.append(item_id)
-                self.size.append(len(c.template))
-                self.own.append(c.own)
-                self.slot.append(c.slot)
-        empty = np.zeros(0, np.int64)
-        h = np.concatenate([*hs, np.zeros(0, np.uint64)])
-        by = np.argsort(h, kind="stable")
-        self.hash, self.item, self.first = h[by], np.concatenate([*items, empty])[by], np.concatenate([*firsts, empty])[by]
-        self.lengths = sorted({min(WINDOW, s) for s in self.size})
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.hash >> np.uint64(44)).astype(np.int64)] = True
-
-    def places(self, c: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, first word in the block, first word in the item) of every shared window."""
-        out = []
-        for length in self.lengths:
-            h, first = c.windows(length)
-            maybe = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
-            h, first = h[maybe], first[maybe]
-            a, b = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            n = b - a
-            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-            word = np.repeat(first, n)
-            fits = np.array([min(WINDOW, s) for s in self.size], np.int64)[self.item[at]] == length
-            out.append((c.row[word[fits]], self.item[at[fits]], word[fits], self.first[at[fits]]))
-        return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+                mask = sum((c.slot[first + k].astype(np.int32) << k for k in range(length)), np.zeros(len(h), np.int32))
+                n = len(h)
+                same = [pa.array([batch.column(k)[i].as_py()] * n, pa.int64()) for k in (0, 1)]
+                rest = [pa.array(first.astype(np.int32)), pa.array(np.full(n, size, np.int32)), pa.array(mask.astype(np.int32)), _fillers(c.own, first, length)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *same, *rest], names)
+
+
+class Filter:
+    """A bitmap of the leading bits of hashes, and the lengths of windows."""
+
+    def __init__(self, bits: int, words: np.ndarray, lengths: list[int]) -> None:
+        self.bits, self.words, self.lengths = bits, words, lengths
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _filter(windows: DataFrame) -> Filter:
+    """Sixteen bits or more for each window up to the largest size; the bits are put together by an aggregate of 64-bit words."""
+    r = windows.agg(F.approx_count_distinct("h").alias("n"), F.collect_set(F.least("size", F.lit(WINDOW))).alias("lengths")).first()
+    bits = min(MAX_BITS, max(12, (16 * max(r.n, 1)).bit_length()))
+    at = F.shiftrightunsigned("h", 64 - bits)
+    rows = windows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[rows["w"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return Filter(bits, words, sorted(r.lengths))
+
+
+def _hits(shared):
+    """The windows of texts that may be the benchmark's. Rows are numbered by task and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter, names = shared.value, [x.split(" ")[0] for x in _HIT.split(", ")]
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for block in blocks(batch.column(2)):
+                c = Canon(block)
+                starts = np.searchsorted(c.row, np.arange(block.rows))
+                for length in filter.lengths:
+                    h, first = c.windows(length)
+                    maybe = np.flatnonzero(filter.maybe(h))
+                    if not len(maybe):
+                        continue
+                    h, first = h[maybe], first[maybe]
+                    of = c.row[first]
+                    ids = [batch.column(k).take(pa.array(block.lo + of)) for k in (0, 1)]
+                    word = (first - starts[of]).astype(np.int32)
+                    columns = [pa.array(row + block.lo + of), *ids, pa.array(h.view(np.int64)), pa.array(word), _fillers(c.own, first, length)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+            row += batch.num_rows
+
+    return run
+
+
+# --- pairs -----------------------------------------------------------------------------------------
 
 
 def _consistent(item_slots: list[tuple], doc_slots: list[tuple]) -> list[bool]:
@@ -170,103 +216,102 @@ def _consistent(item_slots: list[tuple], doc_slots: list[tuple]) -> list[bool]:
     return [all(forth.get(a) == b for a, b in zip(left, right)) for left, right in zip(item_slots, doc_slots)]
 
 
-def judge(c: Canon, items: Items, coverage: float = COVERAGE) -> Iterator[tuple[int, int, int, int, int, str]]:
-    """(row, item, item's words, words covered, placeholders covered, verdict) of each pair that is found."""
-    row, item, word, first = items.places(c)
-    by = np.lexsort((first, word, item, row))
-    row, item, word, first = row[by], item[by], word[by], first[by]
-    cuts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]), [True]])) if len(row) else []
-    for a, b in zip(cuts, cuts[1:]):
-        i = int(item[a])
-        size = items.size[i]
-        length = min(WINDOW, size)
-        reach = np.zeros(size + 1, np.int64)
-        np.add.at(reach, first[a:b], 1)
-        np.add.at(reach, np.minimum(first[a:b] + length, size), -1)
-        if (np.cumsum(reach)[:size] > 0).sum() < coverage * size:
-            continue
-        # Windows of one copy lie on a diagonal; each copy has a mapping of its own, and the best one counts.
-        copies = defaultdict(list)
-        for w, f in zip(word[a:b].tolist(), first[a:b].tolist()):
-            copies[(w - f) // max(1, size)].append((w, f))
-        groups = [copies[k] + copies.get(k + 1, []) for k in copies]
-        best = (0, 0, False)
-        for places in groups:
-            left, right = [], []
-            for w, f in places:
-                slots = np.flatnonzero(items.slot[i][f : f + length])
-                left.append(tuple(items.own[i][f + slots].tolist()))
-                right.append(tuple(c.own[w + slots].tolist()))
-            ok = _consistent(left, right)
-            covered = np.zeros(size, bool)
-            equal = True
-            for (_, f), good, x, y in zip(places, ok, left, right):
-                if good:
-                    covered[f : f + length] = True
-                    equal = equal and x == y
-            best = max(best, (int(covered.sum()), int((covered & items.slot[i]).sum()), equal))
-        if best[0] >= coverage * size:
-            yield int(row[a]), i, size, best[0], best[1], "exact" if best[2] else "reparameterised"
+def verdict(size: int, first: np.ndarray, word: np.ndarray, mask: np.ndarray, theirs: np.ndarray, ours: np.ndarray, coverage: float = COVERAGE) -> tuple[int, int, str] | None:
+    """(words covered, placeholders covered, verdict) of an item and a text that share windows; None if they cover too little.
+
+    ``first`` and ``word`` are the windows' places in item and text, ``theirs`` and ``ours`` their words' hashes there.
+    """
+    length = min(WINDOW, size)
+    reach = np.zeros(size + 1, np.int64)
+    np.add.at(reach, first, 1)
+    np.add.at(reach, first + length, -1)
+    if (np.cumsum(reach)[:size] > 0).sum() < coverage * size:
+        return None
+    slot = np.zeros(size, bool)
+    for k in range(length):
+        slot[first[(mask >> k) & 1 == 1] + k] = True
+    copies = defaultdict(list)
+    for n, k in enumerate(((word - first) // size).tolist()):
+        copies[k].append(n)
+    best = (0, 0, False)
+    for k in copies:
+        rows = copies[k] + copies.get(k + 1, [])
+        marked = [[i for i in range(length) if mask[n] >> i & 1] for n in rows]
+        left = [tuple(theirs[n, at].tolist()) for n, at in zip(rows, marked)]
+        right = [tuple(ours[n, at].tolist()) for n, at in zip(rows, marked)]
+        covered, equal = np.zeros(size, bool), True
+        for n, good, x, y in zip(rows, _consistent(left, right), left, right):
+            if good:
+                covered[first[n] : first[n] + length] = True
+                equal = equal and x == y
+        best = max(best, (int(covered.sum()), int((covered & slot).sum()), equal))
+    return (best[0], best[1], "exact" if best[2] else "reparameterised") if best[0] >= coverage * size else None
+
+
+_PAIR = "doc_id long, print long, item_id long, n_item_words long, n_covered long, n_slots long, verdict string"
+_JOINED = ("row", "item_no", "first", "word", "size", "mask", "doc_id", "print", "item_id")
+
+
+def _judge(coverage: float):
+    """Verdicts of rows sorted by (row, item); a pair may lie in several batches."""
+
+    def pair(at: slice, x: dict[str, np.ndarray], theirs: np.ndarray, ours: np.ndarray):
+        order = np.lexsort((x["first"][at], x["word"][at]))
+        pick = lambda v: v[at][order]
+        return verdict(int(x["size"][at.start]), *(pick(x[n]).astype(np.int64) for n in ("first", "word", "mask")), pick(theirs), pick(ours), coverage)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split(" ")[0] for x in _PAIR.split(", ")]
+        waiting: list[pa.RecordBatch] = []
+
+        def judged(table: pa.Table, last: bool):
+            """(the verdicts of the whole pairs, the rows of the last one unless it's whole)."""
+            x = {n: table[n].to_numpy() for n in ("row", "item_no", "first", "word", "size", "mask")}
+            theirs, ours = (table[n].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WINDOW) for n in ("theirs", "ours"))
+            cuts = np.flatnonzero(np.concatenate([[True], (np.diff(x["row"]) != 0) | (np.diff(x["item_no"]) != 0), [True]]))
+            found = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b == len(table) and not last:
+                    break
+                v = pair(slice(a, b), x, theirs, ours)
+                if v:
+                    found.append((*(table[n][a].as_py() for n in ("doc_id", "print", "item_id", "size")), *v))
+            out = pa.RecordBatch.from_pydict({n: pa.array([f[i] for f in found], pa.string() if n == "verdict" else pa.int64()) for i, n in enumerate(names)})
+            return out, table.slice(int(cuts[-2])).to_batches() if not last else []
+
+        for batch in batches:
+            if batch.num_rows:
+                out, waiting = judged(pa.Table.from_batches([*waiting, batch]), False)
+                yield out
+        if waiting:
+            yield judged(pa.Table.from_batches(waiting), True)[0]
+
+    return run
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
+    """``find``'s rows with ``print``, a hash of the text."""
+    spark = scratch.ship(docs.sparkSession)
+    items = benchmark.where(F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("item_no"), F.col("item_id").cast("long").alias("item_id"), "text")
+    windows = scratch.materialise(scratch.materialise(items, "items").mapInArrow(_item_windows, _ITEM), "windows")
+    shared = spark.sparkContext.broadcast(_filter(windows))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
+    # Written once, so that the numbers of rows are the same for all that reads them.
+    hits = scratch.materialise(rows.mapInArrow(_hits(shared), _HIT), "hits")
+    joined = hits.withColumnRenamed("own", "ours").join(windows.withColumnRenamed("own", "theirs"), "h").select(*_JOINED, "theirs", "ours")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = joined.repartition(parts, "row", "item_no").sortWithinPartitions("row", "item_no")
+    return scratch.materialise(ordered.mapInArrow(_judge(coverage), _PAIR), "pairs")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``(doc_id, item_id, n_item_words, n_covered, n_slots, verdict)`` for each contaminated pair."""
-    spark = scratch.ship(docs.sparkSession)
-    schema = "doc_id long, item_id long, n_item_words long, n_covered long, n_slots long, verdict string"
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-
-    def matcher(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
-                for block in blocks(batch.column(1)):
-                    found = list(judge(Canon(block), items, coverage))
-                    if not found:
-                        continue
-                    ids = batch.column(0).take(pa.array([block.lo + f[0] for f in found]))
-                    rest = [[items.ids[f[1]] for f in found], *([f[k] for f in found] for k in (2, 3, 4))]
-                    columns = [ids, *(pa.array(x, pa.int64()) for x in rest), pa.array([f[5] for f in found])]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-        return run
-
-    out = None
-    for items in item_blocks(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(matcher(spark.sparkContext.broadcast(items)), schema)
-        out = part if out is None else out.union(part)
-    return out
-
-
-def item_blocks(benchmark: DataFrame) -> list[Items]:
-    """The benchmark's windows, at most about ``MAX_WINDOWS`` in each; its rows pass the driver one partition at a time."""
-    out, ids, texts, size = [], [], [], 0
-    for r in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
-        ids.append(r.item_id)
-        texts.append(r.text)
-        size += len(r.text) // 2 + 1
-        if size >= MAX_WINDOWS:
-            out.append(Items(ids, texts))
-            ids, texts, size = [], [], 0
-    return [*out, Items(ids, texts)]
+    return _pairs(docs, benchmark, coverage).drop("print")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs(text, ...)`` that hold no item; rows are judged where they lie, without a shuffle."""
-    spark = scratch.ship(docs.sparkSession)
-    text = docs.columns.index("text")
-
-    def cleaner(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
-                stay = np.ones(batch.num_rows, bool)
-                for block in blocks(batch.column(text)):
-                    for row, *_ in judge(Canon(block), items, coverage):
-                        stay[block.lo + row] = False
-                yield batch.filter(pa.array(stay))
-
-        return run
-
-    for items in item_blocks(benchmark):
-        docs = docs.mapInArrow(cleaner(spark.sparkContext.broadcast(items)), docs.schema)
-    return docs
+    """The rows of ``docs(doc_id, text, ...)`` that hold no item; rows that share their ``doc_id`` are told apart by their texts."""
+    bad = scratch.materialise(_pairs(docs, benchmark, coverage).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct(), "bad")
+    bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST else bad
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print"))
+    return docs.join(bad, same, "left_anti")
