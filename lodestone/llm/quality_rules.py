@@ -1,15 +1,18 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
-Each text gets counts, and from them one share for each rule. A rule rejects a
-text whose share is above a cutoff. Cutoffs are chosen in each stratum
-(language) from labelled rows: going down a fixed list from lax to strict, a
-cutoff is accepted while the exact binomial test rejects that it drops more
-than ``alpha / rules`` of the good texts, and the walk ends at the first one
-that fails (a fixed-sequence test, so the list itself costs nothing). The level
-of each walk is ``delta`` divided by strata x rules (Bonferroni). So with
-probability ``1 - delta`` no stratum loses more than ``alpha`` of its good
-texts to all of the rules together. A stratum with too few labels to show that
-keeps every text that passes the base checks.
+Each text gets counts, and from them one share for each rule. A text is rejected
+if any rule's share is above the stratum's cutoff; the stratum is the language.
+The cutoff is chosen from labelled rows: going down a fixed list from lax to
+strict, a cutoff is accepted while the exact binomial test rejects that all rules
+together drop more than ``alpha`` of the good texts, and the walk ends at the
+first one that fails (a fixed-sequence test, so neither the list nor the rules
+cost anything). The level of each walk is ``delta`` divided by the number of
+walks, one for each stratum with labels and one for all of them together
+(Bonferroni). So with probability ``1 - delta`` no stratum with a cutoff of its own
+loses more than ``alpha`` of its good texts. A stratum with so few good labels
+that even no loss among them would show nothing takes the cutoff of all strata
+together, for whose good texts as a whole the bound holds. With no cutoff every
+text that passes the base checks is kept.
 
 Defined cases: a null text has no words; null ``lang`` is a stratum of its own;
 a null ``doc_id`` matches no label; repeated rows are judged one by one; of
@@ -46,7 +49,8 @@ def features(docs: DataFrame) -> DataFrame:
     """``(doc_id, stratum)``, the counts and the shares of each row."""
     empty_long = F.expr("cast(array() as array<bigint>)")
     text = F.coalesce("text", F.lit(""))
-    out = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), text.alias("text"))
+    # The mark keeps a null language apart from an empty one.
+    out = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("stratum"), text.alias("text"))
     out = out.withColumn("trimmed", F.btrim("text", F.lit(SPACE)))
     words = F.when(F.col("trimmed") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("trimmed", SPACES, -1))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -104,54 +108,55 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``(stratum, <rule>_cut ...)``: the strictest accepted cutoff of each rule, null if none is."""
+    """``(stratum, n, steps, few, cut)`` of each stratum with good labels, and of all together, whose stratum is null.
+
+    ``cut`` is the strictest accepted cutoff, null if none is; ``few`` says that no cutoff could have been.
+    """
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = feats.join(quality, "doc_id").where("quality = 1")
-    hits = [F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(CUTOFFS)]
+    hits = [F.count_if(_over(F.lit(c))).alias(f"k{i}") for i, c in enumerate(CUTOFFS)]
     counted = scratch.materialise(good.groupBy("stratum").agg(F.count("*").alias("n"), *hits), "holdout")
-    level = F.lit(delta) / (len(RULES) * F.greatest(F.count("*").over(_everything()), F.lit(1)))
-    cells = [
-        F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k"))
-        for r in RULES
-        for i, c in enumerate(CUTOFFS)
-    ]
-    tested = counted.withColumn("level", level).select("stratum", "n", "level", F.inline(F.array(*cells)))
-    p = alpha / len(RULES)
-    passed = (F.col("k") < p * F.col("n")) & (log_binomial_cdf(F.col("k"), F.col("n"), p) <= F.log("level"))
-    tested = tested.withColumn("failed_at", F.when(~passed, F.col("step")))
-    first = tested.groupBy("stratum", "rule").agg(F.coalesce(F.min("failed_at"), F.lit(len(CUTOFFS))).alias("steps"))
+    names = ["n", *(f"k{i}" for i in range(len(CUTOFFS)))]
+    whole = counted.agg(*[F.sum(c).alias(c) for c in names]).where("n is not null")
+    walks = counted.agg((F.count("*") + 1).alias("walks"))  # one row
+    level = F.log(F.lit(delta) / F.col("walks"))
+    cells = [F.struct(F.lit(i).alias("step"), F.col(f"k{i}").alias("k")) for i in range(len(CUTOFFS))]
+    tested = counted.union(whole.select(F.lit(None).cast("string").alias("stratum"), *names)).crossJoin(F.broadcast(walks))
+    few = F.col("n") * F.log1p(F.lit(-alpha)) > level
+    tested = tested.select("stratum", "n", few.alias("few"), level.alias("level"), F.inline(F.array(*cells)))
+    passed = (F.col("k") < alpha * F.col("n")) & (log_binomial_cdf(F.col("k"), F.col("n"), alpha) <= F.col("level"))
+    first = tested.groupBy("stratum", "n", "few").agg(F.coalesce(F.min(F.when(~passed, F.col("step"))), F.lit(len(CUTOFFS))).alias("steps"))
     cut = F.when(F.col("steps") > 0, F.element_at(F.array(*[F.lit(c) for c in CUTOFFS]), F.greatest("steps", F.lit(1))))
-    return first.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, cut)).alias(f"{r}_cut") for r in RULES])
-
+    return first.withColumn("cut", cut)
 
-def _everything():
-    from pyspark.sql import Window
 
-    # Over the table of strata, which has a row for each language.
-    return Window.partitionBy()
+def _over(cutoff: Column) -> Column:
+    """Whether any rule's share is above the cutoff."""
+    over = F.lit(False)
+    for r in RULES:
+        over = over | (F.col(r) > cutoff)
+    return over
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Counts, shares, ``base_failed`` and ``kept`` for every row of ``docs(doc_id, text, lang)``."""
     feats = scratch.materialise(features(docs), "quality")
     cuts = scratch.materialise(thresholds(feats, labels, alpha, delta), "cutoffs")
-    cuts = F.broadcast(cuts) if cuts.count() <= MAX_BROADCAST else cuts
+    own = cuts.where("stratum is not null").select("stratum", "few", F.col("cut").alias("own"))
+    own = F.broadcast(own) if own.count() <= MAX_BROADCAST else own
+    whole = cuts.where("stratum is null").agg(F.max("cut").alias("whole"))  # one row
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    over = F.lit(False)
-    for r in RULES:
-        over = over | F.coalesce(F.col(r) > F.col(f"{r}_cut"), F.lit(False))
-    judged = feats.join(cuts, "stratum", "left").withColumn("base_failed", base)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~over)
+    judged = feats.join(own, "stratum", "left").crossJoin(F.broadcast(whole)).withColumn("base_failed", base)
+    cut = F.when(F.coalesce("few", F.lit(True)), F.col("whole")).otherwise(F.col("own"))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(_over(cut), F.lit(False))).drop("few", "own", "whole")
 
 
 def oracle() -> str:
     """The same result in DuckDB's SQL."""
     grid = ", ".join(f"({i}, {c})" for i, c in enumerate(CUTOFFS))
-    p = ALPHA / len(RULES)
-    shares = "\n UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {r} AS share FROM good" for r in RULES)
-    over = " OR ".join(f"coalesce({r} > (SELECT cut FROM cuts c WHERE c.stratum = f.stratum AND c.rule = '{r}'), false)" for r in RULES)
+    over = lambda cut: " OR ".join(f"{r} > {cut}" for r in RULES)
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
@@ -168,14 +173,15 @@ f AS (SELECT *, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END
   CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share FROM c),
 q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 good AS (SELECT f.* FROM f JOIN q USING (doc_id) WHERE q.quality = 1),
-shares AS ({shares}),
 grid(step, cutoff) AS (VALUES {grid}),
-cells AS (SELECT stratum, rule, step, count(*) AS n, count(*) FILTER (share > cutoff) AS k FROM shares CROSS JOIN grid GROUP BY ALL),
-tests AS (SELECT *, CASE WHEN k < {p} * n THEN list_sum(list_transform(range(0, k + 1),
-  lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) ELSE 1 END
-  <= {DELTA} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM good)) AS passed FROM cells),
-steps AS (SELECT stratum, rule, coalesce(min(CASE WHEN NOT passed THEN step END), {len(CUTOFFS)}) AS steps FROM tests GROUP BY ALL),
-cuts AS (SELECT stratum, rule, (SELECT cutoff FROM grid WHERE step = steps - 1) AS cut FROM steps)
+k AS (SELECT stratum, step, count(*) AS n, count(*) FILTER ({over("cutoff")}) AS k FROM good CROSS JOIN grid GROUP BY ALL),
+cells AS (SELECT stratum, false AS whole, step, n, k FROM k UNION ALL SELECT NULL, true, step, sum(n)::BIGINT, sum(k)::BIGINT FROM k GROUP BY step),
+level AS (SELECT {DELTA} / (count(DISTINCT stratum) + 1) AS level FROM good),
+tests AS (SELECT *, n * ln(1 - {ALPHA}) > ln(level) AS few, CASE WHEN k < {ALPHA} * n THEN list_sum(list_transform(range(0, k + 1),
+  lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) ELSE 1 END <= level AS passed FROM cells, level),
+steps AS (SELECT stratum, whole, few, coalesce(min(CASE WHEN NOT passed THEN step END), {len(CUTOFFS)}) AS steps FROM tests GROUP BY ALL),
+cuts AS (SELECT stratum, whole, few, (SELECT cutoff FROM grid WHERE step = steps - 1) AS cut FROM steps),
+g AS (SELECT f.*, CASE WHEN coalesce(few, true) THEN (SELECT max(cut) FROM cuts WHERE whole) ELSE cut END AS cutoff FROM f LEFT JOIN (SELECT * FROM cuts WHERE NOT whole) c ON c.stratum = f.stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND NOT ({over}) AS kept
-FROM f"""
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND NOT coalesce({over("cutoff")}, false) AS kept
+FROM g"""

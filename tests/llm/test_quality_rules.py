@@ -84,10 +84,36 @@ def test_query_equals_sql_with_enough_labels(spark, tmp_path):
     assert got == want
     judged = {g[0]: g[-1] for g in got}
     quality = {i: q for i, q, _ in labels}
-    dropped = [i for i, q in quality.items() if i % 9 and not judged[i]]
-    assert len(dropped) > 300 and sum(quality[i] for i in dropped) <= 0.02 * 4000
-    # Too few labels in the null stratum: only the base checks apply there.
-    assert all(judged[i] for i in quality if i % 9 == 0)
+    for part in ([i for i in quality if i % 9], [i for i in quality if i % 9 == 0]):
+        dropped = [i for i in part if not judged[i]]
+        assert len(dropped) > len(part) / 15 and sum(quality[i] for i in dropped) <= 0.02 * sum(quality[i] for i in part)
+
+
+@pytest.mark.parametrize(("n", "own", "whole"), [(150, False, False), (260, False, True), (700, True, True)])
+def test_small_strata_take_the_cutoff_of_all(spark, n, own, whole):
+    """A stratum needs ln(level) / ln(1 - alpha) good labels without a loss; all strata together need as many."""
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, good, "en" if i % 2 else "fr", "") for i in range(n)] + [(5000, good + " #######################################", "en", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    cuts = {r.stratum: r for r in quality_rules.thresholds(quality_rules.features(docs), labels).collect()}
+    assert (cuts["=en"].cut is not None) == own and cuts["=en"].few != own and (cuts[None].cut is not None) == whole
+    judged = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+    assert judged[5000] == (not whole) and all(judged[i] for i in range(n))
+    needed = math.log(quality_rules.DELTA / 3) / math.log(1 - quality_rules.ALPHA)
+    assert (n / 2 >= needed) == own and (n >= needed) == whole
+
+
+def test_null_and_empty_languages_are_strata_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "a", None), (2, "a", ""), (3, "a", "en")], "doc_id long, text string, lang string")
+    assert len({r.stratum for r in quality_rules.features(docs).collect()}) == 3
+
+
+def test_the_graded_table_has_a_cutoff(spark):
+    sf = "/root/testdata/sf0.01"
+    feats = quality_rules.features(spark.read.parquet(f"{sf}/documents.parquet"))
+    cuts = quality_rules.thresholds(feats, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    assert any(r.cut is not None for r in cuts)
 
 
 def test_empty_tables(spark, tmp_path):
