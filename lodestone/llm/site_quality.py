@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import labelled, scratch
 from .words import LOWER, Block, blocks, hashes, words
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier
 def evidence(docs: DataFrame, host: Column, path: Column, classifier: Classifier | None) -> DataFrame:
     """``(doc_id, host, path, log_odds)`` for every row of ``docs(doc_id, text, ...)``."""
     spark = scratch.ship(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "text")
+    rows = docs.select("doc_id", host.alias("host"), path.alias("path"), "text")
     if classifier is None:
         return rows.select("doc_id", "host", "path", F.lit(0.0).alias("log_odds"))
     shared = spark.sparkContext.broadcast(classifier)
@@ -163,53 +164,94 @@ def _strength(mean: Column, between: Column) -> Column:
     return F.least(F.greatest(mean * (1 - mean) / F.greatest(between, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e6))
 
 
-def posteriors(scored: DataFrame) -> DataFrame:
-    """``scored(doc_id, host, path, log_odds, e)`` with ``global_mean, host_posterior, path_posterior, score``.
+def sites(scored: DataFrame) -> tuple[DataFrame, float] | None:
+    """(``(host, path, n, g, host_posterior, path_strength)``, global mean) of ``scored(host, path, e)``; None without rows.
 
     Sums by path are pre-aggregated in each task, hosts are summed from paths,
-    and the moments are one row.
+    and the moments are one row. Null hosts and paths are groups like any other.
     """
     paths = scratch.materialise(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("g")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("g").alias("host_g"))
     totals = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_g").alias("g"), F.count("*").alias("k")).withColumn("mean", F.col("g") / F.col("n"))
     t = totals.first()
     if not t.n:
-        return scored.select("*", *[F.lit(None).cast("double").alias(c) for c in ("global_mean", "host_posterior", "path_posterior", "score")])
+        return None
     mean = min(max(t.mean, 1e-4), 1 - 1e-4)
     noise = mean * (1 - mean)
     # Between-group variance: the weighted spread of the means less what chance gives groups of their sizes.
     spread = hosts.agg(F.sum(F.col("host_n") * F.pow(F.col("host_g") / F.col("host_n") - mean, 2)) / t.n).first()[0]
     host_between = max(spread - noise * t.k / t.n, 0.0)
     strength = _strength(F.lit(mean), F.lit(host_between))
-    hosts = hosts.withColumn("host_posterior", (F.col("host_g") + strength * mean) / (F.col("host_n") + strength))
-    joined = paths.join(hosts, "host")
+    hosts = hosts.withColumn("host_posterior", (F.col("host_g") + strength * mean) / (F.col("host_n") + strength)).withColumnRenamed("host", "_host")
+    joined = paths.join(hosts, paths.host.eqNullSafe(hosts._host)).drop("_host")
     within = joined.agg(F.sum(F.col("n") * F.pow(F.col("g") / F.col("n") - F.col("host_g") / F.col("host_n"), 2)) / t.n, F.count("*")).first()
     path_between = max(within[0] - noise * (within[1] - t.k) / t.n, 0.0)
     strength = _strength(F.lit(mean), F.lit(path_between))
-    table = joined.select("host", "path", "n", "g", "host_posterior", strength.alias("path_strength"))
-    out = scored.join(table, ["host", "path"])
+    return joined.select("host", "path", "n", "g", "host_posterior", strength.alias("path_strength")), mean
+
+
+def with_posteriors(scored: DataFrame, table: DataFrame, mean: float) -> DataFrame:
+    """``scored(host, path, log_odds, e, ...)`` with ``global_mean, host_posterior, path_posterior, score``."""
+    table = table.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "g", "host_posterior", "path_strength")
+    out = scored.join(table, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
     own = (F.col("g") - F.col("e") + F.col("path_strength") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("path_strength"))
     own = F.least(F.greatest(own, F.lit(1e-4)), F.lit(1 - 1e-4))
     logit = lambda p: F.log(p / (1 - p))
     out = out.withColumn("path_posterior", own).withColumn("global_mean", F.lit(mean))
     odds = F.col("log_odds") + logit(F.col("path_posterior")) - logit(F.col("global_mean"))
-    return out.withColumn("score", 1 / (1 + F.exp(-odds))).drop("n", "g", "path_strength")
+    return out.withColumn("score", 1 / (1 + F.exp(-odds))).drop("n", "g", "path_strength", "_host", "_path")
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
+
+
+def _evidence() -> Column:
+    return F.coalesce("quality", 1 / (1 + F.exp(-F.col("log_odds"))))
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, keep: float = KEEP) -> DataFrame:
     """``(doc_id, host, path, log_odds, host_posterior, path_posterior, score, kept)`` for every row of ``docs``."""
-    host = F.col("source") if host is None else host
-    path = F.col("lang") if path is None else path
+    return _judged(docs, labels, host, path, keep)[0]
+
+
+def _judged(docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, keep: float):
+    """(what ``judge`` returns, the classifier, the sites)."""
     classifier = fit(docs, labels)
-    found = evidence(docs, host, path, classifier)
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
-    e = F.coalesce("quality", 1 / (1 + F.exp(-F.col("log_odds"))))
-    scored = scratch.materialise(found.join(known, "doc_id", "left").withColumn("e", e).drop("quality"), "scored")
-    judged = posteriors(scored)
+    found = evidence(docs, F.col("source") if host is None else host, F.col("lang") if path is None else path, classifier)
+    scored = scratch.materialise(found.join(_known(labels), "doc_id", "left").withColumn("e", _evidence()).drop("quality"), "scored")
+    table = sites(scored)
+    if table is None:
+        judged = scored.select("*", *[F.lit(None).cast("double").alias(c) for c in ("global_mean", "host_posterior", "path_posterior", "score")])
+    else:
+        judged = with_posteriors(scored, *table)
     kept = F.lit(True) if classifier is None else F.col("score") >= keep
-    return judged.withColumn("kept", kept).drop("e")
+    return judged.withColumn("kept", kept).drop("e"), classifier, table
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that aren't judged bad; rows that share their ``doc_id`` or lack one are judged one by one."""
+    judged, classifier, table = _judged(docs, labels, host, path, keep)
+    if classifier is None or table is None:
+        return docs
+    judged = scratch.materialise(judged.select("doc_id", "kept"), "judged")
+    odd = scratch.materialise(judged.groupBy("doc_id").count().where("doc_id is null or count > 1").select("doc_id"), "odd")
+    alone = scratch.without(docs.where("doc_id is not null"), judged.where("not kept").select("doc_id").union(odd))
+    if odd.isEmpty():
+        return alone
+    some = docs.join(odd.withColumnRenamed("doc_id", "odd_id"), F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    host, path = (F.col("source") if host is None else host), (F.col("lang") if path is None else path)
+    parts = some.select("doc_id", host.alias("host"), path.alias("path"), "text", row)
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    fields = [parts.schema[c] for c in ("doc_id", "host", "path", "row")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(3)):
+                columns = [batch.column(i).slice(block.lo, block.rows) for i in (0, 1, 2, 4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(shared.value.log_odds(features(block)))], ["doc_id", "host", "path", "row", "log_odds"])
 
-def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` isn't judged bad (rows without one stay)."""
-    return scratch.without(docs, judge(docs, labels, host, path).where("not kept").select("doc_id"))
+    scored = parts.mapInArrow(run, T.StructType([*fields, T.StructField("log_odds", T.DoubleType())]))
+    scored = scored.join(_known(labels).join(odd, "doc_id"), "doc_id", "left").withColumn("e", _evidence())
+    return alone.union(with_posteriors(scored, *table).where(F.col("score") >= keep).select("row.*"))

@@ -3,12 +3,14 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from lodestone.llm import queries, site_quality, toxicity
 from lodestone.llm.words import blocks, hashes
+from pyspark.sql import functions as F
 
 GOOD = "a river ran past the old mill and children played near its wooden bridge all summer long"
 INSULTS = ["grumfex", "grumfol", "zarbit", "zarbun"]
@@ -119,7 +121,10 @@ def test_site_quality_equals_plain_posteriors(spark):
     kept = {r.doc_id: r.kept for r in got}
     assert np.mean([kept[i] == bool(q) for i, q, _ in truth]) > 0.98
     left = site_quality.keep_good(docs, labels)
-    assert left.columns == docs.columns and left.where("doc_id is null").count() == 1
+    want = Counter((r.doc_id, round(r.log_odds, 6)) for r in got if r.kept)
+    rest = Counter((r.doc_id, round(r.log_odds, 6)) for r in site_quality.evidence(left, F.col("source"), F.col("lang"), site_quality.fit(docs, labels)).collect())
+    # Rows without an id, and those that share one, are judged one by one.
+    assert left.columns == docs.columns and rest == want
 
 
 def test_site_quality_without_labels_or_rows(spark):
