@@ -39,7 +39,7 @@ DIMENSIONS = 4096
 CLUSTERS = 4
 #: Sample rows of each language, about.
 FIT_ROWS = 400
-#: Languages that one model may have.
+#: Languages that one model learns, those with most rows (a documented bound of the fit).
 MAX_LANGUAGES = 5000
 QUANTILE = 0.1
 SLACK = 0.8
@@ -186,11 +186,9 @@ def fit(docs: DataFrame, training: Column, fit_rows: int = FIT_ROWS, clusters: i
     """The model of the rows of ``docs(doc_id, text, lang)`` where ``training`` holds; None if there are none."""
     spark = scratch.ship(docs.sparkSession)
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return None
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     totals = rows.select("text").mapInArrow(_frequencies, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
     df = np.zeros(DIMENSIONS + 1)
     for r in totals.collect():

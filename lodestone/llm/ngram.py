@@ -54,14 +54,15 @@ STEPS = 4096
 END = 0x5851F42D4C957F2D
 #: Bytes of text that are looked up at once: each block asks every shard, so small ones cost more.
 BLOCK_BYTES = 4 << 20
-#: Characters of training text for each shard, about, where there are more shards than twice the shuffle partitions.
+#: Characters of training text for each shard, about, where there are more shards than twice the shuffle partitions:
+#: they can't hold ``HOT_CODE`` words, as each needs a space.
 SHARD_CHARS = 64 << 20
 #: Contexts with so many occurrences are dealt to all shards.
 HOT = 1 << 18
 #: A pair's key has its successor's id in the low bits and its context's code above them: the word's place in its
 #: shard, or from ``HOT_CODE`` on the place among the hot contexts, of which the start symbol is the first.
-ID_BITS = 40
-HOT_CODE = 1 << 23
+ID_BITS = 38
+HOT_CODE = 1 << 25
 START = -1
 
 
