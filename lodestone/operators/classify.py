@@ -6,6 +6,7 @@ what grows with the rows stays in DataFrames.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -57,8 +58,8 @@ def best_splits(rows: DataFrame, attributes: Sequence[str], classes: Sequence) -
     return best.select("node", "best.attr", "best.cut", "best.gini")
 
 
-def grow_tree(rows: DataFrame, attributes: Sequence[str], max_depth: int = 20) -> tuple[list[dict], DataFrame]:
-    """Breadth first until all nodes are pure: the nodes, and the rows with their leaf ``node``.
+def grow_tree(rows: DataFrame, attributes: Sequence[str], max_depth: int | None = None) -> tuple[list[dict], DataFrame]:
+    """Breadth first until all nodes are pure, or equal in all attributes, or at ``max_depth``: the nodes, and the rows with their leaf ``node``.
 
     The tree itself (one entry for each node) is kept on the driver.
     """
@@ -66,10 +67,10 @@ def grow_tree(rows: DataFrame, attributes: Sequence[str], max_depth: int = 20) -
     now = level(rows.withColumn("node", F.lit(1).cast("long")))
     nodes: list[dict] = []
     open_nodes = [1]
-    for depth in range(max_depth + 1):
+    for depth in itertools.count():
         summary = now.where(F.col("node").isin(open_nodes)).groupBy("node").agg(*[F.count_if(F.col("class") == c).alias(f"c{i}") for i, c in enumerate(classes)]).collect()
         mixed = [r.node for r in summary if sum(r[f"c{i}"] > 0 for i in range(len(classes))) > 1]
-        active = now.where(F.col("node").isin(mixed)) if mixed and depth < max_depth else None
+        active = now.where(F.col("node").isin(mixed)) if mixed and (max_depth is None or depth < max_depth) else None
         splits = {r.node: r for r in best_splits(active, attributes, classes).collect()} if active is not None else {}
         for r in sorted(summary):
             counts = {c: r[f"c{i}"] for i, c in enumerate(classes)}
@@ -331,3 +332,19 @@ def normalise_long(long: DataFrame) -> DataFrame:
 
     out = long.select("rid", "feature", z("rid").alias("x"))
     return out.select("rid", "feature", z("feature").alias("x")).withColumn("x", F.atan("x"))
+
+
+def regression_splits(rows: DataFrame, attributes: Sequence[str], target: str) -> DataFrame:
+    """``(node, attr, cut, error)`` of ``rows(node, attributes, target)``: the split ``value <= cut`` that leaves the least squares of each node.
+
+    Ties go to the first attribute by name, then to the least cut.
+    """
+    y = F.col(target).cast("double")
+    values = unpivot(rows.withColumn("_y", y), ["node", "_y"], attributes).groupBy("node", "attr", "val")
+    values = values.agg(F.count("*").cast("double").alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q"))
+    totals = rows.groupBy("node").agg(F.count("*").cast("double").alias("tn"), F.sum(y).alias("ts"), F.sum(y * y).alias("tq"))
+    run = running_sums(values, ["node", "attr"], "val", ["n", "s", "q"]).join(totals, "node").where("tn > n_below")
+    squares = lambda n, s, q: q - s * s / n
+    error = squares(F.col("n_below"), F.col("s_below"), F.col("q_below")) + squares(F.col("tn") - F.col("n_below"), F.col("ts") - F.col("s_below"), F.col("tq") - F.col("q_below"))
+    best = run.withColumn("error", error).groupBy("node").agg(F.min(F.struct(F.round(F.col("error") / F.col("tn"), 6).alias("error"), "attr", F.col("val").alias("cut"))).alias("best"))
+    return best.select("node", "best.attr", "best.cut", "best.error")

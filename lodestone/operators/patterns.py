@@ -6,6 +6,7 @@ items. The minimum count is ``max(2, floor(share x baskets + 0.5))``.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -331,7 +332,7 @@ def afi_pruning_support(size: int, n_baskets: int, least: int, eps_column: float
     return math.ceil(least / n_baskets * max(factor, 0.0))
 
 
-def approximate_itemsets(baskets: DataFrame, share: float, eps_column: float, eps_row: float, max_size: int = 6) -> DataFrame:
+def approximate_itemsets(baskets: DataFrame, share: float, eps_column: float, eps_row: float, max_size: int | None = None) -> DataFrame:
     """``(items, support, exact)``: approximate frequent itemsets with bounded noise per row and column.
 
     Level k extends level k-1. Where floor((k-1) eps_row) = floor(k eps_row), no
@@ -347,7 +348,9 @@ def approximate_itemsets(baskets: DataFrame, share: float, eps_column: float, ep
     rows = level(prune_items(baskets, floor_at(1)))
     sets = level(rows.select(F.array("item").alias("items"), "tid"))
     out = None
-    for k in range(2, max_size + 1):
+    for k in itertools.count(2):
+        if max_size is not None and k > max_size:
+            break
         large = sets.select("items").distinct()
         if k == 2:
             a, b = large.select(F.col("items")[0].alias("x")), large.select(F.col("items")[0].alias("y"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.operators import classify as K
+from lodestone.operators import machines as S
 from lodestone.operators import table as T
 
 from .data import points, table
@@ -75,22 +77,76 @@ def nb_cross_validation(spark, d):
 
 def svm_feature_score(spark, d):
     e = table(spark, d, "embeddings")
-    long = e.select(F.col("vec_id").alias("rid"), F.col("label").cast("double").alias("y"), F.posexplode(F.slice("embedding", 1, 16)).alias("feature", "x"))
+    long = e.select(F.col("vec_id").alias("rid"), F.col("label").cast("double").alias("y"), F.posexplode("embedding").alias("feature", "x"))
     scored = K.feature_scores(long.withColumn("x", F.col("x").cast("double")))
     return scored.select("feature", F.round(F.col("score") * 1000, 6).alias("score"))
 
 
 def svm_rfe(spark, d):
     """Features of every label against the next one: each pair of labels is one training problem."""
-    x = F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     sides = F.array(F.struct(F.col("label").alias("group"), F.lit(1.0).alias("y")), F.struct(((F.col("label") + 9) % 10).alias("group"), F.lit(-1.0).alias("y")))
     cases = table(spark, d, "embeddings").select(x.alias("x"), F.inline(sides))
-    return K.rank_features(cases.select(F.col("group").cast("long").alias("group"), "y", "x"))
+    return K.rank_features(cases.select(F.col("group").cast("long").alias("group"), "y", "x"), step=4)
+
+
+def _means(spark, d):
+    """(vectors, labels): the mean embedding of each label and quarter of the rows, forty cases from the whole table."""
+    p = points(spark, d, 64).withColumn("part", F.col("id") % 4)
+    rows = p.groupBy("label", "part").agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(64)]).orderBy("label", "part").collect()
+    return np.array([[r[f"m{i}"] for i in range(64)] for r in rows]), np.array([float(r.label) for r in rows])
+
+
+def svm_machines(spark, d):
+    """Machines of all kinds on the mean vectors: the conditions of optimality hold, and what nu bounds is bounded."""
+    x, label = _means(spark, d)
+    gram, y, rows = S.kernel("linear", x, x), np.where(label >= 5, 1.0, -1.0), []
+    for kind, target in (("c_svc", y), ("one_class", y), ("epsilon_svr", label)):
+        coef, rho = S.train(kind, gram, target, c=2.0, nu=0.4, eps=1e-6)
+        rows.append((kind, S.optimality_gap(kind, gram, target, coef, rho, c=2.0) < 1e-3))
+    for kind, target in (("nu_svc", y), ("nu_svr", label)):
+        coef, rho = S.train(kind, gram, target, c=2.0, nu=0.4, eps=1e-6)
+        used = (np.abs(coef) > 1e-9).mean()
+        most = np.abs(coef).max()
+        bound = (np.abs(coef) > most - 1e-9).mean() if kind == "nu_svc" else (np.abs(coef) > 2.0 - 1e-9).mean()
+        rows.append((kind, bool(used >= 0.4 - 1e-9 and (kind == "nu_svc" or bound <= 0.4 + 1e-9))))
+    return spark.createDataFrame([(k, bool(ok)) for k, ok in rows], "kind string, ok boolean")
+
+
+def svm_saved(spark, d):
+    """Machines written as text and read again give the same values, for two classes, ten, one, and numbers."""
+    x, label = _means(spark, d)
+    rows = []
+    for kind, target in (("c_svc", label), ("nu_svc", np.where(label >= 5, 1.0, -1.0)), ("one_class", label), ("epsilon_svr", label), ("nu_svr", label)):
+        machine = S.fit(kind, x, target, "rbf", nu=0.3, gamma=0.5)
+        again = S.Machine.load(machine.save(), 64)
+        rows.append((kind, bool(np.allclose(machine.values(x), again.values(x), atol=1e-9) and (machine.predict(x) == again.predict(x)).all()), len(machine.labels)))
+    return spark.createDataFrame(rows, "kind string, same boolean, classes int")
+
+
+def svm_cross_validation(spark, d):
+    """Four folds of the mean vectors, one quarter each: every fold's ten cases are judged by a machine of the others."""
+    x, label = _means(spark, d)
+    cases = spark.createDataFrame([(i % 4, float(v), [float(c) for c in r]) for i, (v, r) in enumerate(zip(label, x))], "fold int, y double, x array<double>")
+    return S.cross_validate(cases, 4, "c_svc", c=10.0).select("fold", "n", (F.col("right") >= 9).alias("good"))
+
+
+def svm_rfe_nu(spark, d):
+    """Ranks by nu-SVC: each group's are the numbers from 1 to the features."""
+    x, label = _means(spark, d)
+    cases = [(g, 1.0 if label[i] == g else -1.0, [float(v) for v in x[i]]) for g in range(3) for i in range(len(x))]
+    ranked = S.rank_features(spark.createDataFrame(cases, "group long, y double, x array<double>"), nu=0.1, step=4)
+    return ranked.groupBy("group").agg(F.count("*").alias("n"), F.countDistinct("feature").alias("features"), F.min("rank").alias("first"), F.max("rank").alias("last"))
+
+
+def cart_root(spark, d):
+    rows = _lines(spark, d).withColumn("node", F.lit(1)).join(table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rid"), "l_extendedprice").groupBy("rid").agg(F.max("l_extendedprice").alias("price")), "rid")
+    return K.regression_splits(rows, ["l_discount", "l_quantity", "l_tax"], "price").select("node", "attr", "cut", F.round(F.col("error") / 1e6, 4).alias("error"))
 
 
 QUERIES = {f.__name__: f for f in (
     tree_root_gini, tree_level_split, tree_grow, nb_model_counts, nb_model_gauss, nb_classify, bayes_error_rate, full_bayes, nb_generate,
-    nb_cross_validation, svm_feature_score, svm_rfe,
+    nb_cross_validation, svm_feature_score, svm_rfe, svm_machines, svm_saved, svm_cross_validation, svm_rfe_nu, cart_root,
 )}
 
 _L = "l AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_returnflag AS class, l_linestatus, l_quantity, l_discount, l_tax, l_orderkey % 8 AS ship FROM lineitem)"
@@ -117,6 +173,20 @@ FROM l CROSS JOIN k CROSS JOIN t JOIN q ON q.class = k.class LEFT JOIN s ON s.cl
 x AS (SELECT rid, class, c AS predicted, 1 / sum(exp(lp - mx)) OVER (PARTITION BY rid) AS confidence, lp FROM (SELECT *, max(lp) OVER (PARTITION BY rid) AS mx FROM p)
 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY lp DESC, c) = 1)"""
 
+def _full_bayes_sql() -> str:
+    """The quadratic form by the adjugate of each class's covariance matrix."""
+    cov = {(i, j): f"c{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)}
+    minor = lambda i, j: "({} * {} - {} * {})".format(*(cov[a, b] for a, b in zip(
+        ((i + 1) % 3, (i + 2) % 3, (i + 1) % 3, (i + 2) % 3), ((j + 1) % 3, (j + 2) % 3, (j + 2) % 3, (j + 1) % 3))))
+    det = " + ".join(f"{cov[0, j]} * {minor(0, j)}" for j in range(3))
+    quadratic = " + ".join(f"(x{i} - m{i}) * (x{j} - m{j}) * {minor(i, j)}" for i in range(3) for j in range(3))
+    sums = ", ".join([f"avg(x{i}) AS m{i}" for i in range(3)] + [f"covar_samp(x{i}, x{j}) AS c{i}{j}" for i in range(3) for j in range(i, 3)])
+    return f"""WITH r AS MATERIALIZED (SELECT vec_id AS id, label AS class, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2 FROM embeddings),
+k AS (SELECT class AS c, count(*) AS n, {sums} FROM r GROUP BY class), t AS (SELECT *, {det} AS det FROM k),
+s AS (SELECT id, class, c, ln(n) - 0.5 * ln(det) - 0.5 * ({quadratic}) / det AS s FROM r, t), p AS (SELECT class, c AS predicted FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, c) = 1)
+SELECT class, predicted, count(*) AS n FROM p GROUP BY 1, 2"""
+
+
 ORACLES = {
     "tree_root_gini": _gini("attr, val AS cut, round(gini, 9) AS gini", "1", NUMERIC),
     "tree_level_split": _gini("node, val AS cut, round(gini, 9) AS gini", "CASE WHEN l_quantity <= 25 THEN 2 ELSE 3 END", ("l_tax",)),
@@ -124,7 +194,18 @@ ORACLES = {
     "nb_model_gauss": f"WITH {_L} " + " UNION ALL ".join(f"SELECT '{a}' AS attr, class, count({a}) AS n, round(avg({a}), 8) AS mean, round(var_samp({a}), 8) AS variance FROM l GROUP BY class" for a in NUMERIC),
     "nb_classify": f"{_NB} SELECT class, predicted, count(*) AS n, round(avg(confidence), 6) AS confidence FROM x GROUP BY ALL",
     "bayes_error_rate": f"{_NB} SELECT count(*) FILTER (class <> predicted) AS errors, round(100 * count(*) FILTER (class <> predicted) / count(*), 6) AS percent FROM x",
-    "svm_feature_score": """WITH e AS (SELECT vec_id, label::DOUBLE AS y, unnest(embedding[1:16])::DOUBLE AS x, unnest(range(16)) AS feature FROM embeddings),
+    "svm_feature_score": """WITH e AS (SELECT vec_id, label::DOUBLE AS y, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS feature FROM embeddings),
 m AS (SELECT *, x - avg(x) OVER (PARTITION BY feature) AS dx, y - avg(y) OVER (PARTITION BY feature) AS dy FROM e)
 SELECT feature::INT AS feature, round(1000 * sum(dx * dy) / (sum(dx * dx) * sum(dy * dy)), 6) AS score FROM m GROUP BY feature""",
+    "full_bayes": _full_bayes_sql(),
+    "svm_machines": "SELECT kind, true AS ok FROM (VALUES ('c_svc'), ('one_class'), ('epsilon_svr'), ('nu_svc'), ('nu_svr')) t(kind)",
+    "svm_saved": "SELECT kind, true AS same, classes FROM (VALUES ('c_svc', 10), ('nu_svc', 2), ('one_class', 0), ('epsilon_svr', 0), ('nu_svr', 0)) t(kind, classes)",
+    "svm_cross_validation": "SELECT fold::INT AS fold, 10 AS n, true AS good FROM range(4) r(fold)",
+    "svm_rfe_nu": 'SELECT g AS "group", 64 AS n, 64 AS features, 1 AS first, 64 AS last FROM range(3) r(g)',
+    "cart_root": """WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS rid, max(l_extendedprice) AS price FROM lineitem GROUP BY 1), r AS (SELECT l_quantity, l_discount, l_tax, price FROM lineitem JOIN p ON rid = l_orderkey * 10 + l_linenumber),
+u AS (SELECT 'l_discount' AS attr, l_discount AS val, price FROM r UNION ALL SELECT 'l_quantity', l_quantity, price FROM r UNION ALL SELECT 'l_tax', l_tax, price FROM r),
+v AS (SELECT attr, val, count(*)::DOUBLE AS n, sum(price) AS s, sum(price * price) AS q FROM u GROUP BY 1, 2),
+w AS (SELECT attr, val, sum(n) OVER a AS n, sum(s) OVER a AS s, sum(q) OVER a AS q, sum(n) OVER b AS tn, sum(s) OVER b AS ts, sum(q) OVER b AS tq FROM v WINDOW a AS (PARTITION BY attr ORDER BY val), b AS (PARTITION BY attr)),
+e AS (SELECT attr, val, round((q - s * s / n + (tq - q) - (ts - s) ** 2 / (tn - n)) / tn, 6) AS error FROM w WHERE tn > n)
+SELECT 1 AS node, attr, val AS cut, round(error / 1e6, 4) AS error FROM e ORDER BY e.error, attr, val LIMIT 1""",
 }

@@ -294,7 +294,7 @@ def score_kinds(spark, d):
 
 def structure_exhaustive(spark, d):
     edges, score = J.best_structure(_cases(spark, d), ["flag", "qty", "status"])
-    return spark.createDataFrame([(round(score, 3), len(edges) > 0)], "score double, linked boolean")
+    return spark.createDataFrame([(round(score, 3), len(edges))], "score double, edges int")
 
 
 def gaussian_node(spark, d):
@@ -366,8 +366,8 @@ FROM f JOIN e ON e.series = f.series AND e.t = f.t + 1)"""
 def _kruskal(columns):
     """An edge is in the maximum spanning tree unless heavier edges connect its ends."""
     return f"""WITH RECURSIVE {_CASES}, w AS MATERIALIZED (SELECT a, b, mi FROM ({_mi_sql(columns).replace("round(sum(c / n * ln(c * n / (cx * cy))), 9)", "sum(c / n * ln(c * n / (cx * cy)))")})),
-u AS MATERIALIZED (SELECT a, b, mi FROM w UNION ALL SELECT b, a, mi FROM w), r(a, b, mi, at) AS (SELECT a, b, mi, a FROM w UNION SELECT r.a, r.b, r.mi, u.b FROM r JOIN u ON u.a = r.at AND u.mi > r.mi + 1e-12)
-SELECT a, b FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = w.a AND r.b = w.b AND r.at = w.b)"""
+u AS MATERIALIZED (SELECT a, b, mi FROM w UNION ALL SELECT b, a, mi FROM w), r(a, b, mi, here) AS (SELECT a, b, mi, a FROM w UNION SELECT r.a, r.b, r.mi, u.b FROM r JOIN u ON u.a = r.here AND u.mi > r.mi + 1e-12)
+SELECT a, b FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = w.a AND r.b = w.b AND r.here = w.b)"""
 
 
 def _best_three():
@@ -382,7 +382,7 @@ def _best_three():
             has = [f"{p in parents} AS {p}" for p in names]
             out.append(f"""SELECT '{c}' AS child, {', '.join(has)}, sum(c * ln(c / m)) - 0.5 * ln((SELECT count(*) FROM k)) * {free} AS s
 FROM (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER ({over}) AS m FROM k GROUP BY {', '.join((c, *parents))})""")
-    return f"""WITH {_CASES}, s AS MATERIALIZED ({' UNION ALL '.join(out)}) SELECT round(max(a.s + b.s + c.s), 3) AS score, true AS linked FROM s a, s b, s c
+    return f"""WITH {_CASES}, s AS MATERIALIZED ({' UNION ALL '.join(out)}) SELECT round(max(a.s + b.s + c.s), 3) AS score, arg_max(a.qty::INT + a.status::INT + b.flag::INT + b.status::INT + c.flag::INT + c.qty::INT, a.s + b.s + c.s - 1e-6 * (a.qty::INT + a.status::INT + b.flag::INT + b.status::INT + c.flag::INT + c.qty::INT)) AS edges FROM s a, s b, s c
 WHERE a.child = 'flag' AND b.child = 'qty' AND c.child = 'status' AND NOT (a.qty AND b.flag) AND NOT (a.status AND c.flag) AND NOT (b.status AND c.qty)
 AND NOT (a.qty AND b.status AND c.flag) AND NOT (a.status AND c.qty AND b.flag)"""
 

@@ -81,7 +81,14 @@ def twu_items(spark, d):
 
 
 def utility_sets(spark, d):
-    return _named(P.high_utility(quantities(spark, d), 0.0008, max_size=2)).withColumn("utility", F.round("utility", 2))
+    return _named(P.high_utility(quantities(spark, d), 0.0008)).withColumn("utility", F.round("utility", 2))
+
+
+def utility_brand_sets(spark, d):
+    """Sets of brands of any size with a share of the total utility."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.groupBy(F.col("l_orderkey").alias("tid"), F.col("p_brand").alias("item")).agg(F.sum(F.col("l_quantity") * F.col("p_retailprice")).alias("utility"))
+    return _named(P.high_utility(rows, 0.0005)).withColumn("utility", F.round("utility", 2))
 
 
 def _brand_triples(spark, d):
@@ -116,7 +123,7 @@ def afi_pruning_support(spark, d):
 
 
 def afi_exact(spark, d):
-    return _named(P.approximate_itemsets(brand_baskets(spark, d), BRAND_SHARE, 0.0, 0.0, max_size=12))
+    return _named(P.approximate_itemsets(brand_baskets(spark, d), BRAND_SHARE, 0.0, 0.0))
 
 
 def afi_noisy(spark, d):
@@ -125,7 +132,7 @@ def afi_noisy(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     fim_l1, fim_pairs, fim_apriori, fim_triples, fim_eclat, fim_declat, fim_maximal, fim_levels, fim_vertical, fim_containment,
-    stat_basket_conf, seq2_first_last, pair_graph_triangles, twu_items, utility_sets, eti_overlap_hist, eti_strong_support,
+    stat_basket_conf, seq2_first_last, pair_graph_triangles, twu_items, utility_sets, utility_brand_sets, eti_overlap_hist, eti_strong_support,
     eti_weak_support, eti_sets, afi_pruning_support, afi_exact, afi_noisy,
 )}
 
@@ -147,6 +154,13 @@ o AS (SELECT items, tid, count(*) AS overlap FROM t JOIN b ON b.item IN (x, y, z
 h AS (SELECT items, overlap, count(*) AS n FROM o GROUP BY ALL),
 c AS (SELECT items, coalesce(sum(n) FILTER (overlap = 1), 0) AS n1, coalesce(sum(n) FILTER (overlap = 2), 0) AS n2, coalesce(sum(n) FILTER (overlap = 3), 0) AS n3 FROM h GROUP BY items)"""
 
+def _utility(rows: str, share: float) -> str:
+    """All sets of items of each basket, summed: those above the share."""
+    return f"""WITH RECURSIVE q AS MATERIALIZED {rows}, s(tid, items, last, u) AS (SELECT tid, [item], item, utility FROM q
+UNION ALL SELECT s.tid, list_append(items, q.item), q.item, u + q.utility FROM s JOIN q ON q.tid = s.tid AND q.item > s.last)
+SELECT array_to_string(items, ',') AS items, round(sum(u), 2) AS utility FROM s GROUP BY items HAVING sum(u) >= {share} * (SELECT sum(utility) FROM q)"""
+
+
 ORACLES = {
     "fim_l1": f"WITH b AS {BASKETS} SELECT item, count(*) AS support FROM b GROUP BY item HAVING count(*) >= {_LEAST.format(share=0.01)}",
     "fim_pairs": f"""WITH b AS MATERIALIZED {BASKETS} SELECT x.item || ',' || y.item AS items, count(*) AS support FROM b x JOIN b y
@@ -168,10 +182,8 @@ SELECT a.item AS first_item, b.item AS second_item, count(*) AS support FROM r a
 GROUP BY ALL HAVING count(*) >= 24) SELECT p.i || ',' || p.j || ',' || q.j AS items FROM e p JOIN e q ON p.j = q.i JOIN e r ON r.i = p.i AND r.j = q.j""",
     "twu_items": f"""WITH q AS MATERIALIZED {QUANTITIES}, t AS (SELECT tid, sum(utility) AS tu FROM q GROUP BY tid)
 SELECT item, round(sum(tu), 2) AS twu FROM q JOIN t USING (tid) GROUP BY item""",
-    "utility_sets": f"""WITH q AS MATERIALIZED {QUANTITIES}, m AS (SELECT 0.0008 * sum(utility) AS least FROM q)
-SELECT item AS items, round(sum(utility), 2) AS utility FROM q GROUP BY item HAVING sum(utility) >= (SELECT least FROM m)
-UNION ALL SELECT x.item || ',' || y.item, round(sum(x.utility + y.utility), 2) FROM q x JOIN q y ON x.tid = y.tid AND x.item < y.item GROUP BY x.item, y.item
-HAVING sum(x.utility + y.utility) >= (SELECT least FROM m)""",
+    "utility_sets": _utility(QUANTITIES, 0.0008),
+    "utility_brand_sets": _utility("(SELECT l_orderkey AS tid, p_brand AS item, sum(l_quantity * p_retailprice) AS utility FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)", 0.0005),
     "eti_overlap_hist": f"WITH {_TRIPLES} SELECT * FROM h",
     "eti_strong_support": f"WITH {_TRIPLES} SELECT items, (n2 + n3)::BIGINT AS support FROM c",
     "eti_weak_support": f"""WITH {_TRIPLES}, d AS (SELECT *, least(n2, floor((1 - (1 - 0.2)) * n3 / ((1 - 0.2) - 2.0 / 3) + 0.5)) AS t2 FROM c),

@@ -6,11 +6,16 @@ bases, or aligned rows of the same length.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import sequences as S
 from lodestone.operators import align as A
+from lodestone.operators import align_blocks as B
 from lodestone.operators import phylogeny as Y
+from lodestone.operators import tree_search as X
 
 from .data import table
 
@@ -99,6 +104,21 @@ def seq_global_alignment(spark, d):
     return A.global_pairs(_pairs(spark, d))
 
 
+def seq_blocked_alignment(spark, d):
+    """Alignments in blocks of five cells: their scores, and whether what they render is worth as much and lies where they say."""
+    found = B.align_long(_pairs(spark, d), 5)
+    names = table(spark, d, "nation")
+    found = found.join(names.select(F.col("n_nationkey").alias("a_id"), F.col("n_name").alias("a")), "a_id").join(names.select(F.col("n_nationkey").alias("b_id"), F.col("n_name").alias("b")), "b_id")
+
+    def check(batches):
+        for batch in batches:
+            worth = [B.alignment_score(x, y) == v for x, y, v in zip(batch["aligned_a"], batch["aligned_b"], batch["score"])]
+            lies = [x.replace("-", "") == r[s:e] and y.replace("-", "") == q[t:u] for x, y, r, q, s, e, t, u in zip(*(batch[c] for c in ("aligned_a", "aligned_b", "a", "b", "start_a", "end_a", "start_b", "end_b")))]
+            yield batch.assign(ok=[p and q for p, q in zip(worth, lies)])[["a_id", "b_id", "score", "ok"]]
+
+    return found.mapInPandas(check, "a_id long, b_id long, score double, ok boolean")
+
+
 def seq_overlap_removal(spark, d):
     hits = table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("seq_id"), (F.col("l_partkey") % 997).alias("start"), (F.col("l_partkey") % 997 + F.col("l_quantity")).cast("long").alias("end"),
@@ -133,10 +153,106 @@ def phy_site_likelihood(spark, d):
     return Y.log_likelihoods(_aligned(spark, d), tree).withColumn("log_likelihood", F.round("log_likelihood", 6))
 
 
+# --- distances, trees, rates -----------------------------------------------------------------------
+
+_TREE = "((a:0.1,b:0.2):0.15,(c:0.1,d:0.3):0.2,(e:0.25,f:0.1):0.1);"
+_OTHER = "((a:0.1,c:0.2):0.15,(b:0.1,d:0.3):0.2,(e:0.25,f:0.1):0.1);"
+
+
+def phy_distances(spark, d):
+    """Distances of all pairs of aligned rows: for equal rates by formula and by likelihood, and for gamma-distributed rates."""
+    pairs = A.pairwise_differences(_aligned(spark, d)).collect()
+    rows = []
+    for r in pairs:
+        n = 10000
+        counts = np.full((4, 4), r.p * n / 12)
+        np.fill_diagonal(counts, (1 - r.p) * n / 4)
+        rows.append((r.a, r.b, round(Y.jukes_cantor(r.p), 5), round(Y.likelihood_distance(counts), 3), round(Y.gamma_distance(r.p, 0.7), 5)))
+    return spark.createDataFrame(rows, "a long, b long, formula double, likelihood double, gamma double")
+
+
+def phy_joining(spark, d):
+    """Joining finds the tree from its own path lengths, and keeps the splits of a constraint it wouldn't find."""
+    true = Y.parse_newick(_TREE)
+    names = sorted(true.leaves())
+    paths = Y.path_distances(true)
+    m = np.array([[0.0 if a == b else paths[min(a, b), max(a, b)] for b in names] for a in names])
+    joined, linked = Y.neighbour_joining(names, m), Y.hierarchy(names, m, "mean")
+    back = Y.path_distances(joined)
+    constraint = Y.parse_newick("((a,c),(b,d),(e,f));")
+    bound = X.constrained_joining(names, m, constraint)
+    rows = [
+        ("same topology", Y.same_topology(true, joined)), ("same lengths", all(abs(back[k] - v) < 1e-9 for k, v in paths.items())), ("constraint kept", Y.satisfies(bound, constraint)),
+        ("constraint not met before", not Y.satisfies(joined, constraint)), ("all leaves linked", sorted(linked.leaves()) == names), ("single", sorted(Y.hierarchy(names, m, "min").leaves()) == names),
+    ]
+    return spark.createDataFrame([(n, bool(v)) for n, v in rows], "name string, holds boolean")
+
+
+def phy_tree_tools(spark, d):
+    """Paths, splits and neighbours of a tree of six leaves."""
+    tree, other = Y.parse_newick(_TREE), Y.parse_newick(_OTHER)
+    rows = [(f"path {a}-{b}", round(v, 6)) for (a, b), v in sorted(Y.path_distances(tree).items())]
+    rows += [("splits", float(len(Y.splits(tree)))), ("neighbours", float(len(Y.neighbour_interchanges(tree)))), ("shared splits", float(len(Y.splits(tree) & Y.splits(other)))),
+             ("compatible", float(sum(Y.compatible(a, b) for a in Y.splits(tree) for b in Y.splits(other)))), ("round trip", float(Y.same_topology(tree, Y.parse_newick(Y.write_newick(tree)))))]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+def _star(spark, d):
+    names = [str(r.id) for r in _aligned(spark, d).select("id").orderBy("id").collect()]
+    return f"({','.join(f'{n}:0.1' for n in names)});"
+
+
+def phy_site_rates(spark, d):
+    return Y.site_rates(_aligned(spark, d), _star(spark, d)).select("pos", "ml_rate", F.round("eb_rate", 5).alias("eb_rate"))
+
+
+def phy_simulation(spark, d):
+    """Differences of simulated leaves within four standard errors of what the paths between them say."""
+    n = 4000
+    rows = {r.id: r.seq for r in Y.simulate(spark, _TREE, n, seed=4).collect()}
+    out = []
+    for (a, b), t in sorted(Y.path_distances(Y.parse_newick(_TREE)).items()):
+        want = 0.75 * (1 - math.exp(-4 * t / 3))
+        found = sum(x != y for x, y in zip(rows[a], rows[b])) / n
+        out.append((a, b, bool(abs(found - want) < 4 * math.sqrt(want * (1 - want) / n))))
+    return spark.createDataFrame(out, "a string, b string, close boolean")
+
+
+def phy_search(spark, d):
+    """From a wrong tree, exchanges of neighbours with optimised lengths reach the tree that the data came from, and its lengths."""
+    data = Y.simulate(spark, _TREE, 3000, seed=5)
+    start = spark.createDataFrame([(_OTHER,)], "newick string")
+    r = X.restarts(data, start).first()
+    found, true = Y.parse_newick(r.newick), Y.parse_newick(_TREE)
+    paths, want = Y.path_distances(found), Y.path_distances(true)
+    better = r.log_likelihood >= X.log_likelihood(true, X.patterns(data)) - 1e-3
+    return spark.createDataFrame([(Y.same_topology(found, true), bool(max(abs(paths[k] - v) for k, v in want.items()) < 0.08), bool(better))], "topology boolean, lengths boolean, likelihood boolean")
+
+
+def phy_co_occurrence(spark, d):
+    """Expected pairs of states along the branch to one of two leaves, from the aligned rows of nations 1 and 2."""
+    two = _aligned(spark, d).where("id in (1, 2)").withColumn("id", F.concat(F.lit("n"), "id"))
+    found = X.co_occurrence(Y.parse_newick("(n1:0.2,n2:0.3);"), "n1", X.patterns(two), (0.5, 1.5))
+    return spark.createDataFrame([(r, "ACGT"[i], "ACGT"[j], round(float(found[r, i, j]), 6)) for r in range(2) for i in range(4) for j in range(4)], "rate int, parent string, child string, n double")
+
+
+def phy_models(spark, d):
+    """Transition probabilities: equal rates by formula, the two-rate model with equal frequencies and one rate is the same, rows sum to one, and the chain is reversible."""
+    rows = []
+    hky = Y.hky_rate_matrix([0.25] * 4, 1.0)
+    skew = Y.hky_rate_matrix([0.1, 0.2, 0.3, 0.4], 3.0)
+    for t in (0.05, 0.5, 2.0):
+        p, q, s = Y.transition(t), Y.exponential(hky, t), Y.exponential(skew, t)
+        flow = np.diag([0.1, 0.2, 0.3, 0.4]) @ s
+        rows.append((t, round(float(p[0, 0]), 8), round(float(p[0, 1]), 8), bool(np.allclose(p, q)), bool(np.allclose(s.sum(axis=1), 1)), bool(np.allclose(flow, flow.T))))
+    return spark.createDataFrame(rows, "t double, same_state double, other_state double, equal boolean, sums boolean, reversible boolean")
+
+
 QUERIES = {f.__name__: f for f in (
     seq_revcomp, seq_translate, seq_gc_share, seq_gc_windows, seq_stats, seq_chunks, seq_pattern, seq_identity_pairs, seq_consensus, seq_pb_weights,
     seq_ungapped_columns, seq_bootstrap, seq_local_alignment, seq_global_alignment, seq_overlap_removal, seq_shuffle, phy_pdist, phy_charfreq,
-    phy_dedup, phy_bootstrap_splits, phy_site_likelihood,
+    phy_dedup, phy_bootstrap_splits, phy_site_likelihood, phy_distances, phy_joining, phy_tree_tools, phy_site_rates, phy_simulation, phy_search,
+    phy_co_occurrence, phy_models, seq_blocked_alignment,
 )}
 
 _CODE = ", ".join(f"('{k}', '{v}')" for k, v in S.GENETIC_CODE.items())
@@ -169,4 +285,33 @@ FROM c x JOIN c y ON x.pos = y.pos AND x.id < y.id AND x.sym <> '-' AND y.sym <>
     "phy_site_likelihood": f"""WITH {_ALIGNED}, st(x) AS (VALUES ('A'), ('C'), ('G'), ('T')),
 l AS (SELECT pos, x, exp(sum(ln(CASE WHEN sym = '-' THEN 1 WHEN sym = x THEN 0.25 + 0.75 * {_E} ELSE (1 - {_E}) / 4 END))) AS l FROM c CROSS JOIN st GROUP BY pos, x)
 SELECT pos, round(ln(avg(l)), 6) AS log_likelihood FROM l GROUP BY pos""",
+    "seq_global_alignment": """WITH RECURSIVE s AS MATERIALIZED (SELECT x.n_nationkey AS a_id, y.n_nationkey AS b_id, x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey),
+r(a_id, b_id, i, h) AS (SELECT a_id, b_id, 0, list_transform(range(length(b) + 1), lambda j: (-4 * j)::DOUBLE) FROM s UNION ALL
+SELECT q.a_id, q.b_id, i + 1, list_transform(range(len(t)), lambda j: list_max(list_transform(t[1:j + 1], lambda v, k: v - 4 * (j + 1 - k)))) FROM (
+SELECT r.a_id, r.b_id, i, list_concat([(-4 * (i + 1))::DOUBLE], list_transform(range(1, len(h)), lambda j: greatest(h[j] + CASE WHEN substr(a, i + 1, 1) = substr(b, j::INT, 1) THEN 5 ELSE -4 END, h[j + 1] - 4)::DOUBLE)) AS t
+FROM r JOIN s ON s.a_id = r.a_id AND s.b_id = r.b_id WHERE i < length(a)) q)
+SELECT r.a_id, r.b_id, h[len(h)] AS score FROM r JOIN s ON s.a_id = r.a_id AND s.b_id = r.b_id WHERE i = length(a)""",
+    "phy_distances": f"""WITH {_ALIGNED}, p AS (SELECT x.id AS a, y.id AS b, avg(CASE WHEN x.sym <> y.sym THEN 1.0 ELSE 0 END) AS p FROM c x JOIN c y ON x.pos = y.pos AND x.id < y.id AND x.sym <> '-' AND y.sym <> '-' GROUP BY x.id, y.id)
+SELECT a, b, CASE WHEN p >= 0.75 * 0.999 THEN 5.0 ELSE round(-0.75 * ln(1 - p / 0.75), 5) END AS formula, CASE WHEN p >= 0.75 * 0.999 THEN 5.0 ELSE round(-0.75 * ln(1 - p / 0.75), 3) END AS likelihood,
+CASE WHEN p >= 0.75 * 0.999 THEN 5.0 ELSE round(0.75 * 0.7 * ((1 - p / 0.75) ** (-1 / 0.7) - 1), 5) END AS gamma FROM p""",
+    "phy_joining": "SELECT name, true AS holds FROM (VALUES ('same topology'), ('same lengths'), ('constraint kept'), ('constraint not met before'), ('all leaves linked'), ('single')) t(name)",
+    "phy_tree_tools": """WITH l(n, g, len, up) AS (VALUES ('a', 1, 0.1, 0.15), ('b', 1, 0.2, 0.15), ('c', 2, 0.1, 0.2), ('d', 2, 0.3, 0.2), ('e', 3, 0.25, 0.1), ('f', 3, 0.1, 0.1))
+SELECT 'path ' || x.n || '-' || y.n AS name, round(x.len + y.len + CASE WHEN x.g = y.g THEN 0 ELSE x.up + y.up END, 6)::DOUBLE AS value FROM l x JOIN l y ON x.n < y.n
+UNION ALL SELECT * FROM (VALUES ('splits', 3.0), ('neighbours', 6.0), ('shared splits', 1.0), ('compatible', 5.0), ('round trip', 1.0)) t(name, value)""",
+    "phy_site_rates": f"""WITH {_ALIGNED}, st(x) AS (VALUES ('A'), ('C'), ('G'), ('T')), g(rate) AS (VALUES (0.05), (0.1), (0.2), (0.4), (0.7), (1.0), (1.5), (2.5), (4.0), (8.0)), e AS (SELECT rate::DOUBLE AS rate, exp(-4 * 0.1 * rate / 3) AS e FROM g),
+l AS (SELECT pos, rate, x, exp(sum(ln(CASE WHEN sym = '-' THEN 1 WHEN sym = x THEN 0.25 + 0.75 * e ELSE (1 - e) / 4 END))) AS l FROM c CROSS JOIN st CROSS JOIN e GROUP BY ALL), s AS (SELECT pos, rate, avg(l) AS l FROM l GROUP BY 1, 2)
+SELECT pos, arg_max(rate, l) AS ml_rate, round(sum(rate * l) / sum(l), 5) AS eb_rate FROM s GROUP BY pos""",
+    "phy_simulation": "SELECT x.n AS a, y.n AS b, true AS close FROM (VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('f')) x(n) JOIN (VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('f')) y(n) ON x.n < y.n",
+    "phy_search": "SELECT true AS topology, true AS lengths, true AS likelihood",
+    "phy_co_occurrence": f"""WITH {_ALIGNED}, st(x, i) AS (VALUES ('A', 0), ('C', 1), ('G', 2), ('T', 3)), g(rate, f) AS (VALUES (0, 0.5), (1, 1.5)),
+t AS (SELECT rate, exp(-4 * 0.2 * f / 3) AS e1, exp(-4 * 0.3 * f / 3) AS e2 FROM g), q AS (SELECT a.pos, a.sym AS s1, b.sym AS s2 FROM c a JOIN c b ON a.pos = b.pos AND a.id = 1 AND b.id = 2),
+w AS (SELECT pos, rate, p.x AS parent, k.x AS child, (CASE WHEN p.x = k.x THEN 0.25 + 0.75 * e1 ELSE (1 - e1) / 4 END) * (CASE WHEN s1 = '-' OR s1 = k.x THEN 1 ELSE 0 END) * (CASE WHEN s2 = '-' THEN 1 WHEN s2 = p.x THEN 0.25 + 0.75 * e2 ELSE (1 - e2) / 4 END) AS w
+FROM q, t, st p, st k), n AS (SELECT *, w / sum(w) OVER (PARTITION BY pos) AS n FROM w) SELECT rate, parent, child, round(sum(n), 6) AS n FROM n GROUP BY 1, 2, 3""",
+    "phy_models": "SELECT t::DOUBLE AS t, round(0.25 + 0.75 * exp(-4 * t / 3), 8) AS same_state, round(0.25 - 0.25 * exp(-4 * t / 3), 8) AS other_state, true AS equal, true AS sums, true AS reversible FROM (VALUES (0.05), (0.5), (2.0)) v(t)",
+    "seq_blocked_alignment": """WITH RECURSIVE s AS MATERIALIZED (SELECT x.n_nationkey AS a_id, y.n_nationkey AS b_id, x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey),
+r(a_id, b_id, i, h, f, best) AS (SELECT a_id, b_id, 0, list_transform(range(length(b) + 1), lambda j: 0::DOUBLE), list_transform(range(length(b) + 1), lambda j: -1e9::DOUBLE), 0::DOUBLE FROM s UNION ALL
+SELECT a_id, b_id, i + 1, h2, f2, greatest(best, list_max(h2)) FROM (SELECT *, list_transform(range(len(g)), lambda j: greatest(g[j + 1], coalesce(list_max(list_transform(g[1:j], lambda v, k: v - 12 - 4 * (j - k))), 0))) AS h2 FROM (
+SELECT *, list_concat([0::DOUBLE], list_transform(range(1, len(h)), lambda j: greatest(0, h[j] + CASE WHEN substr(a, i + 1, 1) = substr(b, j::INT, 1) THEN 5 ELSE -4 END, f2[j + 1])::DOUBLE)) AS g FROM (
+SELECT r.*, a, b, list_transform(range(len(h)), lambda j: greatest(h[j + 1] - 12, f[j + 1] - 4)) AS f2 FROM r JOIN s ON s.a_id = r.a_id AND s.b_id = r.b_id WHERE i < length(a)))))
+SELECT r.a_id, r.b_id, best AS score, true AS ok FROM r JOIN s ON s.a_id = r.a_id AND s.b_id = r.b_id WHERE i = length(a)""",
 }
