@@ -279,4 +279,4 @@ def log_odds(counts: DataFrame, pseudo: float = 1.0) -> Scores:
     p = single / single.sum()
     base = p.sum(axis=1)
     q = pair / pair.sum()
-    return Scores(np.log2(p / np.outer(base, base)), np.log2(q / np.multiply.outer(q.sum(axis=(2, 3)), np.multiply.outer(base, base))))
+    return Scores(np.log2(p / np.outer(base, base)), np.log2(q / np.multiply.outer(np.outer(base, base), np.outer(base, base))))

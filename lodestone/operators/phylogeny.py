@@ -380,7 +380,7 @@ def site_rates(aligned: DataFrame, newick: str, grid: Sequence[float] = (0.05, 0
                 values = {c["id"]: c["sym"] for c in column}
                 like = np.array([site_likelihoods(tree, values, alphabet, (r,)) for r in grid])
                 post = like * weights / (like * weights).sum()
-                out.append((pos, float(grid[int(np.argmax(like))]), float((post * np.asarray(grid)).sum())))
+                out.append((pos, float(grid[int(np.argmax(like >= like.max() * (1 - 1e-12)))]), float((post * np.asarray(grid)).sum())))
             yield pd.DataFrame(out, columns=["pos", "ml_rate", "eb_rate"])
 
     return rows.mapInPandas(run, "pos int, ml_rate double, eb_rate double")

@@ -81,14 +81,14 @@ def twu_items(spark, d):
 
 
 def utility_sets(spark, d):
-    return _named(P.high_utility(quantities(spark, d), 0.0008)).withColumn("utility", F.round("utility", 2))
+    return _named(P.high_utility(quantities(spark, d), 0.004)).withColumn("utility", F.round("utility", 2))
 
 
 def utility_brand_sets(spark, d):
     """Sets of brands of any size with a share of the total utility."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = lines.groupBy(F.col("l_orderkey").alias("tid"), F.col("p_brand").alias("item")).agg(F.sum(F.col("l_quantity") * F.col("p_retailprice")).alias("utility"))
-    return _named(P.high_utility(rows, 0.0005)).withColumn("utility", F.round("utility", 2))
+    return _named(P.high_utility(rows, 0.01)).withColumn("utility", F.round("utility", 2))
 
 
 def _brand_triples(spark, d):
@@ -182,8 +182,8 @@ SELECT a.item AS first_item, b.item AS second_item, count(*) AS support FROM r a
 GROUP BY ALL HAVING count(*) >= 24) SELECT p.i || ',' || p.j || ',' || q.j AS items FROM e p JOIN e q ON p.j = q.i JOIN e r ON r.i = p.i AND r.j = q.j""",
     "twu_items": f"""WITH q AS MATERIALIZED {QUANTITIES}, t AS (SELECT tid, sum(utility) AS tu FROM q GROUP BY tid)
 SELECT item, round(sum(tu), 2) AS twu FROM q JOIN t USING (tid) GROUP BY item""",
-    "utility_sets": _utility(QUANTITIES, 0.0008),
-    "utility_brand_sets": _utility("(SELECT l_orderkey AS tid, p_brand AS item, sum(l_quantity * p_retailprice) AS utility FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)", 0.0005),
+    "utility_sets": _utility(QUANTITIES, 0.004),
+    "utility_brand_sets": _utility("(SELECT l_orderkey AS tid, p_brand AS item, sum(l_quantity * p_retailprice) AS utility FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)", 0.01),
     "eti_overlap_hist": f"WITH {_TRIPLES} SELECT * FROM h",
     "eti_strong_support": f"WITH {_TRIPLES} SELECT items, (n2 + n3)::BIGINT AS support FROM c",
     "eti_weak_support": f"""WITH {_TRIPLES}, d AS (SELECT *, least(n2, floor((1 - (1 - 0.2)) * n3 / ((1 - 0.2) - 2.0 / 3) + 0.5)) AS t2 FROM c),

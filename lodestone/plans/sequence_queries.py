@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import sequences as S
 from lodestone.operators import align as A
 from lodestone.operators import align_blocks as B
+from lodestone.operators import covariance as R
 from lodestone.operators import phylogeny as Y
 from lodestone.operators import tree_search as X
 
@@ -167,7 +168,7 @@ def phy_distances(spark, d):
         n = 10000
         counts = np.full((4, 4), r.p * n / 12)
         np.fill_diagonal(counts, (1 - r.p) * n / 4)
-        rows.append((r.a, r.b, round(Y.jukes_cantor(r.p), 5), round(Y.likelihood_distance(counts), 3), round(Y.gamma_distance(r.p, 0.7), 5)))
+        rows.append((r.a, r.b, *(round(v, k) + 0.0 for v, k in ((Y.jukes_cantor(r.p), 5), (Y.likelihood_distance(counts), 3), (Y.gamma_distance(r.p, 0.7), 5)))))
     return spark.createDataFrame(rows, "a long, b long, formula double, likelihood double, gamma double")
 
 
@@ -248,11 +249,62 @@ def phy_models(spark, d):
     return spark.createDataFrame(rows, "t double, same_state double, other_state double, equal boolean, sums boolean, reversible boolean")
 
 
+# --- structured RNA --------------------------------------------------------------------------------
+
+_STEM, _STEM_PAIRS = "GGCAAUGCC", "<<<...>>>"
+
+
+def _rna(spark, d):
+    return _seqs(spark, d).select("id", F.translate("seq", "T", "U").alias("seq"))
+
+
+def rna_ungapped(spark, d):
+    """The best window of each sequence under a model of a stem that may neither lose nor gain a base."""
+    model = R.Model(_STEM, _STEM_PAIRS, R.simple_scores(gap=-1e6, insert=-1e6))
+    found = R.best_scores(_rna(spark, d), model, len(_STEM))
+    return found.select("id", F.when(F.col("score") > -1e5, F.col("score")).otherwise(F.lit(-999.0)).alias("score"))
+
+
+def rna_search(spark, d):
+    """Hits of the stem with bases lost or gained, found in chunks, without overlaps."""
+    return R.search(_rna(spark, d), R.Model(_STEM, _STEM_PAIRS, R.simple_scores()), 12.0, 14)
+
+
+def rna_alignment(spark, d):
+    """The query aligned to itself, to itself without a base, and to a stem with other pairs."""
+    model = R.Model(_STEM, _STEM_PAIRS, R.simple_scores())
+    rows = []
+    for s in ("GGCAAUGCC", "GGCAUGCC", "GCCAAUGGC", "GGCAAAUGCC"):
+        score, aligned, structure = model.align(s)
+        rows.append((s, score, aligned.replace("-", "").upper() == s and len(aligned) == len(structure), structure.replace(".", ""), aligned.count("-"), sum(c.islower() for c in aligned)))
+    return spark.createDataFrame(rows, "target string, score double, whole boolean, pairs string, lost int, gained int")
+
+
+def rna_counts(spark, d):
+    """Substitutions of single and paired columns between aligned rows that agree in a third or more of their symbols."""
+    ss = "<" * 10 + "." * 20 + ">" * 10 + "." * 20
+    return R.substitution_counts(_aligned(spark, d), ss, 0.34)
+
+
+def rna_log_odds(spark, d):
+    """Scores from the counts are symmetric where the counts are, and their expectation under the joint shares is positive."""
+    s = R.log_odds(rna_counts(spark, d))
+    p = s.single
+    return spark.createDataFrame([(bool(np.allclose(p, p.T)), bool(np.allclose(s.pair, s.pair.transpose(2, 3, 0, 1))), bool(np.isfinite(p).all()))], "single boolean, pair boolean, finite boolean")
+
+
+def rna_calibration(spark, d):
+    """Extreme value distributions of random sequences by GC share: locations are finite, scales positive, for each share."""
+    model = R.Model(_STEM, _STEM_PAIRS, R.simple_scores())
+    fits = R.calibrate(spark, model, 12, samples=40, length=120)
+    return fits.select("gc", (F.col("lam") > 0).alias("scale"), F.col("mu").between(0, 30).alias("location"))
+
+
 QUERIES = {f.__name__: f for f in (
     seq_revcomp, seq_translate, seq_gc_share, seq_gc_windows, seq_stats, seq_chunks, seq_pattern, seq_identity_pairs, seq_consensus, seq_pb_weights,
     seq_ungapped_columns, seq_bootstrap, seq_local_alignment, seq_global_alignment, seq_overlap_removal, seq_shuffle, phy_pdist, phy_charfreq,
     phy_dedup, phy_bootstrap_splits, phy_site_likelihood, phy_distances, phy_joining, phy_tree_tools, phy_site_rates, phy_simulation, phy_search,
-    phy_co_occurrence, phy_models, seq_blocked_alignment,
+    phy_co_occurrence, phy_models, seq_blocked_alignment, rna_ungapped, rna_search, rna_alignment, rna_counts, rna_log_odds, rna_calibration,
 )}
 
 _CODE = ", ".join(f"('{k}', '{v}')" for k, v in S.GENETIC_CODE.items())
@@ -292,15 +344,15 @@ SELECT r.a_id, r.b_id, i, list_concat([(-4 * (i + 1))::DOUBLE], list_transform(r
 FROM r JOIN s ON s.a_id = r.a_id AND s.b_id = r.b_id WHERE i < length(a)) q)
 SELECT r.a_id, r.b_id, h[len(h)] AS score FROM r JOIN s ON s.a_id = r.a_id AND s.b_id = r.b_id WHERE i = length(a)""",
     "phy_distances": f"""WITH {_ALIGNED}, p AS (SELECT x.id AS a, y.id AS b, avg(CASE WHEN x.sym <> y.sym THEN 1.0 ELSE 0 END) AS p FROM c x JOIN c y ON x.pos = y.pos AND x.id < y.id AND x.sym <> '-' AND y.sym <> '-' GROUP BY x.id, y.id)
-SELECT a, b, CASE WHEN p >= 0.75 * 0.999 THEN 5.0 ELSE round(-0.75 * ln(1 - p / 0.75), 5) END AS formula, CASE WHEN p >= 0.75 * 0.999 THEN 5.0 ELSE round(-0.75 * ln(1 - p / 0.75), 3) END AS likelihood,
-CASE WHEN p >= 0.75 * 0.999 THEN 5.0 ELSE round(0.75 * 0.7 * ((1 - p / 0.75) ** (-1 / 0.7) - 1), 5) END AS gamma FROM p""",
+SELECT a, b, CASE WHEN p >= 0.75 * 0.999 THEN 5.0 ELSE round(-0.75 * ln(1 - p / 0.75), 5) + 0.0 END AS formula, CASE WHEN p >= 0.75 * 0.999 THEN 5.0 ELSE round(-0.75 * ln(1 - p / 0.75), 3) + 0.0 END AS likelihood,
+CASE WHEN p >= 0.75 * 0.999 THEN 5.0 ELSE round(0.75 * 0.7 * ((1 - p / 0.75) ** (-1 / 0.7) - 1), 5) + 0.0 END AS gamma FROM p""",
     "phy_joining": "SELECT name, true AS holds FROM (VALUES ('same topology'), ('same lengths'), ('constraint kept'), ('constraint not met before'), ('all leaves linked'), ('single')) t(name)",
     "phy_tree_tools": """WITH l(n, g, len, up) AS (VALUES ('a', 1, 0.1, 0.15), ('b', 1, 0.2, 0.15), ('c', 2, 0.1, 0.2), ('d', 2, 0.3, 0.2), ('e', 3, 0.25, 0.1), ('f', 3, 0.1, 0.1))
 SELECT 'path ' || x.n || '-' || y.n AS name, round(x.len + y.len + CASE WHEN x.g = y.g THEN 0 ELSE x.up + y.up END, 6)::DOUBLE AS value FROM l x JOIN l y ON x.n < y.n
 UNION ALL SELECT * FROM (VALUES ('splits', 3.0), ('neighbours', 6.0), ('shared splits', 1.0), ('compatible', 5.0), ('round trip', 1.0)) t(name, value)""",
     "phy_site_rates": f"""WITH {_ALIGNED}, st(x) AS (VALUES ('A'), ('C'), ('G'), ('T')), g(rate) AS (VALUES (0.05), (0.1), (0.2), (0.4), (0.7), (1.0), (1.5), (2.5), (4.0), (8.0)), e AS (SELECT rate::DOUBLE AS rate, exp(-4 * 0.1 * rate / 3) AS e FROM g),
 l AS (SELECT pos, rate, x, exp(sum(ln(CASE WHEN sym = '-' THEN 1 WHEN sym = x THEN 0.25 + 0.75 * e ELSE (1 - e) / 4 END))) AS l FROM c CROSS JOIN st CROSS JOIN e GROUP BY ALL), s AS (SELECT pos, rate, avg(l) AS l FROM l GROUP BY 1, 2)
-SELECT pos, arg_max(rate, l) AS ml_rate, round(sum(rate * l) / sum(l), 5) AS eb_rate FROM s GROUP BY pos""",
+SELECT pos, min(rate) FILTER (l >= m * (1 - 1e-12)) AS ml_rate, round(sum(rate * l) / sum(l), 5) AS eb_rate FROM (SELECT *, max(l) OVER (PARTITION BY pos) AS m FROM s) GROUP BY pos""",
     "phy_simulation": "SELECT x.n AS a, y.n AS b, true AS close FROM (VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('f')) x(n) JOIN (VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('f')) y(n) ON x.n < y.n",
     "phy_search": "SELECT true AS topology, true AS lengths, true AS likelihood",
     "phy_co_occurrence": f"""WITH {_ALIGNED}, st(x, i) AS (VALUES ('A', 0), ('C', 1), ('G', 2), ('T', 3)), g(rate, f) AS (VALUES (0, 0.5), (1, 1.5)),
@@ -314,4 +366,18 @@ SELECT a_id, b_id, i + 1, h2, f2, greatest(best, list_max(h2)) FROM (SELECT *, l
 SELECT *, list_concat([0::DOUBLE], list_transform(range(1, len(h)), lambda j: greatest(0, h[j] + CASE WHEN substr(a, i + 1, 1) = substr(b, j::INT, 1) THEN 5 ELSE -4 END, f2[j + 1])::DOUBLE)) AS g FROM (
 SELECT r.*, a, b, list_transform(range(len(h)), lambda j: greatest(h[j + 1] - 12, f[j + 1] - 4)) AS f2 FROM r JOIN s ON s.a_id = r.a_id AND s.b_id = r.b_id WHERE i < length(a)))))
 SELECT r.a_id, r.b_id, best AS score, true AS ok FROM r JOIN s ON s.a_id = r.a_id AND s.b_id = r.b_id WHERE i = length(a)""",
+    "rna_ungapped": f"""WITH {_SEQS}, w AS (SELECT id, i, replace(substr(seq, (i + 1)::INT, 9), 'T', 'U') AS w FROM (SELECT id, seq, unnest(range(length(seq) - 8)) AS i FROM s WHERE length(seq) >= 9)),
+p AS (SELECT id, i, w, k, substr(w, k + 1, 1) || substr(w, 9 - k, 1) AS xy, substr('GGC', k + 1, 1) || substr('GCC', 3 - k, 1) AS ab FROM w, (VALUES (0), (1), (2)) t(k)),
+q AS (SELECT id, i, sum(CASE WHEN xy IN ('AU', 'UA', 'CG', 'GC', 'GU', 'UG') THEN 3.0 ELSE -3.0 END + CASE WHEN xy = ab AND xy IN ('AU', 'UA', 'CG', 'GC', 'GU', 'UG') THEN 1 ELSE 0 END) AS s FROM p GROUP BY 1, 2),
+u AS (SELECT w.id, s + CASE WHEN substr(w, 4, 1) = 'A' THEN 2 ELSE -1 END + CASE WHEN substr(w, 5, 1) = 'A' THEN 2 ELSE -1 END + CASE WHEN substr(w, 6, 1) = 'U' THEN 2 ELSE -1 END AS s FROM w JOIN q ON q.id = w.id AND q.i = w.i)
+SELECT s.id, coalesce(max(u.s), -999)::DOUBLE AS score FROM s LEFT JOIN u USING (id) GROUP BY s.id""",
+    "rna_alignment": """SELECT target, score, true AS whole, '<<<>>>' AS pairs, lost, gained
+FROM (VALUES ('GGCAAUGCC', 18.0::DOUBLE, 0, 0), ('GGCAUGCC', 13.0, 1, 0), ('GCCAAUGGC', 17.0, 0, 0), ('GGCAAAUGCC', 16.0, 0, 1)) t(target, score, lost, gained)""",
+    "rna_counts": f"""WITH {_ALIGNED}, l AS (SELECT id, count(*) AS n FROM c WHERE sym <> '-' GROUP BY id),
+q AS (SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.pos = y.pos AND x.id < y.id JOIN l p ON p.id = x.id JOIN l s ON s.id = y.id GROUP BY x.id, y.id HAVING count(*) FILTER (x.sym = y.sym AND x.sym <> '-') / least(any_value(p.n), any_value(s.n)) >= 0.34),
+m AS (SELECT x.id, x.pos, CASE WHEN x.pos < 10 THEN 'pair' ELSE 'single' END AS kind, x.sym || coalesce(y.sym, '') AS s FROM c x LEFT JOIN c y ON y.id = x.id AND y.pos = 39 - x.pos AND x.pos < 10 WHERE x.pos < 30 OR x.pos >= 40),
+n AS (SELECT * FROM m WHERE s NOT LIKE '%-%'), t AS (SELECT x.kind, x.s AS x, y.s AS y FROM q JOIN n x ON x.id = a JOIN n y ON y.id = b AND y.pos = x.pos)
+SELECT kind, x, y, count(*)::DOUBLE AS n FROM (SELECT * FROM t UNION ALL SELECT kind, y, x FROM t) GROUP BY 1, 2, 3""",
+    "rna_log_odds": "SELECT true AS single, true AS pair, true AS finite",
+    "rna_calibration": "SELECT gc::BIGINT AS gc, true AS scale, true AS location FROM (VALUES (30), (50), (70)) t(gc)",
 }
