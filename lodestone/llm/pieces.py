@@ -16,8 +16,8 @@ import pandas as pd
 from .words import Block, Words, hashes, words
 
 #: Pieces that a worker keeps, at most, and their bytes.
-MAX_PIECES = 800_000
-MAX_BYTES = 64 << 20
+MAX_PIECES = 500_000
+MAX_BYTES = 32 << 20
 #: Pieces are compared eight bytes at a time, all at once; what is left of long ones after so many steps, one by one.
 LANES = 8
 

@@ -3,7 +3,7 @@
 Intermediate tables are written as Parquet under ``spark.checkpoint.dir`` (the
 folder that driver and executors share) and read back, which cuts the lineage
 and survives the loss of an executor. Only where that setting is unset, as in
-local tests, a temporary folder of the driver is used.
+tests with a local master, a temporary folder of the driver is used.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,8 @@ def root(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
@@ -58,6 +62,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows while the body runs its jobs: for rows that are lists of whole sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by ``materialise`` that nothing reads any more."""
     paths = {os.path.dirname(f) for f in df.inputFiles()}

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, simhash
 from .components import components
-from .words import LOWER, Block, blocks, hashes, mix, words
+from .words import LOWER, Block, blocks, hashes, mix, release, words
 
 SHINGLE = 5
 #: Numerator and denominator of the least similarity.
@@ -45,11 +45,14 @@ KEYS = 10
 RADIUS = 72
 #: Sets of one tile.
 TILE = 512
+#: Lists of sets, and pairs of sets, in one Arrow batch.
+BATCH = 16
+PAIR_BATCH = 200
 #: Rows of a table that a join may broadcast, at most; beyond it the join is a shuffle.
 MAX_BROADCAST = 1_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: The bits of each byte value.
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 SKETCH = "doc_id long, fp long, " + ", ".join(f"l{i} long" for i in range(LANES)) + ", keys array<long>"
 _LANES = [f"l{i}" for i in range(LANES)]
 
@@ -97,7 +100,7 @@ def fingerprints(found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         raw = mix(found + np.uint64(lane * int(_FACTOR) % 2**64)).view(np.uint8).reshape(-1, 8)
         bits = []
         for byte in range(8):
-            votes = np.bincount(row * 256 + raw[:, byte], minlength=len(n) * 256).reshape(-1, 256) @ _BITS
+            votes = np.bincount(row * 256 + raw[:, byte], minlength=len(n) * 256).reshape(-1, 256).astype(np.float64) @ _BITS
             bits.append(votes * 2 > n[:, None])
         out[:, lane] = np.packbits(np.concatenate(bits, axis=1), axis=1, bitorder="little").view("<u8")[:, 0]
     return out
@@ -218,6 +221,7 @@ def _run(work, schema: pa.Schema):
                     found.append(work(left, None if np.array_equal(left.fps, right.fps) else right))
             columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], schema=schema)
+            release()
 
     return run
 
@@ -344,22 +348,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(hit)
 
 
-def _grams(docs: DataFrame, fps: DataFrame) -> DataFrame:
-    """``(fp, grams)``: the sets of the distinct ``fps(fp)``."""
+def _grams(docs: DataFrame, fps: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``(fp, grams)``: the sets of the distinct ``fps(fp)``; only texts that have one of them are read into sets."""
     needed = scratch.materialise(fps.distinct(), "needed")
     few = F.broadcast(needed) if needed.count() <= MAX_BROADCAST else needed
-    sets = docs.select("text").mapInArrow(_sets, "fp long, grams array<long>").join(few, "fp", "left_semi")
+    ids = scratch.materialise(sketches.join(few, "fp", "left_semi").where("doc_id is not null").select("doc_id").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+    texts = docs.join(ids, "doc_id", "left_semi").select("text").union(docs.where("doc_id is null").select("text"))
+    sets = texts.mapInArrow(_sets, "fp long, grams array<long>").join(few, "fp", "left_semi")
     return scratch.materialise(sets.groupBy("fp").agg(F.first("grams").alias("grams")), "sets")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Those of the pairs ``(u, v)`` of sets that are similar enough."""
     pairs = scratch.materialise(pairs, "pairs")
-    sets = _grams(docs, pairs.select(F.col("u").alias("fp")).union(pairs.select("v")))
+    sets = _grams(docs, pairs.select(F.col("u").alias("fp")).union(pairs.select("v")), sketches)
     left = sets.select(F.col("fp").alias("u"), F.col("grams").alias("a"))
     right = sets.select(F.col("fp").alias("v"), F.col("grams").alias("b"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    out = scratch.materialise(both.mapInArrow(_verify, "u long, v long"), "links")
+    with scratch.small_batches(docs.sparkSession, PAIR_BATCH):
+        out = scratch.materialise(both.mapInArrow(_verify, "u long, v long"), "links")
     scratch.discard(sets)
     scratch.discard(pairs)
     return out
@@ -371,18 +379,19 @@ def links(docs: DataFrame, sketches: DataFrame, radius: int = RADIUS, tile: int
     sets = scratch.materialise(sets, "distinct")
     # Each set's nearest one of those before it: as many pairs as sets at most.
     nearest = candidates(sets, radius, tile).groupBy("v").agg(F.min(F.struct("bits", "u")).alias("near"))
-    first = _linked(docs, nearest.select(F.col("near.u").alias("u"), "v"))
+    first = _linked(docs, nearest.select(F.col("near.u").alias("u"), "v"), sketches)
     groups = scratch.materialise(components(first), "groups")
     apart = buckets(sets.join(groups, sets.fp == groups.node, "left").select(*sets.columns, F.coalesce("component", "fp").alias("group")))
     mixed = apart.groupBy("t", "key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("t", "key")
     apart = scratch.materialise(apart.join(mixed, ["t", "key"], "left_semi"), "apart")
     still = over_tiles(apart, ["group", "t", "key"], _open_work(radius), ["t", "key", "fp"], radius, tile).distinct()
     still = scratch.materialise(still, "open")
-    grams = _grams(docs, still.select("fp"))
+    grams = _grams(docs, still.select("fp"), sketches)
     size = scratch.materialise(still.groupBy("t", "key").agg(F.count("*").alias("n")), "sizes")
     left = apart.drop("n").join(still, ["t", "key", "fp"]).join(size, ["t", "key"]).join(grams, "fp")
-    second = over_tiles(scratch.materialise(left, "left"), ["group", "grams"], _exact_work(radius), ["u", "v"], radius, tile)
-    return first.union(second)
+    with scratch.small_batches(docs.sparkSession, BATCH):
+        second = over_tiles(scratch.materialise(left, "left"), ["group", "grams"], _exact_work(radius), ["u", "v"], radius, tile)
+        return first.union(scratch.materialise(second, "second"))
 
 
 def _distinct(docs: DataFrame, prints: DataFrame) -> DataFrame:
