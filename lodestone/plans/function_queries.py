@@ -589,7 +589,7 @@ t AS (SELECT i, j, n / sum(n) OVER w * log2(n * sum(n) OVER w / (sum(n) OVER (PA
 SELECT i, j, round(sum(t), 6) AS covariance FROM t GROUP BY 1, 2""",
     "seq_structure_pairs": """WITH n AS (SELECT n_nationkey::BIGINT AS id, n_nationkey % 7 + 1 AS n FROM nation WHERE n_nationkey <> 3) SELECT id, k AS i, 2 * n + 2 - k AS j FROM n, range(7) r(k) WHERE k < n
 UNION ALL SELECT id, 2 * n + 4, 2 * n + 5 FROM n""",
-    "seq_types": f"""WITH w AS {_WINDOWS}, t AS (SELECT id, replace(seq, '-', '') AS s FROM w) SELECT id, 0 AS k, 'dna' AS type FROM t UNION ALL SELECT id, 1, CASE WHEN s LIKE '%T%' THEN 'rna' ELSE 'dna' END FROM t
+    "seq_types": f"""WITH w AS {_WINDOWS}, t AS (SELECT id, replace(seq, '-', '') AS s FROM w) SELECT id, 0 AS k, CASE WHEN s = '' THEN 'other' ELSE 'dna' END AS type FROM t UNION ALL SELECT id, 1, CASE WHEN s = '' THEN 'other' WHEN s LIKE '%T%' THEN 'rna' ELSE 'dna' END FROM t
 UNION ALL SELECT id, 2, 'protein' FROM t UNION ALL SELECT id, 3, 'other' FROM t""",
     "seq_digits": f"""WITH {_SYMBOLS}, n AS (SELECT id, sum(instr('{S.CODES}', sym) - 1)::INT AS digits, (sum((pos % 57 + 1) * ascii(sym)) % 10000)::INT AS checksum FROM c GROUP BY id)
 SELECT id, digits, checksum, replace(seq, 'G', 'N') AS cleaned, replace(seq, '-', '') AS plain FROM n JOIN w USING (id)""",
