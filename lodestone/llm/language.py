@@ -13,6 +13,8 @@ distinct n-grams (the same power of two). Each sample text is compared with cent
 the half of the sample it isn't in, whole and cut to every lesser length, so that
 short texts, which lie far from everything, aren't rejected for being short.
 
+A text that shares nothing with any centroid is rejected.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 is rejected; with nothing to learn from every text is; rows with a null
 ``lang`` or ``doc_id`` aren't learned from; repeated rows count each time;
@@ -178,7 +180,7 @@ class Model:
             own = np.clip(cosine[np.arange(len(at)), at].astype(np.float64), 0, 1)
             best.append(at)
             score.append(own)
-            out.append(own < self.least[at, _length_class(found)])
+            out.append((own < self.least[at, _length_class(found)]) | (own <= 0))
         return np.concatenate(best), np.concatenate(score), np.concatenate(out)
 
 
