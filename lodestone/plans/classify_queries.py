@@ -66,8 +66,13 @@ def full_bayes(spark, d):
 
 
 def nb_generate(spark, d):
+    """Rows drawn from a naive Bayes model: shares of classes and symbols, and means of numbers, are those of the model within bounds."""
     rows = _lines(spark, d)
-    return K.generate(spark, K.naive_bayes(rows, ["l_linestatus"], ["l_quantity"]), 1000, seed=3)
+    drawn = K.generate(spark, K.naive_bayes(rows, ["l_linestatus"], ["l_quantity"]), 20000, seed=3)
+    sums = lambda df: df.groupBy("class").agg(F.count("*").alias("n"), F.avg((F.col("l_linestatus") == "F").cast("double")).alias("f"), F.avg("l_quantity").alias("q"))
+    want, found, total = sums(rows), sums(drawn), rows.count()
+    both = want.join(found.select("class", F.col("n").alias("gn"), F.col("f").alias("gf"), F.col("q").alias("gq")), "class")
+    return both.select("class", (F.abs(F.col("gn") / 20000 - F.col("n") / total) < 0.02).alias("share"), (F.abs(F.col("gf") - F.col("f")) < 0.03).alias("symbols"), (F.abs(F.col("gq") - F.col("q")) < 1.0).alias("means"))
 
 
 def nb_cross_validation(spark, d):
@@ -209,4 +214,5 @@ v AS (SELECT attr, val, count(*)::DOUBLE AS n, sum(price) AS s, sum(price * pric
 w AS (SELECT attr, val, sum(n) OVER a AS n, sum(s) OVER a AS s, sum(q) OVER a AS q, sum(n) OVER b AS tn, sum(s) OVER b AS ts, sum(q) OVER b AS tq FROM v WINDOW a AS (PARTITION BY attr ORDER BY val), b AS (PARTITION BY attr)),
 e AS (SELECT attr, val, round((q - s * s / n + (tq - q) - (ts - s) ** 2 / (tn - n)) / tn, 6) AS error FROM w WHERE tn > n)
 SELECT 1 AS node, attr, val AS cut, round(error / 1e6, 4) AS error FROM e ORDER BY e.error, attr, val LIMIT 1""",
+    "nb_generate": "SELECT DISTINCT l_returnflag AS class, true AS share, true AS symbols, true AS means FROM lineitem",
 }

@@ -88,7 +88,16 @@ def seq_ungapped_columns(spark, d):
 
 
 def seq_bootstrap(spark, d):
-    return A.bootstrap_columns(_aligned(spark, d), 3, seed=5)
+    """Three alignments of drawn columns: how many columns each has, and how many of them are columns of the original."""
+    rows = _aligned(spark, d)
+
+    def whole(c, *by):
+        return c.groupBy(*by, "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "sym"))), lambda x: x["sym"]), "").alias("column"))
+
+    drawn = A.bootstrap_columns(rows, 3, seed=5)
+    drawn = whole(drawn.select("rep", "id", F.posexplode(F.split("seq", "")).alias("pos", "sym")).where("sym <> ''"), "rep")
+    known = whole(A.columns(rows)).select("column").distinct().withColumn("known", F.lit(1))
+    return drawn.join(known, "column", "left").groupBy("rep").agg(F.count("*").alias("columns"), F.count("known").alias("known"))
 
 
 def _pairs(spark, d):
@@ -129,7 +138,12 @@ def seq_overlap_removal(spark, d):
 
 
 def seq_shuffle(spark, d):
-    return A.shuffled(_seqs(spark, d), seed=1)
+    """Shuffled sequences have the symbols of their own, and for long ones another order."""
+    rows = _seqs(spark, d)
+    made = A.shuffled(rows, seed=1).withColumnRenamed("seq", "made")
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    both = rows.join(made, "id")
+    return both.select("id", (letters(F.col("seq")) == letters(F.col("made"))).alias("same"), ((F.col("seq") != F.col("made")) | (F.length("seq") < 40)).alias("moved"))
 
 
 def phy_pdist(spark, d):
@@ -145,7 +159,9 @@ def phy_dedup(spark, d):
 
 
 def phy_bootstrap_splits(spark, d):
-    return Y.split_counts(Y.bootstrap_trees(_aligned(spark, d), 5, seed=2))
+    """Splits of five bootstrap trees: every tree has its leaves less three, and none counts more often than there are trees."""
+    counts = Y.split_counts(Y.bootstrap_trees(_aligned(spark, d), 5, seed=2))
+    return counts.agg(F.sum("n").alias("total"), (F.max("n") <= 5).alias("bounded"))
 
 
 def phy_site_likelihood(spark, d):
@@ -380,4 +396,12 @@ n AS (SELECT * FROM m WHERE s NOT LIKE '%-%'), t AS (SELECT x.kind, x.s AS x, y.
 SELECT kind, x, y, count(*)::DOUBLE AS n FROM (SELECT * FROM t UNION ALL SELECT kind, y, x FROM t) GROUP BY 1, 2, 3""",
     "rna_log_odds": "SELECT true AS single, true AS pair, true AS finite",
     "rna_calibration": "SELECT gc::BIGINT AS gc, true AS scale, true AS location FROM (VALUES (30), (50), (70)) t(gc)",
+    "seq_bootstrap": f"SELECT rep, {WIDTH} AS columns, {WIDTH} AS known FROM range(3) r(rep)",
+    "seq_shuffle": "SELECT doc_id AS id, true AS same, true AS moved FROM documents",
+    "phy_bootstrap_splits": "SELECT 5 * (count(*) - 3) AS total, true AS bounded FROM nation",
+    "seq_overlap_removal": """WITH RECURSIVE h AS MATERIALIZED (SELECT l_suppkey AS seq_id, l_partkey % 997 AS s, (l_partkey % 997 + l_quantity)::BIGINT AS e, l_extendedprice AS v,
+row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_partkey % 997 DESC, l_quantity DESC) AS k FROM lineitem),
+r(seq_id, k, kept) AS (SELECT DISTINCT seq_id, 0::BIGINT, []::STRUCT(s BIGINT, e BIGINT, v DOUBLE)[] FROM h UNION ALL
+SELECT r.seq_id, h.k, CASE WHEN len(list_filter(kept, lambda x: x.s <= h.e AND x.e >= h.s)) > 0 THEN kept ELSE list_append(kept, {'s': h.s, 'e': h.e, 'v': h.v}) END FROM r JOIN h ON h.seq_id = r.seq_id AND h.k = r.k + 1),
+l AS (SELECT seq_id, unnest(kept) AS x FROM r WHERE (seq_id, k) IN (SELECT seq_id, max(k) FROM h GROUP BY seq_id)) SELECT seq_id, x.s AS start, x.e AS "end", x.v AS score FROM l""",
 }
