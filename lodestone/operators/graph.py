@@ -486,17 +486,43 @@ class BayesNet:
         return self
 
 
+def by_series(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work(series, times, observations)`` on each series of ``rows(series, t, obs)`` in order of ``t``; it gives a frame.
+
+    Rows are sorted by series within partitions, so a task holds one batch and the series that it cuts, and short series cost no group each.
+    """
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        series, t, obs = frame["series"].to_numpy(), frame["t"].to_numpy(), frame["obs"].tolist()
+        cuts = [0, *(np.flatnonzero(series[1:] != series[:-1]) + 1).tolist(), len(series)]
+        return pd.concat([work(series[a], t[a:b], obs[a:b]) for a, b in zip(cuts, cuts[1:])], ignore_index=True)
+
+    def run(batches):
+        waiting = None
+        for batch in batches:
+            batch = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            series = batch["series"].to_numpy()
+            last = len(series) - int(np.argmax(series[::-1] != series[-1])) if len(series) and (series != series[-1]).any() else 0
+            if last:
+                yield one(batch.iloc[:last])
+            waiting = batch.iloc[last:]
+        if waiting is not None and len(waiting):
+            yield one(waiting)
+
+    return rows.select("series", "t", "obs").repartition("series").sortWithinPartitions("series", "t").mapInPandas(run, schema)
+
+
 def filter_series(observations: DataFrame, initial, transition, emission) -> DataFrame:
     """Forward filtering of a two-slice model over each ``series`` in order of ``t``: ``(series, t, state, p)``."""
     pi, a, b = (np.asarray(m, float) for m in (initial, transition, emission))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("t")
+    def work(series, times, observed) -> pd.DataFrame:
         belief, out = pi, []
-        for i, (t, o) in enumerate(zip(part["t"], part["obs"])):
+        for i, o in enumerate(observed):
             belief = (belief if i == 0 else belief @ a) * (b[:, int(o)] if pd.notna(o) else 1)
             belief = belief / belief.sum()
-            out += [(part["series"].iloc[0], t, s, p) for s, p in enumerate(belief)]
-        return pd.DataFrame(out, columns=["series", "t", "state", "p"])
+            out.append(belief)
+        k = len(pi)
+        return pd.DataFrame({"series": np.repeat(series, k * len(times)), "t": np.repeat(times, k), "state": np.tile(np.arange(k), len(times)), "p": np.concatenate(out)})
 
-    return observations.groupBy("series").applyInPandas(run, "series long, t long, state int, p double")
+    return by_series(observations, work, "series long, t long, state int, p double")

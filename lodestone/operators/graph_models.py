@@ -316,24 +316,22 @@ class SeriesModel:
         return states[::-1]
 
     def smooth_series(self, observations: DataFrame) -> DataFrame:
-        """``(series, t, state, p)`` of ``observations(series, t, obs)``, each series in one task."""
+        """``(series, t, state, p)`` of ``observations(series, t, obs)``."""
 
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("t")
-            p, _, _ = self.smooth(part["obs"].tolist())
+        def work(series, times, observed) -> pd.DataFrame:
+            p, _, _ = self.smooth(observed)
             k = p.shape[1]
-            return pd.DataFrame({"series": part["series"].repeat(k).to_numpy(), "t": part["t"].repeat(k).to_numpy(), "state": np.tile(np.arange(k), len(part)), "p": p.reshape(-1)})
+            return pd.DataFrame({"series": np.repeat(series, k * len(times)), "t": np.repeat(times, k), "state": np.tile(np.arange(k), len(times)), "p": p.reshape(-1)})
 
-        return observations.groupBy("series").applyInPandas(run, "series long, t long, state int, p double")
+        return G.by_series(observations, work, "series long, t long, state int, p double")
 
     def decode_series(self, observations: DataFrame) -> DataFrame:
         """``(series, t, state)``."""
 
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("t")
-            return pd.DataFrame({"series": part["series"], "t": part["t"], "state": self.decode(part["obs"].tolist())})
+        def work(series, times, observed) -> pd.DataFrame:
+            return pd.DataFrame({"series": np.repeat(series, len(times)), "t": times, "state": self.decode(observed)})
 
-        return observations.groupBy("series").applyInPandas(run, "series long, t long, state int")
+        return G.by_series(observations, work, "series long, t long, state int")
 
     def learn(self, observations: DataFrame, rounds: int = 10) -> tuple[SeriesModel, list[float]]:
         """Tables by expectation maximisation, and the log-likelihood before each round; a round is one job whose partial sums are small."""
@@ -342,16 +340,15 @@ class SeriesModel:
         for _ in range(rounds):
             now = model
 
-            def run(part: pd.DataFrame) -> pd.DataFrame:
-                part = part.sort_values("t")
-                p, moves, ll = now.smooth(part["obs"].tolist())  # noqa: B023
+            def work(series, times, observed) -> pd.DataFrame:
+                p, moves, ll = now.smooth(observed)  # noqa: B023
                 emitted = np.zeros((k, m))
-                for row, o in zip(p, part["obs"]):
+                for row, o in zip(p, observed):
                     if pd.notna(o):
                         emitted[:, int(o)] += row
                 return pd.DataFrame({"sums": [np.concatenate([p[0], moves.ravel(), emitted.ravel(), [ll]]).tolist()]})
 
-            sums = observations.groupBy("series").applyInPandas(run, "sums array<double>")
+            sums = G.by_series(observations, work, "sums array<double>")
             width = k + k * k + k * m + 1
             total = np.array(list(sums.agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)]).first()))
             seen.append(float(total[-1]))
