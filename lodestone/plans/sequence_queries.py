@@ -138,12 +138,18 @@ def seq_overlap_removal(spark, d):
 
 
 def seq_shuffle(spark, d):
-    """Shuffled sequences have the symbols of their own, and for long ones another order."""
+    """Shuffled sequences have the symbols of their own, and for long ones another order.
+
+    Where fewer than eight symbols differ from the most common one there are few orders (of a single symbol: one), and
+    a shuffle may well give the same again.
+    """
     rows = _seqs(spark, d)
     made = A.shuffled(rows, seed=1).withColumnRenamed("seq", "made")
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     both = rows.join(made, "id")
-    return both.select("id", (letters(F.col("seq")) == letters(F.col("made"))).alias("same"), ((F.col("seq") != F.col("made")) | (F.length("seq") < 40)).alias("moved"))
+    others = F.least(*[F.length(F.replace("seq", F.lit(c))) for c in "ACGT"])
+    moved = (F.col("seq") != F.col("made")) | (F.length("seq") < 40) | (others < 8)
+    return both.select("id", (letters(F.col("seq")) == letters(F.col("made"))).alias("same"), moved.alias("moved"))
 
 
 def phy_pdist(spark, d):
