@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.table import numbered
+from lodestone.plans.levels import level
+
 
 def read_baskets(spark: SparkSession, path: str, first_item: int = 1) -> DataFrame:
     """``(tid, item)`` of a text file with a basket of item numbers on each line; items are counted from ``first_item``.
@@ -41,6 +44,36 @@ def pack_baskets(baskets: list[tuple[int, list[int]]], n_items: int, customers:
     return b"".join(out)
 
 
+def pack_lists(lead: np.ndarray, sizes: np.ndarray, items: np.ndarray, n_items: int) -> bytes:
+    """The form of ``pack_baskets`` from columns: (customer and) id of each basket, sizes, and all items in one array."""
+    if max(np.abs(lead).max(initial=0), np.abs(items).max(initial=0)) >= 1 << 31:
+        raise OverflowError("ids and items have 32 bits in binary baskets")
+    width = lead.shape[1]
+    ends = np.cumsum(sizes + width + 1)
+    starts = ends - (sizes + width + 1)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, "<i4")
+    for k in range(width):
+        out[starts + k] = lead[:, k]
+    out[starts + width] = sizes
+    out[np.arange(len(items)) + np.repeat(starts + width + 1 - (np.cumsum(sizes) - sizes), sizes)] = items
+    head = struct.pack("<3i", len(sizes), n_items, round(len(items) / max(1, len(sizes)))) if width == 1 else b""
+    return head + out.tobytes()
+
+
+def unpack_lists(content: bytes, width: int, header: bool, size: int = 50_000) -> Iterator[np.ndarray]:
+    """Rows of (customer and) id and item of a binary basket file, ``size`` baskets at a time."""
+    x, at = np.frombuffer(content, "<i4"), 3 if header else 0
+    while at < len(x):
+        starts = []
+        while at < len(x) and len(starts) < size:
+            starts.append(at)
+            at += width + 1 + int(x[at + width])
+        first = np.array(starts)
+        sizes = x[first + width].astype("int64")
+        places = np.arange(sizes.sum()) + np.repeat(first + width + 1 - (np.cumsum(sizes) - sizes), sizes)
+        yield np.column_stack([np.repeat(x[first + k], sizes) for k in range(width)] + [x[places]])
+
+
 def read_binary_baskets(spark: SparkSession, path: str, customers: bool = False, header: bool = True) -> DataFrame:
     """``(tid, item)``, or ``(customer, tid, item)``, of binary basket files."""
     names = ["customer", "tid", "item"] if customers else ["tid", "item"]
@@ -48,19 +81,19 @@ def read_binary_baskets(spark: SparkSession, path: str, customers: bool = False,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                x, at, rows = np.frombuffer(content, "<i4"), 3 if header and not customers else 0, []
-                while at < len(x):
-                    lead = x[at : at + 2] if customers else x[at : at + 1]
-                    n = int(x[at + len(lead)])
-                    start = at + len(lead) + 1
-                    items = x[start : start + n]
-                    rows.append(np.column_stack([np.tile(lead, (n, 1)), items]))
-                    at = start + n
-                yield pd.DataFrame(np.concatenate(rows) if rows else np.zeros((0, len(names))), columns=names).astype("int64")
+                for rows in unpack_lists(content, len(names) - 1, header and not customers):
+                    yield pd.DataFrame(rows, columns=names).astype("int64")
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"{n} long" for n in names))
 
 
+def numbered_baskets(baskets: DataFrame) -> DataFrame:
+    """The baskets with ids from 0 in order of their own, for forms whose ids have 32 bits."""
+    baskets = level(baskets)
+    ids = numbered(baskets.select("tid").distinct(), [F.col("tid")], "_id")
+    return baskets.join(ids, "tid").withColumn("tid", F.col("_id")).drop("_id")
+
+
 def read_points(spark: SparkSession, path: str, skip_first: bool = True) -> DataFrame:
     """``(id, x)`` of lines of numbers; the first token is the id (or the points are numbered)."""
     words = F.split(F.trim("value"), r"[\s,]+")

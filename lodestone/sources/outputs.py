@@ -48,19 +48,42 @@ def _packed(rows: DataFrame, part: Column, pack) -> DataFrame:
     return rows.withColumn("_part", part).groupBy("_part").applyInPandas(run, "name string, content binary")
 
 
-def write_binary_baskets(baskets: DataFrame, folder: str, n_items: int, files: int = 8) -> int:
-    """``baskets(tid, item)``, or with ``customer``, in the binary form of ``files.read_binary_baskets``."""
-    from .files import pack_baskets
+def write_binary_baskets(baskets: DataFrame, folder: str, n_items: int, size: int = 100_000) -> int:
+    """``baskets(tid, item)``, or with ``customer``, in the binary form of ``files.read_binary_baskets``; files of ``size`` baskets at most.
 
-    customers = "customer" in baskets.columns
-    keys = ["customer", "tid"] if customers else ["tid"]
-    grouped = baskets.groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    A task holds one file at a time, and a basket isn't cut.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
 
-    def pack(frame: pd.DataFrame) -> bytes:
-        rows = [(int(t), [int(i) for i in items]) for t, items in zip(frame["tid"], frame["items"])]
-        return pack_baskets(rows, n_items, [int(c) for c in frame["customer"]] if customers else None)
+    from .files import pack_lists
+
+    keys = ["customer", "tid"] if "customer" in baskets.columns else ["tid"]
+    grouped = baskets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("item").cast("long"))).alias("items"))
+    grouped = grouped.sortWithinPartitions(*keys).select(*[F.col(k).cast("long").alias(k) for k in keys], "items")
 
-    return write_files(_packed(grouped, F.pmod(F.xxhash64("tid"), F.lit(files)), pack), folder)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, n, done = TaskContext.get().partitionId(), [], 0, 0
+
+        def packed() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            items = rows["items"].combine_chunks()
+            lead = np.column_stack([rows[k].to_numpy() for k in keys])
+            content = pack_lists(lead, np.diff(items.offsets.to_numpy()), items.flatten().to_numpy(zero_copy_only=False), n_items)
+            return pa.RecordBatch.from_pydict({"name": [f"part-{part:05d}-{done:05d}"], "content": pa.array([content], pa.binary())})
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                piece = batch.slice(at, size)
+                if n and n + piece.num_rows > size:
+                    yield packed()
+                    held, n, done = [], 0, done + 1
+                held.append(piece)
+                n += piece.num_rows
+        if n:
+            yield packed()
+
+    return write_files(grouped.mapInArrow(run, "name string, content binary"), folder)
 
 
 def write_binary_points(points: DataFrame, folder: str, files: int = 8) -> int:
