@@ -121,7 +121,7 @@ def src_basket_conversion(spark, d):
     """Text baskets to binary ones and back: the ids are new, so baskets are compared by their items."""
     text, binary, back = (scratch_path(spark, n) for n in ("text", "binary", "back"))
     files.write_baskets(_items(spark, d), text)
-    outputs.write_binary_baskets(files.read_baskets(spark, text).withColumn("tid", F.col("tid") % (1 << 31)), binary, 100)
+    outputs.write_binary_baskets(files.numbered_baskets(files.read_baskets(spark, text)), binary, 100)
     files.write_baskets(files.read_binary_baskets(spark, binary), back)
     rows = files.read_baskets(spark, back)
     sets = rows.groupBy("tid").agg(F.array_join(F.array_sort(F.collect_list(F.lpad(F.col("item").cast("string"), 2, "0"))), ",").alias("items"))
