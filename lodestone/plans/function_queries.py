@@ -333,11 +333,11 @@ def txt_dates(spark, d):
 # --- sequences -------------------------------------------------------------------------------------
 
 
-def _windows(spark, d):
+def _windows(spark, d, whole=False):
     """``(id, seq)``: letters of texts as aligned rows of 40 symbols over ACGT and gaps (``e`` is a gap), from texts with enough."""
     seq = F.upper(F.translate(F.regexp_replace("text", "[^acgte]", ""), "e", "-"))
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(seq, 1, 40).alias("seq"), F.length(seq).alias("n"))
-    return rows.where("n >= 40 and id % 8 = 0").select("id", "seq")
+    return rows.where("n >= 40" if whole else "n >= 40 and id % 8 = 0").select("id", "seq")
 
 
 _WINDOWS = """(SELECT doc_id AS id, substr(upper(translate(regexp_replace(text, '[^acgte]', '', 'g'), 'e', '-')), 1, 40) AS seq FROM documents
@@ -349,7 +349,7 @@ def seq_subset(spark, d):
 
 
 def seq_identity_filter(spark, d):
-    return A.identity_filter(_windows(spark, d), 0.5).select("id")
+    return A.identity_filter(_windows(spark, d, whole=True), 0.5).select("id")
 
 
 def seq_concatenate(spark, d):
@@ -575,7 +575,7 @@ array_to_string(list_filter(regexp_split_to_array(c_name, '[#0]+'), lambda t: t
     "txt_dates": """SELECT o_orderkey, epoch(date_trunc('day', o_orderdate))::BIGINT AS a, epoch(date_trunc('day', o_orderdate))::BIGINT AS b,
 CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE epoch(date_trunc('second', o_orderdate))::BIGINT END AS c FROM orders""",
     "seq_subset": f"SELECT id, substr(seq, 1, 1) || substr(seq, 4, 1) || substr(seq, 5, 1) || substr(seq, 40, 1) AS seq FROM {_WINDOWS} WHERE id % 16 = 0",
-    "seq_identity_filter": f"""WITH RECURSIVE {_SYMBOLS}, l AS (SELECT id, count(*) AS n FROM c WHERE sym <> '-' GROUP BY id),
+    "seq_identity_filter": f"""WITH RECURSIVE {_SYMBOLS.replace(' AND doc_id % 8 = 0', '')}, l AS (SELECT id, count(*) AS n FROM c WHERE sym <> '-' GROUP BY id),
 q AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.pos = y.pos AND x.id < y.id JOIN l p ON p.id = x.id JOIN l s ON s.id = y.id
 GROUP BY x.id, y.id HAVING count(*) FILTER (x.sym = y.sym AND x.sym <> '-') / least(any_value(p.n), any_value(s.n)) > 0.5),
 n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k, coalesce((SELECT list(a) FROM q WHERE b = w.id), []) AS near FROM w),
