@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
+from lodestone.plans.levels import level
 
 Factor = tuple[list[str], np.ndarray]
 
@@ -283,72 +284,83 @@ class SeriesModel:
     def __init__(self, initial, transition, emission) -> None:
         self.initial, self.transition, self.emission = (np.asarray(m, float) for m in (initial, transition, emission))
 
-    def _seen(self, observations) -> np.ndarray:
-        return np.array([self.emission[:, int(o)] if pd.notna(o) else np.ones(len(self.initial)) for o in observations])
-
     def smooth(self, observations) -> tuple[np.ndarray, np.ndarray, float]:
         """(P(state | all) by slice, expected transitions, log-likelihood)."""
-        b, n = self._seen(observations), len(observations)
-        forward, scale = np.zeros((n, len(self.initial))), np.zeros(n)
-        for t in range(n):
-            forward[t] = (self.initial if t == 0 else forward[t - 1] @ self.transition) * b[t]
-            scale[t] = forward[t].sum()
-            forward[t] /= scale[t]
-        back, moves = np.ones((n, len(self.initial))), np.zeros_like(self.transition)
-        for t in range(n - 2, -1, -1):
-            ahead = b[t + 1] * back[t + 1]
-            moves += forward[t][:, None] * self.transition * ahead[None, :] / scale[t + 1]
-            back[t] = self.transition @ ahead / scale[t + 1]
-        return forward * back, moves, float(np.log(scale).sum())
+        return self._smooth(np.array(observations, float), np.array([0]))
+
+    def _smooth(self, observed: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """As ``smooth``, of the series that begin at ``starts``: a step takes one slice of all of them; transitions and likelihoods are sums."""
+        b, n = G.emitted(self.emission, observed), len(observed)
+        steps = G.slices(starts, n)
+        forward, scale = np.zeros_like(b), np.zeros(n)
+        for t, at in enumerate(steps):
+            now = (self.initial if t == 0 else forward[at - 1] @ self.transition) * b[at]
+            scale[at] = now.sum(axis=1)
+            forward[at] = now / scale[at, None]
+        back, moves = np.ones_like(b), np.zeros_like(self.transition)
+        for at in steps[:0:-1]:
+            ahead = b[at] * back[at] / scale[at, None]
+            moves += forward[at - 1].T @ ahead
+            back[at - 1] = ahead @ self.transition.T
+        return forward * back, moves * self.transition, float(np.log(scale).sum())
 
     def decode(self, observations) -> list[int]:
         """The most probable states; ties to the lower one."""
+        return self._decode(np.array(observations, float), np.array([0])).tolist()
+
+    def _decode(self, observed: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """As ``decode``, of the series that begin at ``starts``."""
         with np.errstate(divide="ignore"):
-            b, a = np.log(self._seen(observations)), np.log(self.transition)
-            best, came = np.log(self.initial) + b[0], []
-        for row in b[1:]:
-            through = best[:, None] + a
-            came.append(through.argmax(axis=0))
-            best = through.max(axis=0) + row
-        states = [int(best.argmax())]
-        for c in reversed(came):
-            states.append(int(c[states[-1]]))
-        return states[::-1]
+            best, a, first = np.log(G.emitted(self.emission, observed)), np.log(self.transition), np.log(self.initial)
+        steps, came = G.slices(starts, len(observed)), np.zeros(best.shape, np.int32)
+        for t, at in enumerate(steps):
+            if t == 0:
+                best[at] += first
+            else:
+                through = best[at - 1][:, :, None] + a
+                came[at] = through.argmax(axis=1)
+                best[at] += through.max(axis=1)
+        states = best.argmax(axis=1)
+        for at in steps[:0:-1]:
+            states[at - 1] = came[at, states[at]]
+        return states
 
     def smooth_series(self, observations: DataFrame) -> DataFrame:
         """``(series, t, state, p)`` of ``observations(series, t, obs)``."""
 
-        def work(series, times, observed) -> pd.DataFrame:
-            p, _, _ = self.smooth(observed)
+        def work(series, times, observed, starts) -> pd.DataFrame:
+            p, _, _ = self._smooth(observed, starts)
             k = p.shape[1]
-            return pd.DataFrame({"series": np.repeat(series, k * len(times)), "t": np.repeat(times, k), "state": np.tile(np.arange(k), len(times)), "p": p.reshape(-1)})
+            return pd.DataFrame({"series": np.repeat(series, k), "t": np.repeat(times, k), "state": np.tile(np.arange(k), len(times)), "p": p.reshape(-1)})
 
-        return G.by_series(observations, work, "series long, t long, state int, p double")
+        return G.by_series(G.arranged(observations), work, "series long, t long, state int, p double")
 
     def decode_series(self, observations: DataFrame) -> DataFrame:
-        """``(series, t, state)``."""
+        """``(series, t, obs, state)``."""
 
-        def work(series, times, observed) -> pd.DataFrame:
-            return pd.DataFrame({"series": np.repeat(series, len(times)), "t": times, "state": self.decode(observed)})
+        def work(series, times, observed, starts) -> pd.DataFrame:
+            return pd.DataFrame({"series": series, "t": times, "obs": observed, "state": self._decode(observed, starts)})
 
-        return G.by_series(observations, work, "series long, t long, state int")
+        return G.by_series(G.arranged(observations), work, "series long, t long, obs long, state int")
 
     def learn(self, observations: DataFrame, rounds: int = 10) -> tuple[SeriesModel, list[float]]:
-        """Tables by expectation maximisation, and the log-likelihood before each round; a round is one job whose partial sums are small."""
+        """Tables by expectation maximisation, and the log-likelihood before each round.
+
+        The series are arranged once and kept; a round is one job over them whose partial sums are small, one for each batch.
+        """
         model, seen = self, []
         k, m = self.emission.shape
+        kept = level(G.arranged(observations))
         for _ in range(rounds):
             now = model
 
-            def work(series, times, observed) -> pd.DataFrame:
-                p, moves, ll = now.smooth(observed)  # noqa: B023
-                emitted = np.zeros((k, m))
-                for row, o in zip(p, observed):
-                    if pd.notna(o):
-                        emitted[:, int(o)] += row
-                return pd.DataFrame({"sums": [np.concatenate([p[0], moves.ravel(), emitted.ravel(), [ll]]).tolist()]})
+            def work(series, times, observed, starts) -> pd.DataFrame:
+                p, moves, ll = now._smooth(observed, starts)  # noqa: B023
+                known = ~np.isnan(observed)
+                emitted = np.array([np.bincount(observed[known].astype(int), q[known], m) for q in p.T])
+                return pd.DataFrame({"sums": [np.concatenate([p[starts].sum(axis=0), moves.ravel(), emitted.ravel(), [ll]]).tolist()]})
 
-            sums = G.by_series(observations, work, "sums array<double>")
+            sums = G.by_series(kept, work, "sums array<double>")
             width = k + k * k + k * m + 1
             total = np.array(list(sums.agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)]).first()))
             seen.append(float(total[-1]))

@@ -234,7 +234,8 @@ _INITIAL, _TRANSITION, _EMISSION = [0.6, 0.4], [[0.7, 0.3], [0.2, 0.8]], [[0.5,
 def _series(spark, d):
     """``(series, t, obs)``: the lines of each order in order of their numbers; an observation by quantity."""
     obs = F.when(F.col("l_quantity") <= 17, 0).when(F.col("l_quantity") <= 34, 1).otherwise(2)
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
+    # Dealt by order once, for the lines, their numbers and the series.
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
     t = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
     return lines.select(F.col("l_orderkey").alias("series"), t.cast("long").alias("t"), obs.cast("long").alias("obs"))
 
@@ -250,8 +251,7 @@ def series_smooth(spark, d):
 def series_decode(spark, d):
     """The log-probability of the most probable states of each series, from the states."""
     model = J.SeriesModel(_INITIAL, _TRANSITION, _EMISSION)
-    seen = _series(spark, d)
-    rows = model.decode_series(seen).join(seen, ["series", "t"])
+    rows = model.decode_series(_series(spark, d))
     w = Window.partitionBy("series").orderBy("t")
     pick = lambda table, *at: F.element_at(F.flatten(F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in table])), (at[0] * len(table[0]) + at[1] + 1).cast("int"))
     before = F.lag("state").over(w)
