@@ -44,12 +44,11 @@ def gc_share(seq: Column) -> Column:
 
 
 def translate(seq: Column, frame: int = 0) -> Column:
-    """Amino acids of whole codons from a frame; an unclear codon is X."""
+    """Amino acids of whole codons from a frame; an unclear codon is X. Codons are cut in one pass, as a place in a text is found by walking to it."""
     code = F.create_map(*[F.lit(x) for kv in GENETIC_CODE.items() for x in kv])
-    dna = F.upper(to_dna(seq))
-    n = F.floor((F.length(dna) - frame) / 3).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.array_join(F.transform(starts, lambda i: F.coalesce(F.element_at(code, F.substring(dna, i * 3 + 1 + frame, F.lit(3))), F.lit("X"))), "")
+    dna = F.coalesce(F.substring(F.upper(to_dna(seq)), frame + 1, (1 << 31) - 1), F.lit(""))
+    codons = F.regexp_extract_all(dna, F.lit("(?s).{3}"), F.lit(0))
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(code, c), F.lit("X"))), "")
 
 
 def degenerate_pattern(pattern: str) -> str:
