@@ -101,51 +101,69 @@ class Model:
     def fill(self, x: np.ndarray, longest: int) -> list[np.ndarray]:
         """For each node, the scores [end, length] of the parts of ``x`` that end before ``end``."""
         n, s = len(x), self.scores
-        ends = np.arange(n + 1)
+        x = x.astype(np.intp)
         out: list[np.ndarray] = []
-        padded = np.append(x, 4)
         full = np.zeros((5, 5, 5, 5))
         full[:4, :4, :4, :4] = s.pair
+        # Tables are kept [length, end], so that every step reads and writes whole rows; row d begins at end d.
+        sides = [5 * x[: n + 1 - d] + x[d - 1 :] if 2 <= d <= n else None for d in range(longest + 1)]
         for kind, i, j, children in self.nodes:
-            t = np.full((n + 1, longest + 1), LOW)
+            t = np.full((longest + 1, n + 1), LOW)
             child = [out[c] for c in children]
-            for d in range(longest + 1):
-                ok = ends >= d
-                first, last = padded[np.where(ok, ends - d, n)], padded[np.maximum(ends - 1, 0)] if n else padded[:1].repeat(n + 1)
+            left = self._known(s.single, i, x) if kind in ("left", "pair") else None
+            right = self._known(s.single, j, x) if kind in ("right", "pair") else None
+            both = full[self.query[i], self.query[j]].ravel() if kind == "pair" else None
+            for d in range(min(longest, n) + 1):
                 if kind == "end":
-                    best = np.full(n + 1, 0.0 if d == 0 else LOW)
+                    best = np.full(n + 1 - d, 0.0 if d == 0 else LOW)
                 elif kind == "fork":
-                    best = np.full(n + 1, LOW)
+                    best = np.full(n + 1 - d, LOW)
                     for k in range(d + 1):
-                        best[k:] = np.maximum(best[k:], child[0][: n + 1 - k, d - k] + child[1][k:, k])
+                        np.maximum(best, child[0][d - k, d - k : n + 1 - k] + child[1][k, d:], out=best)
                 else:
-                    best = child[0][:, d] + s.gap * (2 if kind == "pair" else 1)
-                    before = lambda length: np.concatenate([[LOW], child[0][:-1, length]])  # noqa: B023, E731  the child ends one symbol earlier
-                    if d >= 1 and kind in ("left", "pair"):
-                        best = np.maximum(best, child[0][:, d - 1] + self._known(s.single, i, first) + (s.gap if kind == "pair" else 0))
-                    if d >= 1 and kind in ("right", "pair"):
-                        best = np.maximum(best, before(d - 1) + self._known(s.single, j, last) + (s.gap if kind == "pair" else 0))
-                    if d >= 2 and kind == "pair":
-                        best = np.maximum(best, before(d - 2) + full[self.query[i], self.query[j], first, last])
+                    c = child[0]
+                    best = c[d, d:] + s.gap * (2 if kind == "pair" else 1)
+                    if d >= 1 and left is not None:
+                        found = c[d - 1, d:] + left[: n + 1 - d]
+                        np.maximum(best, found + s.gap if kind == "pair" else found, out=best)
+                    if d >= 1 and right is not None:  # the child ends one symbol earlier
+                        found = c[d - 1, d - 1 : n] + right[d - 1 :]
+                        np.maximum(best, found + s.gap if kind == "pair" else found, out=best)
+                    if d >= 2 and both is not None:
+                        np.maximum(best, c[d - 2, d - 1 : n] + both[sides[d]], out=best)
                 if d >= 1:
-                    best = np.maximum(best, np.maximum(t[:, d - 1], np.concatenate([[LOW], t[:-1, d - 1]])) + s.insert)
-                t[:, d] = np.where(ok, np.maximum(best, LOW), LOW)
+                    np.maximum(best, np.maximum(t[d - 1, d:], t[d - 1, d - 1 : n]) + s.insert, out=best)
+                np.maximum(best, LOW, out=t[d, d:])
             out.append(t)
-        return out
+        return [t.T for t in out]
+
+    def parts(self, x: np.ndarray, starts: np.ndarray, longest: int, size: int = 8192) -> Iterator[tuple[int, np.ndarray]]:
+        """(first end, scores [end, length]) of sequences that begin at ``starts`` of ``x``, ``size`` ends at a time.
+
+        A part's score depends on its own symbols alone, so the tables run over many sequences; parts that begin before their sequence are left out.
+        """
+        room = np.arange(1, len(x) + 1) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+        for a in range(0, len(x), size):
+            low = max(0, a - longest)
+            t = self.fill(x[low : a + size], longest)[-1][a - low + 1 :]
+            yield a + 1, np.where(np.arange(longest + 1) <= room[a : a + size, None], t, LOW)
+
+    def hits(self, x: np.ndarray, starts: np.ndarray, longest: int, cutoff: float, size: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``scan``, over sequences that begin at ``starts`` of ``x``: arrays of starts, ends and scores."""
+        out = [np.zeros((3, 0))]
+        for first, t in self.parts(x, starts, longest, size):
+            t = t[:, 1:]
+            above = t >= cutoff
+            above[:, 1:] &= t[:, 1:] > np.maximum.accumulate(t, axis=1)[:, :-1]
+            end, d = np.nonzero(above)
+            out.append(np.array([end + first - d - 1, end + first, t[end, d]]))
+        begin, end, score = np.concatenate(out, axis=1)
+        return begin.astype(int), end.astype(int), score
 
     def scan(self, seq: str, longest: int, cutoff: float) -> list[tuple[int, int, float]]:
         """(start, end, score), ends exclusive: for each end the shortest part above the cutoff and every longer one that beats all shorter."""
         x = codes(seq)
-        t = self.fill(x, min(longest, len(x)))[-1]
-        out = []
-        for end in range(1, len(x) + 1):
-            best = -math.inf
-            for d in range(1, t.shape[1]):
-                if t[end, d] > best:
-                    best = t[end, d]
-                    if best >= cutoff:
-                        out.append((end - d, end, float(best)))
-        return out
+        return list(zip(*(v.tolist() for v in self.hits(x, np.zeros(min(1, len(x)), int), min(longest, len(x)), cutoff))))
 
     def align(self, seq: str) -> tuple[float, str, str]:
         """(score, aligned target, structure over it) of the whole sequence; small letters are insertions, ``-`` deletions."""
@@ -189,20 +207,38 @@ class Model:
         return float(tables[-1][len(x), len(x)]), aligned, structure
 
 
-def search(seqs: DataFrame, model: Model, cutoff: float, longest: int, size: int = 2000) -> DataFrame:
+def _joined(seqs, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of the rows, joined codes, starts) of sequences with a symbol, about ``most`` symbols at a time."""
+    rows, held, n = [], [], 0
+    for k, s in enumerate(seqs):
+        if s:
+            rows.append(k)
+            held.append(codes(s).astype(np.uint8))
+            n += len(s)
+        if n >= most:
+            sizes = [len(h) for h in held]
+            yield np.array(rows), np.concatenate(held), np.cumsum(sizes) - sizes
+            rows, held, n = [], [], 0
+    if held:
+        sizes = [len(h) for h in held]
+        yield np.array(rows), np.concatenate(held), np.cumsum(sizes) - sizes
+
+
+def search(seqs: DataFrame, model: Model, cutoff: float, longest: int) -> DataFrame:
     """``(seq_id, start, end, score)``: the hits of ``seqs(id, seq)`` that don't overlap a better one.
 
-    Long sequences are cut into chunks that overlap by the longest hit, so no hit is lost; chunks are scanned independently.
+    Sequences are scanned many at a time, and long ones in pieces that overlap by the longest hit, so no hit is lost.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, start + a, start + b - 1, v) for i, start, chunk in zip(batch["id"], batch["start"], batch["chunk"]) for a, b, v in model.scan(chunk or "", longest, cutoff)]
-            yield pd.DataFrame(rows, columns=["seq_id", "start", "end", "score"])
+            ids = batch["id"].to_numpy()
+            for rows, x, starts in _joined(batch["seq"]):
+                begin, end, score = model.hits(x, starts, longest, cutoff)
+                which = np.searchsorted(starts, begin, "right") - 1
+                yield pd.DataFrame({"seq_id": ids[rows[which]], "start": begin - starts[which], "end": end - starts[which] - 1, "score": score})
 
-    chunks = A.chunks(seqs, size + longest, longest)
-    hits = chunks.mapInPandas(run, "seq_id long, start long, end long, score double").distinct()
-    return A.remove_overlaps(hits)
+    return A.remove_overlaps(seqs.select("id", "seq").mapInPandas(run, "seq_id long, start long, end long, score double"))
 
 
 def best_scores(seqs: DataFrame, model: Model, longest: int) -> DataFrame:
@@ -210,11 +246,10 @@ def best_scores(seqs: DataFrame, model: Model, longest: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            best = []
-            for s in batch["seq"]:
-                x = codes(s or "")
-                t = model.fill(x, min(longest, len(x)))[-1]
-                best.append(float(t[:, 1:].max(initial=LOW)))
+            best = np.full(len(batch), LOW)
+            for rows, x, starts in _joined(batch["seq"]):
+                top = np.concatenate([t[:, 1:].max(axis=1, initial=LOW) for _, t in model.parts(x, starts, longest)])
+                best[rows] = np.maximum.reduceat(top, starts)
             yield pd.DataFrame({"id": batch["id"], "score": best})
 
     return seqs.select("id", "seq").mapInPandas(run, "id long, score double")
