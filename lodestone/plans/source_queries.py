@@ -276,13 +276,12 @@ def src_sequence_formats(spark, d):
     """Windows of all texts in every sequence format: written, told apart by their content, read back."""
     import pandas as pd
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+    def pack(frame: pd.DataFrame, number: str) -> pd.DataFrame:
         rows = sorted(zip(frame["id"], frame["seq"]))
-        return pd.DataFrame({"name": [f"{k}-{frame['part'].iloc[0]}" for k in KINDS], "content": [outputs.format_sequences(rows, k).encode() for k in KINDS]})
+        return pd.DataFrame({"name": [f"{k}-{number}" for k in KINDS], "content": [outputs.format_sequences(rows, k).encode() for k in KINDS]})
 
     path = scratch_path(spark, "sequences")
-    rows = _letters(spark, d).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8)))
-    outputs.write_files(rows.groupBy("part").applyInPandas(pack, "name string, content binary"), path)
+    outputs.write_files(outputs.packed_batches(_letters(spark, d), pack), path)
     kind = F.regexp_extract("file", r"([a-z]+)-\d+$", 1).alias("kind")
     return files.read_sequences(spark, path).select(kind, "id", F.md5(F.upper("seq")).alias("md5"))
 
@@ -295,10 +294,13 @@ def src_fasta(spark, d):
 
 def src_sequence_index(spark, d):
     """FASTA files, the places of their records, and residues 11 to 30 of every tenth one by its place."""
+    import pandas as pd
+
+    def pack(frame: pd.DataFrame, number: str) -> pd.DataFrame:
+        return pd.DataFrame({"name": [number], "content": [outputs.format_sequences(sorted(zip(frame["id"], frame["seq"])), "fasta", 60).encode()]})
+
     path = scratch_path(spark, "indexed")
-    record = F.concat(F.lit(">"), "id", F.lit("\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n"), F.lit("\n"))
-    rows = _letters(spark, d).groupBy(F.pmod(F.xxhash64("id"), F.lit(4)).cast("string").alias("name")).agg(F.encode(F.array_join(F.array_sort(F.collect_list(record)), ""), "utf-8").alias("content"))
-    outputs.write_files(rows, path)
+    outputs.write_files(outputs.packed_batches(_letters(spark, d), pack), path)
     index = outputs.sequence_index(spark, path)
     found = outputs.fetch_sequences(spark, path, index.where(F.col("id").endswith("0")), 11, 30)
     return index.join(found, "id").select("id", "residues", "seq")

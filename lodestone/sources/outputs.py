@@ -48,6 +48,20 @@ def _packed(rows: DataFrame, part: Column, pack) -> DataFrame:
     return rows.withColumn("_part", part).groupBy("_part").applyInPandas(run, "name string, content binary")
 
 
+def packed_batches(rows: DataFrame, pack) -> DataFrame:
+    """``(name, content)``: ``pack(frame, number)`` of each batch of rows as a frame, so no file is larger than a batch; the number has task and batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            if len(batch):
+                yield pack(batch, f"{task:05d}{k:05d}")
+
+    return rows.mapInPandas(run, "name string, content binary")
+
+
 def write_binary_baskets(baskets: DataFrame, folder: str, n_items: int, size: int = 100_000) -> int:
     """``baskets(tid, item)``, or with ``customer``, in the binary form of ``files.read_binary_baskets``; files of ``size`` baskets at most.
 
